@@ -56,7 +56,7 @@ def slug(c: Column) -> Column:
 
 
 def period_start(c: Column, calendar: Calendar) -> Column:
-    return F.to_date(F.date_trunc(calendar.unit, c))
+    return F.trunc(F.to_date(c), calendar.unit)
 
 
 def shift_period(c: Column, n, calendar: Calendar) -> Column:
