@@ -120,9 +120,8 @@ SELECT CASE WHEN r <= 12 THEN 'tail' ELSE 'fit' END AS part, count(*) AS n,
 FROM samples JOIN axis USING (period) GROUP BY 1"""))
 def tail_split(spark, d):
     samples, _ = build(spark, d, PLAIN)
-    fit, tail = folds.tail_split(samples, 12)
-    both = fit.withColumn("part", F.lit("fit")).unionByName(tail.withColumn("part", F.lit("tail")))
-    return both.groupBy("part").agg(
+    part = F.when(F.col("period") < F.lit(folds.tail_cutoff(samples, 12)), "fit").otherwise("tail")
+    return samples.groupBy(part.alias("part")).agg(
         F.count(F.lit(1)).alias("n"), F.min("period").alias("first_origin"),
         F.max("period").alias("last_origin"))
 
@@ -135,14 +134,15 @@ m AS (""" + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", avg({c}) AS mean, CASE WHEN stddev_pop({c}) > 0 "
     f"THEN stddev_pop({c}) ELSE 1 END AS scale FROM steps" for c in COLUMNS)
     + """)
-SELECT "column", CAST(round(CAST(mean AS DECIMAL(38,9)), 6) AS DOUBLE) AS mean,
-       CAST(round(CAST(scale AS DECIMAL(38,9)), 6) AS DOUBLE) AS scale FROM m"""))
+SELECT "column", CAST(round(CAST(mean AS DECIMAL(38,9)), 3) AS DOUBLE) AS mean,
+       CAST(round(CAST(scale AS DECIMAL(38,9)), 3) AS DOUBLE) AS scale FROM m"""))
 def scaling_moments(spark, d):
     samples, spec = build(spark, d, PLAIN)
     row = models.pooled_moments(samples, spec)
     parts = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("mean"),
-                 F.when(F.col(f"s{i}") > 0, F.col(f"s{i}")).otherwise(1.0).alias("scale"))
+        F.struct(F.lit(c).alias("column"), F.round(F.col(f"m{i}"), 3).alias("mean"),
+                 F.round(F.when(F.col(f"s{i}") > 0, F.col(f"s{i}")).otherwise(1.0), 3).alias(
+                     "scale"))
         for i, c in enumerate(spec.columns)])
     return row.select(F.explode(parts).alias("p")).select("p.*")
 
@@ -217,13 +217,8 @@ def seasonal_trend_forecast(spark, d):
 @query("anchor_weight", monthly(SEASONAL_TREND + " " + pick("#fold ~weight", "FROM weight")))
 def anchor_weight(spark, d):
     samples, spec = build(spark, d, FULL)
-    samples = samples.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
-    for f in cuts(samples):
-        train = samples.join(F.broadcast(folds.fold_table(spark, [f]).where("role = 'fit'")),
-                             "period").select(*samples.columns)
-        rows.append((f.number, _seasonal(spec).fit(train).weight))
-    samples.unpersist()
+    assigned = folds.assign_folds(samples, cuts(samples)).where("role = 'fit'")
+    rows = [(k[0], w) for k, w in _seasonal(spec).fit(assigned).weights.items()]
     return spark.createDataFrame(rows, "fold int, weight double")
 
 

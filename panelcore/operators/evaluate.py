@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,14 +24,7 @@ def score_folds(samples: DataFrame, folds: list[Fold], factory: Callable[[], For
     assigned = assign_folds(samples, folds)
     if guard:
         require_usable(fold_counts(assigned))
-    parts = []
-    for f in folds:
-        rows = assigned.where(F.col("fold") == f.number)
-        train = rows.where("role = 'fit'").select(*samples.columns)
-        val = rows.where("role = 'val'").select(*samples.columns)
-        fitted = factory().fit(train, val)
-        parts.append(fitted.transform(rows.where("role <> 'fit'")))
-    return reduce(DataFrame.unionByName, parts)
+    return factory().score(assigned, [f.number for f in folds], factory)
 
 
 def point_metrics(transform: str) -> list[Column]:

@@ -82,10 +82,15 @@ def fold_counts(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
-def tail_split(samples: DataFrame, n_last: int) -> tuple[DataFrame, DataFrame]:
-    """Everything before the last ``n_last`` distinct periods, and those periods."""
+def tail_cutoff(samples: DataFrame, n_last: int) -> date:
+    """First of the last ``n_last`` distinct periods."""
     periods = distinct_periods(samples)
     if not 0 < n_last < len(periods):
         raise SplitError(f"cannot hold out {n_last} of {len(periods)} periods")
-    cutoff = F.lit(periods[-n_last])
+    return periods[-n_last]
+
+
+def tail_split(samples: DataFrame, n_last: int) -> tuple[DataFrame, DataFrame]:
+    """Everything before the last ``n_last`` distinct periods, and those periods."""
+    cutoff = F.lit(tail_cutoff(samples, n_last))
     return samples.where(F.col("period") < cutoff), samples.where(F.col("period") >= cutoff)

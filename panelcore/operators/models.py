@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from panelcore.functions.ranks import one_group
 from panelcore.functions.scalars import position_from_cyclic
 from panelcore.operators.features import LEVEL, FeatureSpec, flatten_sequence, step_value
 from panelcore.params import SeasonalParams
@@ -43,6 +45,20 @@ class Forecaster(ABC):
     @abstractmethod
     def fit(self, train: DataFrame, val: DataFrame | None = None) -> FittedModel: ...
 
+    def score(self, assigned: DataFrame, numbers: list[int],
+              factory: Callable[[], "Forecaster"]) -> DataFrame:
+        """Validation and test rows of every fold; a fresh model is fitted per fold.
+
+        ``assigned`` carries ``fold`` and ``role``. Forecasters that need no fit, or fit
+        all folds in one grouped aggregate, override this with a single pass.
+        """
+        parts = []
+        for k in numbers:
+            rows = assigned.where(F.col("fold") == k)
+            fitted = factory().fit(rows.where("role = 'fit'"), rows.where("role = 'val'"))
+            parts.append(fitted.transform(rows.where("role <> 'fit'")))
+        return reduce(DataFrame.unionByName, parts)
+
 
 # -- column selectors ---------------------------------------------------------
 
@@ -58,6 +74,9 @@ class ColumnForecast(Forecaster, FittedModel):
     def fit(self, train, val=None) -> "ColumnForecast":
         return self
 
+    def score(self, assigned, numbers, factory) -> DataFrame:
+        return self.transform(assigned.where("role <> 'fit'"))
+
     def transform(self, samples: DataFrame) -> DataFrame:
         return samples.withColumn("prediction", step_value(self.spec, self.column))
 
@@ -240,26 +259,44 @@ class SeasonalTrend(Forecaster):
         })
 
     def fit(self, train: DataFrame, val: DataFrame | None = None) -> "SeasonalModel":
-        cells = self.keyed(train).groupBy("entity", "_pos").agg(
+        """One profile row per entity; rows that carry ``fold`` are fitted per fold."""
+        by = [c for c in ("fold",) if c in train.columns]
+        cells = self.keyed(train).groupBy(*by, "entity", "_pos").agg(
             F.sum("y").alias("_s"), F.count("y").alias("_c")
         )
         mean = F.sum("_s") / F.sum("_c")
-        model = SeasonalModel(
-            self,
-            cells.select("entity", "_pos", (F.col("_s") / F.col("_c")).alias("_cell")),
-            cells.groupBy("entity").agg(mean.alias("_base")),
-            cells.groupBy("_pos").agg(mean.alias("_pooled")),
-            cells.agg(mean.alias("m")).first()["m"],
+        profile = cells.groupBy(*by, "entity").agg(
+            mean.alias("_base"),
+            F.map_from_entries(
+                F.collect_list(F.struct("_pos", (F.col("_s") / F.col("_c")).alias("m")))
+            ).alias("_cells"),
+        )
+        # At most one row per position of the year (and fold).
+        positions = cells.groupBy(*by, "_pos").agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
+        pooled = positions.groupBy(*by).agg(
+            mean.alias("_overall"),
+            F.map_from_entries(
+                F.collect_list(F.struct("_pos", (F.col("_s") / F.col("_c")).alias("m")))
+            ).alias("_pooled"),
         )
+        model = SeasonalModel(self, by, profile, pooled)
         if self.p.use_level_anchor:
-            model.weight = fit_anchor(model.expected(train))
+            model.weights = fit_anchor(model.expected(train), by)
         return model
 
+    def score(self, assigned, numbers, factory) -> DataFrame:
+        fitted = self.fit(assigned.where("role = 'fit'"))
+        return fitted.transform(assigned.where("role <> 'fit'"))
+
 
 class SeasonalModel(FittedModel):
-    def __init__(self, parent: SeasonalTrend, cells, bases, pooled, overall: float) -> None:
-        self.parent, self.cells, self.bases, self.pooled = parent, cells, bases, pooled
-        self.overall, self.weight = float(overall), 0.0
+    def __init__(self, parent: SeasonalTrend, by: list[str], profile, pooled) -> None:
+        self.parent, self.by, self.profile, self.pooled = parent, by, profile, pooled
+        self.weights: dict[tuple, float] = {}
+
+    @property
+    def weight(self) -> float:
+        return self.weights.get((), 0.0)
 
     def expected(self, samples: DataFrame) -> DataFrame:
         """Profile value and deviation of the anchor from the baseline.
@@ -267,27 +304,29 @@ class SeasonalModel(FittedModel):
         A position an entity never showed falls back to the entity's mean; an entity
         never seen falls back to the pooled profile.
         """
-        joined = (
-            self.parent.keyed(samples)
-            .join(self.cells, ["entity", "_pos"], "left")
-            .join(self.bases, "entity", "left")
-            .join(self.pooled, "_pos", "left")
-        )
-        base = F.coalesce("_base", F.lit(self.overall))
-        return joined.withColumn(
-            "expected", F.coalesce("_cell", "_base", "_pooled", F.lit(self.overall))
-        ).withColumn("deviation", F.col("_anchor") - base)
+        rows = self.parent.keyed(samples)
+        pooled = F.broadcast(self.pooled)  # one row per fold
+        rows = rows.join(pooled, self.by) if self.by else one_group(self.pooled, rows)
+        joined = rows.join(self.profile, [*self.by, "entity"], "left")
+        at = lambda m: F.try_element_at(m, F.col("_pos"))
+        return joined.withColumns({
+            "expected": F.coalesce(at("_cells"), "_base", at("_pooled"), "_overall"),
+            "deviation": F.col("_anchor") - F.coalesce("_base", "_overall"),
+        })
 
     def transform(self, samples: DataFrame) -> DataFrame:
-        point = F.col("expected") + F.lit(self.weight) * F.col("deviation")
+        weight = F.lit(self.weight)
+        for (k,), w in ((k, w) for k, w in self.weights.items() if k):
+            weight = F.when(F.col("fold") == k, F.lit(w)).otherwise(weight)
+        point = F.col("expected") + weight * F.col("deviation")
         return self.expected(samples).select(*samples.columns, point.alias("prediction"))
 
 
-def fit_anchor(scored: DataFrame) -> float:
-    """One shared least-squares coefficient of the error on the deviation."""
+def fit_anchor(scored: DataFrame, by: list[str]) -> dict[tuple, float]:
+    """One shared least-squares coefficient of the error on the deviation (per fold)."""
     d, e = F.col("deviation"), F.col("y") - F.col("expected")
-    r = scored.agg(F.sum(d * e).alias("de"), F.sum(d * d).alias("dd")).first()
-    return float(r["de"] / r["dd"]) if r["dd"] else 0.0
+    rows = scored.groupBy(*by).agg(F.sum(d * e).alias("de"), F.sum(d * d).alias("dd")).collect()
+    return {tuple(r[b] for b in by): float(r["de"] / r["dd"]) if r["dd"] else 0.0 for r in rows}
 
 
 # -- roster -------------------------------------------------------------------

@@ -6,6 +6,7 @@ import dataclasses
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,6 @@ from panelcore.operators import evaluate, folds, intervals, models, risk, servin
 from panelcore.operators.features import (
     FeatureSpec,
     build_samples,
-    dropped_entities,
     look_back,
     with_level,
 )
@@ -70,6 +70,7 @@ def run_ablations(panel: DataFrame, base: FeatureParams, experiments: list[Exper
     """
     spark = panel.sparkSession
     setting.folds.check_horizons(horizons)
+    n_entities = panel.select("entity").distinct().count()
     rows, skipped = [], []
     for e in experiments:
         p = apply_experiment(base, e)
@@ -84,31 +85,22 @@ def run_ablations(panel: DataFrame, base: FeatureParams, experiments: list[Exper
             samples = samples.persist(StorageLevel.MEMORY_AND_DISK)
             try:
                 cuts = folds.rolling_origin(folds.distinct_periods(samples), setting.folds, h)
-                counts = samples.agg(F.count(F.lit(1)), F.count_distinct("entity")).first()
-                lost = dropped_entities(panel, samples).count()
-                factories = models.model_factories(
-                    spec, setting.calendar.per_year, setting.seasonal, setting.alphas,
-                    setting.n_trees,
-                )
-                for name in names or factories:
-                    if name not in factories:
-                        skipped.append((e.name, name, h, "no such model"))
-                        continue
-                    try:
-                        factories[name]()
-                    except models.ModelUnavailable as exc:
-                        skipped.append((e.name, name, h, str(exc)))
-                        continue
-                    result = evaluate.run_experiment(
-                        samples, cuts, factories[name], setting.conformal,
-                        setting.target.transform,
-                    )
-                    summary = {r["metric"]: r for r in result["summary"].collect()}
+                evaluate.require_usable(folds.fold_counts(folds.assign_folds(samples, cuts)))
+                n_samples, n_seen = samples.agg(
+                    F.count(F.lit(1)), F.count_distinct("entity")).first()
+                summaries = _summaries(samples, spec, cuts, e.name, h, setting, names, skipped)
+                if not summaries:
+                    continue
+                # One job scores every model of the configuration.
+                found: dict[str, dict] = {}
+                for r in reduce(DataFrame.unionByName, summaries).collect():
+                    found.setdefault(r["model"], {})[r["metric"]] = r
+                for name, metrics in found.items():
                     row = {"experiment": e.name, "model": name, "horizon": h,
-                           "n_features": len(spec.columns), "n_samples": counts[0],
-                           "n_dropped_entities": lost, "folds": len(cuts)}
+                           "n_features": len(spec.columns), "n_samples": n_samples,
+                           "n_dropped_entities": n_entities - n_seen, "folds": len(cuts)}
                     for m in evaluate.POINT_METRICS:
-                        row[m], row[f"{m}_std"] = summary[m]["mean"], summary[m]["std"]
+                        row[m], row[f"{m}_std"] = metrics[m]["mean"], metrics[m]["std"]
                     rows.append(row)
             finally:
                 samples.unpersist()
@@ -121,6 +113,27 @@ def run_ablations(panel: DataFrame, base: FeatureParams, experiments: list[Exper
     return spark.createDataFrame([tuple(r[c] for c in order) for r in rows], schema), skipped
 
 
+def _summaries(samples, spec, cuts, experiment, horizon, setting, names, skipped):
+    """Fold summaries of every available model; unavailable ones are recorded."""
+    factories = models.model_factories(
+        spec, setting.calendar.per_year, setting.seasonal, setting.alphas, setting.n_trees
+    )
+    out = []
+    for name in names or factories:
+        if name not in factories:
+            skipped.append((experiment, name, horizon, "no such model"))
+            continue
+        try:
+            factories[name]()
+        except models.ModelUnavailable as exc:
+            skipped.append((experiment, name, horizon, str(exc)))
+            continue
+        scored = evaluate.score_folds(samples, cuts, factories[name], guard=False)
+        metrics = evaluate.fold_metrics(scored.where("role = 'test'"), setting.target.transform)
+        out.append(evaluate.aggregate_folds(metrics).withColumn("model", F.lit(name)))
+    return out
+
+
 def evaluate_selection(panel: DataFrame, base: FeatureParams, chosen: list[str], horizon: int,
                        setting: Setting, model: str, edges=None, entities=None) -> DataFrame:
     """All columns against the chosen ones through the same folds."""
