@@ -40,7 +40,10 @@ def target_level(p: TargetParams) -> Column:
 
 def inverse_target(c: Column, transform: str) -> Column:
     """Back to the reported scale, never below zero; identity without a transform."""
-    return F.greatest(F.expm1(c), F.lit(0.0)) if transform == "log1p" else c
+    if transform != "log1p":
+        return c
+    # greatest() skips NULLs, and a missing level must not turn into a rate of zero.
+    return F.when(c.isNotNull(), F.greatest(F.expm1(c), F.lit(0.0)))
 
 
 def unfloored_rate(c: Column, transform: str) -> Column:

@@ -213,15 +213,19 @@ def render(recommendations: DataFrame, alpha: float = 0.2) -> DataFrame:
     """One sentence per recommendation, every clause taken from a field."""
     # Fixed value: the wording of the sentence.
     c = F.col("crossed")
+
+    def shown(x: Column) -> Column:
+        return F.round(x, 9)  # so that the last bit does not decide a rounded digit
+
     head = F.concat(
         F.col("tier"),
-        F.format_string(" - predicted %.1f cases per 100k (", F.col("predicted_rate")),
+        F.format_string(" - predicted %.1f cases per 100k (", shown(F.col("predicted_rate"))),
         F.lit(f"{1 - alpha:.0%} interval upper bound "),
-        F.format_string("%.1f)", F.col("upper_rate")),
+        F.format_string("%.1f)", shown(F.col("upper_rate"))),
     )
     above = F.format_string(
         ", above the %s of %.1f for %s (n=%d)",
-        c["label"], c["value_rate"], F.col("entity"), c["n_observations"],
+        c["label"], shown(c["value_rate"]), F.col("entity"), c["n_observations"],
     )
     below = F.concat(F.lit(f", {BELOW_ALL} for "), F.col("entity"))
     names = F.array_join(F.transform("drivers", lambda d: d["label"]), ", ")
