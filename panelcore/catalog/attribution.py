@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelcore.catalog.base import MONTHS, TARGET, monthly, nation_names, nation_panel, pick, query
+from panelcore.catalog.base import MONTHS, TARGET, monthly, nation_names, pick, query, staged_panel
 from panelcore.operators import attribution
 from panelcore.operators.features import build_samples
 from panelcore.operators.models import FittedModel, Ridge
 from panelcore.params import FeatureParams
-from panelcore.plans.production import Setting
+from panelcore.session import cut_lineage
 
-SETTING = Setting(TARGET, MONTHS)
 SMALL = FeatureParams(level_variables=("avg_price", "max_price"), include_lags=False, lags=(12,),
                       entity_identity=False, sequence_length=2)
 COLUMNS = ["avg_price", "max_price", "season_sin", "season_cos", "target_level_lag_0",
@@ -56,7 +55,8 @@ vals AS (""" + " UNION ALL ".join(
 
 
 def _samples(spark, d):
-    return build_samples(nation_panel(spark, d), SMALL, TARGET, MONTHS, 1)
+    samples, spec = build_samples(staged_panel(spark, d), SMALL, TARGET, MONTHS, 1)
+    return cut_lineage(samples), spec
 
 
 def values(spark, d):

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from panelcore.operators.features import with_level
 from panelcore.operators.panel import complete_grid, entity_facts, on_grid, period_facts
 from panelcore.params import Calendar, TargetParams
+from panelcore.session import cut_lineage, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,7 +28,7 @@ def query(name: str, sql: str | None = None):
     """Register a query; its doubles are rounded so that sum order does not show."""
 
     def register(fn):
-        QUERIES[name] = lambda spark, d: present(fn(spark, d))
+        QUERIES[name] = lambda spark, d: present(fn(tune(spark), d))
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -98,12 +99,17 @@ def observed(spark, d, calendar: Calendar) -> DataFrame:
 
 def nation_panel(spark, d, calendar: Calendar = MONTHS) -> DataFrame:
     """The complete nation-by-period panel with exposure."""
-    people = exposure(spark, d)
-    return on_grid(complete_grid(people, calendar), observed(spark, d, calendar)).join(
-        people, "entity"
+    grid = complete_grid(exposure(spark, d), calendar, ("exposure",))
+    return on_grid(grid, observed(spark, d, calendar)).select(
+        "entity", "period", *VARIABLES, "exposure"
     )
 
 
+def staged_panel(spark, d) -> DataFrame:
+    """The nation panel, materialised once for jobs that read it several times."""
+    return cut_lineage(nation_panel(spark, d))
+
+
 def customer_panel(spark, d) -> DataFrame:
     """The complete customer-by-month panel: sparse, and as wide as the customer table."""
     c = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("entity"))

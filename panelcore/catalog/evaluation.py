@@ -6,10 +6,16 @@ import dataclasses
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
-from panelcore.catalog.base import MONTHS, TARGET, monthly, nation_levels, nation_names, pick, query
-from panelcore.catalog.base import nation_panel
+from panelcore.catalog.base import (
+    MONTHS,
+    TARGET,
+    monthly,
+    nation_levels,
+    pick,
+    query,
+    staged_panel,
+)
 from panelcore.catalog.features import (
     COLUMNS,
     DESIGN,
@@ -22,6 +28,7 @@ from panelcore.catalog.features import (
 )
 from panelcore.operators import evaluate, folds, models
 from panelcore.params import ConformalParams, FoldParams, SeasonalParams
+from panelcore.session import cut_lineage
 from panelcore.plans.production import Experiment, Setting, run_ablations
 
 FOLDS = FoldParams(n_folds=4, initial_train=24, test_size=6, step=6)
@@ -34,9 +41,9 @@ def cuts(samples, horizon: int = 1):
 
 
 def scored_by(spark, d, factory, p=PLAIN, horizon: int = 1):
-    """Validation and test rows of every fold; samples stay on the executors meanwhile."""
+    """Validation and test rows of every fold, from samples materialised once."""
     samples, spec = build(spark, d, p, horizon)
-    samples = samples.persist(StorageLevel.MEMORY_AND_DISK)
+    samples = cut_lineage(samples)
     return evaluate.score_folds(samples, cuts(samples, horizon), lambda: factory(spec), guard=False)
 
 
@@ -313,7 +320,7 @@ PLAIN_COLUMNS = _n_columns()
 @query("ablation_grid", monthly(_ablation_sql()))
 def ablation_grid(spark, d):
     setting = Setting(TARGET, MONTHS, FOLDS, CONFORMAL)
-    table, _ = run_ablations(nation_panel(spark, d), PLAIN, GRID, [1, 3], setting,
+    table, _ = run_ablations(staged_panel(spark, d), PLAIN, GRID, [1, 3], setting,
                              ["persistence", "seasonal_naive"], nation_edges(spark, d))
     return table.select("experiment", "model", "horizon", "n_features", "n_samples", "folds",
                         "mae_rate", "mae_rate_std", "r2_log")
@@ -401,7 +408,7 @@ def selection_check(spark, d):
     from panelcore.plans.production import evaluate_selection
 
     setting = Setting(TARGET, MONTHS, FOLDS, CONFORMAL)
-    table = evaluate_selection(nation_panel(spark, d), PLAIN, ["avg_price", "target_level_lag_0"],
+    table = evaluate_selection(staged_panel(spark, d), PLAIN, ["avg_price", "target_level_lag_0"],
                                1, setting, "persistence", nation_edges(spark, d))
     return table.select("experiment", "n_features", "n_samples", "mae_rate", "mae_rate_std")
 

@@ -22,6 +22,7 @@ from panelcore.catalog.base import (
     neighbour_pairs,
     pick,
     query,
+    staged_panel,
     weekly,
 )
 from panelcore.functions.scalars import cyclic, inverse_target
@@ -52,7 +53,7 @@ def nation_edges(spark, d) -> DataFrame:
 
 def build(spark, d, p: FeatureParams, horizon: int = 1):
     names = nation_names(spark, d) if p.entity_identity else None
-    return features.build_samples(nation_panel(spark, d), p, TARGET, MONTHS, horizon,
+    return features.build_samples(staged_panel(spark, d), p, TARGET, MONTHS, horizon,
                                   nation_edges(spark, d), names)
 
 
@@ -146,7 +147,7 @@ def rolling_features(spark, d):
 @query("spatial_weights_uniform", monthly(SPATIAL + " " + pick(
     "entity neighbour ~weight", "FROM weights")))
 def spatial_weights_uniform(spark, d):
-    return features.spatial_weights(nation_edges(spark, d), nation_panel(spark, d))
+    return features.spatial_weights(nation_edges(spark, d), staged_panel(spark, d))
 
 
 @query("spatial_weights_exposure", monthly(EDGES + """,
@@ -155,14 +156,14 @@ ww AS (SELECT e.entity, e.neighbour,
        FROM edges e JOIN people p ON p.entity = e.neighbour) """ + pick(
     "entity neighbour ~weight", "FROM ww")))
 def spatial_weights_exposure(spark, d):
-    return features.spatial_weights(nation_edges(spark, d), nation_panel(spark, d), "exposure",
+    return features.spatial_weights(nation_edges(spark, d), staged_panel(spark, d), "exposure",
                                     "exposure")
 
 
 @query("spatial_lag_features", monthly(SPATIAL + " " + pick(
     "entity period ~orders_spatial_lag_1 ~orders_spatial_lag_2", "FROM sp")))
 def spatial_lag_features(spark, d):
-    panel = nation_panel(spark, d)
+    panel = staged_panel(spark, d)
     weights = features.spatial_weights(nation_edges(spark, d), panel)
     return features.spatial_lags(panel, weights, "orders", (1, 2))
 
@@ -248,7 +249,7 @@ def target_lag_features(spark, d):
 @query("feature_design", monthly(DESIGN + " " + pick(
     "entity period " + " ".join(f"~{c}" for c in COLUMNS) + " ~y", "FROM wide")))
 def feature_design(spark, d):
-    wide, _ = features.design(nation_panel(spark, d), PLAIN, TARGET, MONTHS, 1,
+    wide, _ = features.design(staged_panel(spark, d), PLAIN, TARGET, MONTHS, 1,
                               nation_edges(spark, d))
     return wide
 
@@ -259,7 +260,7 @@ def feature_design(spark, d):
     "FROM wide")))
 def source_selection(spark, d):
     p = dataclasses.replace(PLAIN, sources=("prices",))
-    return features.design(nation_panel(spark, d), p, TARGET, MONTHS, 1, nation_edges(spark, d))[0]
+    return features.design(staged_panel(spark, d), p, TARGET, MONTHS, 1, nation_edges(spark, d))[0]
 
 
 @query("column_selection", monthly(DESIGN + " " + pick(
@@ -267,7 +268,7 @@ def source_selection(spark, d):
 def column_selection(spark, d):
     chosen = ("orders_spatial_lag_1", "avg_price_lag_1", "target_level_lag_0")
     p = dataclasses.replace(PLAIN, selected_columns=chosen)
-    return features.design(nation_panel(spark, d), p, TARGET, MONTHS, 1, nation_edges(spark, d))[0]
+    return features.design(staged_panel(spark, d), p, TARGET, MONTHS, 1, nation_edges(spark, d))[0]
 
 
 @query("window_sequences", monthly(DESIGN + """,

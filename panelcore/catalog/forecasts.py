@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelcore.catalog.base import MONTHS, TARGET, nation_panel
+from panelcore.catalog.base import MONTHS, TARGET, staged_panel
 from panelcore.params import FeatureParams
 from panelcore.plans.production import PanelModel, Setting, train_production
 
@@ -12,12 +12,12 @@ SETTING = Setting(TARGET, MONTHS)
 
 
 def naive_model(spark, d, panel=None) -> PanelModel:
-    panel = nation_panel(spark, d) if panel is None else panel
+    panel = staged_panel(spark, d) if panel is None else panel
     return train_production(panel, NAIVE, 1, SETTING, "persistence")
 
 
 def naive_forecasts(spark, d):
-    panel = nation_panel(spark, d)
+    panel = staged_panel(spark, d)
     return naive_model(spark, d, panel).predict(panel)
 
 

@@ -15,6 +15,7 @@ from panelcore.catalog.base import (
     observed,
     pick,
     query,
+    staged_panel,
     weekly,
 )
 from panelcore.catalog.features import FULL, nation_edges, nation_names
@@ -81,7 +82,7 @@ ends AS (
     "FROM forecasts JOIN ends USING (entity) "
     "WHERE target_date > last_observed AND origin_date <= last_observed")))
 def project_direct(spark, d):
-    panel = nation_panel(spark, d)
+    panel = staged_panel(spark, d)
     rows = project.project_direct(panel, naive_model(spark, d, panel), "orders")
     return rows.select("entity", "origin_date", "target_date", "predicted_rate", "lower_rate",
                        "upper_rate")
@@ -129,14 +130,14 @@ curve AS (
     "entity target_date #steps_ahead ~predicted_rate ~lower_rate ~upper_rate mode ~reliability",
     "FROM curve")))
 def project_recursive(spark, d):
-    panel = nation_panel(spark, d)
+    panel = staged_panel(spark, d)
     model = naive_model(spark, d, panel)
     return project.project_recursive(panel, ALL, model, TARGET, MONTHS, CLAMP, PROJECTION)
 
 
 @query("project_recursive_ridge")
 def project_recursive_ridge(spark, d):
-    panel = nation_panel(spark, d)
+    panel = staged_panel(spark, d)
     model = train_production(panel, FULL, 1, Setting(TARGET, MONTHS), "ridge",
                              edges=nation_edges(spark, d), entities=nation_names(spark, d))
     return project.project_recursive(panel, ALL, model, TARGET, MONTHS, CLAMP, PROJECTION)

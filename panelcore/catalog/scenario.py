@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from panelcore.catalog.base import monthly, nation_panel, pick, query
+from panelcore.catalog.base import monthly, nation_panel, pick, query, staged_panel
 from panelcore.catalog.forecasts import FORECASTS, naive_model
 from panelcore.operators import whatif
 from panelcore.params import ClampParams, Scenario
@@ -98,7 +98,7 @@ delta AS (
 
 
 def _what_if(spark, d):
-    panel = nation_panel(spark, d)
+    panel = staged_panel(spark, d)
     model = naive_model(spark, d, panel)
     return model, *whatif.what_if(panel, MORE, model, SIGMA)
 

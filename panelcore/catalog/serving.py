@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from panelcore.catalog.base import TARGET, monthly, nation_panel, pick, query
+from panelcore.catalog.base import TARGET, monthly, nation_panel, pick, query, staged_panel
 from panelcore.catalog.forecasts import (
     FORECAST_COLUMNS,
     FORECASTS,
@@ -142,7 +142,7 @@ UNION ALL SELECT 'recommendations', count(*) FROM advice
 UNION ALL SELECT 'thresholds', count(*) FROM bounds"""))
 def stored_serving_tables(spark, d):
     root = scratch_path(spark, "serving")
-    panel = nation_panel(spark, d)
+    panel = staged_panel(spark, d)
     build_serving(panel, naive_model(spark, d, panel), RISK, root, "dashboard")
     counts = [
         runs.load_run(spark, root, "dashboard", name).agg(

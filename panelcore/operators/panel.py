@@ -9,10 +9,12 @@ from panelcore.functions.scalars import period_start
 from panelcore.params import Calendar
 
 
-def complete_grid(entities: DataFrame, calendar: Calendar) -> DataFrame:
+def complete_grid(entities: DataFrame, calendar: Calendar, attributes: tuple[str, ...] = ()
+                  ) -> DataFrame:
     """Every (entity, period); the first period starts on or after the window start.
 
-    Each entity row generates its own periods, so nothing is shuffled.
+    Each entity row generates its own periods, so nothing is shuffled, and constant
+    ``attributes`` of the entity travel along instead of being joined back.
     """
     start = F.lit(calendar.start)
     snapped = period_start(start, calendar)
@@ -21,7 +23,8 @@ def complete_grid(entities: DataFrame, calendar: Calendar) -> DataFrame:
     first = F.when(snapped >= start, snapped).otherwise(following)
     end = F.lit(calendar.end)
     axis = F.when(first <= end, F.sequence(first, end, step))
-    return entities.select("entity").distinct().select("entity", F.explode(axis).alias("period"))
+    unique = entities.select("entity", *attributes).dropDuplicates(["entity"])
+    return unique.select("entity", F.explode(axis).alias("period"), *attributes)
 
 
 def on_grid(grid: DataFrame, observed: DataFrame) -> DataFrame:

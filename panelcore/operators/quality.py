@@ -20,11 +20,16 @@ MISSING, OUTLIER, INTERPOLATED, OK = "missing", "outlier", "interpolated", "ok"
 
 
 def melt(panel: DataFrame, variables: list[str]) -> DataFrame:
-    """``entity, period, variable, value`` from the wide panel."""
-    typed = panel.select(
-        "entity", "period", *[F.col(v).cast("double").alias(v) for v in variables]
-    )
-    return typed.unpivot(["entity", "period"], variables, "variable", "value")
+    """``entity, period, variable, value`` from the wide panel.
+
+    Exploding an array keeps the partitioning by entity, which ``unpivot`` gives up;
+    the per-series windows that follow then need no shuffle of their own.
+    """
+    cells = F.array(*[
+        F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("value"))
+        for v in variables
+    ])
+    return panel.select("entity", "period", F.inline(cells))
 
 
 def _series() -> WindowSpec:
