@@ -99,7 +99,7 @@ def observed(spark, d, calendar: Calendar) -> DataFrame:
 
 def nation_panel(spark, d, calendar: Calendar = MONTHS) -> DataFrame:
     """The complete nation-by-period panel with exposure."""
-    grid = complete_grid(exposure(spark, d), calendar, ("exposure",))
+    grid = complete_grid(exposure(spark, d), calendar, ("exposure",), unique=True)
     return on_grid(grid, observed(spark, d, calendar)).select(
         "entity", "period", *VARIABLES, "exposure"
     )
@@ -116,7 +116,7 @@ def customer_panel(spark, d) -> DataFrame:
     facts = entity_facts(order_partials(spark, d, MONTHS), c, "o_custkey", "c_custkey")
     seen = facts.select("entity", "period", F.col("n").alias("orders"),
                         F.col("mean").alias("avg_price"), F.col("top").alias("max_price"))
-    return on_grid(complete_grid(c, MONTHS), seen)
+    return on_grid(complete_grid(c, MONTHS, unique=True), seen)
 
 
 def nation_levels(spark, d, calendar: Calendar = MONTHS) -> DataFrame:

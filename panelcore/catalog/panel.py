@@ -22,12 +22,12 @@ from panelcore.operators.quality import melt
 
 @query("complete_grid_months", monthly(" SELECT entity, period FROM grid"))
 def complete_grid_months(spark, d):
-    return complete_grid(exposure(spark, d), MONTHS)
+    return complete_grid(exposure(spark, d), MONTHS, unique=True)
 
 
 @query("complete_grid_weeks", weekly(" SELECT entity, period FROM grid"))
 def complete_grid_weeks(spark, d):
-    return complete_grid(exposure(spark, d), WEEKS)
+    return complete_grid(exposure(spark, d), WEEKS, unique=True)
 
 
 @query("fuse_sources", monthly(" " + pick(
@@ -35,7 +35,7 @@ def complete_grid_weeks(spark, d):
 def fuse_sources(spark, d):
     seen = observed(spark, d, MONTHS)
     sources = [melt(seen, ["orders"]), melt(seen, ["avg_price", "max_price"])]
-    return fuse(sources, VARIABLES, complete_grid(exposure(spark, d), MONTHS))
+    return fuse(sources, VARIABLES, complete_grid(exposure(spark, d), MONTHS, unique=True))
 
 
 @query("nation_month_panel", monthly(" " + pick(

@@ -98,7 +98,7 @@ def broadcast_series(spark, d):
     national = observed(spark, d, MONTHS).groupBy("period").agg(
         F.lit("national_orders").alias("variable"), F.sum("orders").alias("value")
     )
-    return readers.broadcast_series(national, complete_grid(exposure(spark, d), MONTHS))
+    return readers.broadcast_series(national, complete_grid(exposure(spark, d), MONTHS, unique=True))
 
 
 def _terms(spark, d):
@@ -243,7 +243,7 @@ def interpolate_anchors(spark, d):
         .where("population > 0")
     )
     anchors.check_anchors(census)
-    return anchors.interpolate_anchors(census, complete_grid(exposure(spark, d), MONTHS))
+    return anchors.interpolate_anchors(census, complete_grid(exposure(spark, d), MONTHS, unique=True))
 
 
 @query("normalise_entity", """

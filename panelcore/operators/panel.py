@@ -9,12 +9,15 @@ from panelcore.functions.scalars import period_start
 from panelcore.params import Calendar
 
 
-def complete_grid(entities: DataFrame, calendar: Calendar, attributes: tuple[str, ...] = ()
-                  ) -> DataFrame:
+def complete_grid(entities: DataFrame, calendar: Calendar, attributes: tuple[str, ...] = (),
+                  unique: bool = False) -> DataFrame:
     """Every (entity, period); the first period starts on or after the window start.
 
-    Each entity row generates its own periods, so nothing is shuffled, and constant
-    ``attributes`` of the entity travel along instead of being joined back.
+    Each entity row generates its own periods, so the dense rows are never shuffled,
+    and constant ``attributes`` of the entity travel along instead of being joined
+    back. The partition count is fixed: judged by the few bytes that are shuffled
+    here, adaptive execution would merge the tasks that multiply them. ``unique``
+    says that ``entities`` already has one row each.
     """
     start = F.lit(calendar.start)
     snapped = period_start(start, calendar)
@@ -23,8 +26,13 @@ def complete_grid(entities: DataFrame, calendar: Calendar, attributes: tuple[str
     first = F.when(snapped >= start, snapped).otherwise(following)
     end = F.lit(calendar.end)
     axis = F.when(first <= end, F.sequence(first, end, step))
-    unique = entities.select("entity", *attributes).dropDuplicates(["entity"])
-    return unique.select("entity", F.explode(axis).alias("period"), *attributes)
+    rows = entities.select("entity", *attributes)
+    if not unique:
+        rows = rows.dropDuplicates(["entity"])
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "entity").select(
+        "entity", F.explode(axis).alias("period"), *attributes
+    )
 
 
 def on_grid(grid: DataFrame, observed: DataFrame) -> DataFrame:

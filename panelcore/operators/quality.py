@@ -73,52 +73,59 @@ def long_gaps(panel: DataFrame, variables: list[str], limit: int) -> DataFrame:
     return missing_runs(melt(panel, variables)).where(F.col("gap_length") > limit)
 
 
-def _outlier(value: Column, median: Column, scale: Column, threshold: float) -> Column:
-    score = F.try_divide(F.abs(value - median), scale)
-    return F.coalesce(score > F.lit(threshold), F.lit(False))
+def _middle(ordered: Column) -> Column:
+    """Median of an ordered array; NULL when it is empty."""
+    n = F.size(ordered)
+    low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
+    return F.when(n > 0, (F.get(ordered, low) + F.get(ordered, high)) / 2)
+
 
+def _robust(values: str, prefix: str, df: DataFrame) -> DataFrame:
+    """Adds ``<prefix>_median`` and ``<prefix>_scale`` of the array column ``values``.
 
-def _scale(mad: Column, mean_ad: Column) -> Column:
-    """Robust sigma; NULL when the series has no spread at all."""
-    first, second = F.lit(MAD_TO_SIGMA) * mad, F.lit(MEAN_AD_TO_SIGMA) * mean_ad
-    return F.when(first > 0, first).when(second > 0, second)
+    The scale is NULL when a series has no spread at all.
+    """
+    df = df.withColumn(f"{prefix}_median", _middle(F.array_sort(values)))
+    dev = F.array_sort(F.transform(values, lambda x: F.abs(x - F.col(f"{prefix}_median"))))
+    df = df.withColumn(f"{prefix}_dev", dev)
+    first = F.lit(MAD_TO_SIGMA) * _middle(F.col(f"{prefix}_dev"))
+    total = F.aggregate(f"{prefix}_dev", F.lit(0.0), lambda acc, x: acc + x)
+    second = F.lit(MEAN_AD_TO_SIGMA) * F.try_divide(total, F.size(f"{prefix}_dev"))
+    scale = F.when(first > 0, first).when(second > 0, second)
+    return df.withColumn(f"{prefix}_scale", scale).drop(f"{prefix}_dev")
+
+
+def _is_extreme(value: Column, prefix: str, threshold: float) -> Column:
+    score = F.try_divide(F.abs(value - F.col(f"{prefix}_median")), F.col(f"{prefix}_scale"))
+    return F.coalesce(score > F.lit(threshold), F.lit(False))
 
 
 def mad_outliers(long: DataFrame, threshold: float) -> DataFrame:
-    """Long rows with ``is_outlier``; missing values are never flagged."""
-    w = _series()
-    return (
-        long.withColumn("_median", F.percentile("value", F.lit(0.5)).over(w))
-        .withColumn("_dev", F.abs(F.col("value") - F.col("_median")))
-        .withColumn("_mad", F.percentile("_dev", F.lit(0.5)).over(w))
-        .withColumn("_mean_ad", F.avg("_dev").over(w))
-        .select(
-            "entity", "period", "variable", "value",
-            _outlier(F.col("value"), F.col("_median"),
-                     _scale(F.col("_mad"), F.col("_mean_ad")), threshold).alias("is_outlier"),
-        )
+    """Long rows with ``is_outlier``; missing values are never flagged.
+
+    Median and scale are taken once per series, from an array that the period axis
+    bounds, and joined back on the series.
+    """
+    series = long.groupBy("entity", "variable").agg(F.collect_list("value").alias("_values"))
+    scales = _robust("_values", "_s", series).drop("_values")
+    return long.join(scales, ["entity", "variable"]).select(
+        "entity", "period", "variable", "value",
+        _is_extreme(F.col("value"), "_s", threshold).alias("is_outlier"),
     )
 
 
 def detect_outliers(panel: DataFrame, variables: list[str], threshold: float) -> DataFrame:
     """Panel plus ``<variable>_outlier``: flags only, nothing is removed.
 
-    Works on the wide panel: all variables share one shuffle by entity.
+    All variables share one aggregate and one join, both on the entity.
     """
-    w = W.partitionBy("entity")
-    df = panel
-    medians = {f"_med_{v}": F.percentile(v, F.lit(0.5)).over(w) for v in variables}
-    df = df.withColumns(medians)
-    df = df.withColumns({f"_dev_{v}": F.abs(F.col(v) - F.col(f"_med_{v}")) for v in variables})
-    spread = {f"_mad_{v}": F.percentile(f"_dev_{v}", F.lit(0.5)).over(w) for v in variables}
-    spread |= {f"_mean_{v}": F.avg(f"_dev_{v}").over(w) for v in variables}
-    df = df.withColumns(spread)
-    flags = [
-        _outlier(F.col(v), F.col(f"_med_{v}"), _scale(F.col(f"_mad_{v}"), F.col(f"_mean_{v}")),
-                 threshold).alias(f"{v}_outlier")
-        for v in variables
-    ]
-    return df.select(*panel.columns, *flags)
+    scales = panel.groupBy("entity").agg(
+        *[F.collect_list(F.col(v).cast("double")).alias(f"_{v}") for v in variables]
+    )
+    for v in variables:
+        scales = _robust(f"_{v}", f"_{v}", scales).drop(f"_{v}")
+    flags = [_is_extreme(F.col(v), f"_{v}", threshold).alias(f"{v}_outlier") for v in variables]
+    return panel.join(scales, "entity").select(*panel.columns, *flags)
 
 
 def interpolate_short_gaps(panel: DataFrame, variables: list[str], method: str, limit: int
@@ -230,36 +237,49 @@ def worst_gaps(panel: DataFrame, variables: list[str], limit: int, k: int = 3) -
 def quality_report(panel: DataFrame, variables: list[str], threshold: float) -> DataFrame:
     """Coverage, gaps, valid range and outliers per (entity, variable).
 
-    One shuffle by series: the outlier windows, the running count and both
-    aggregates all reuse the (entity, variable) partitioning.
+    The running counts that separate missing runs are taken on the wide panel, in one
+    window by entity; everything after keeps that partitioning.
     """
-    seen = F.count("value").over(
-        _series().orderBy("period").rowsBetween(W.unboundedPreceding, 0)
+    back = W.partitionBy("entity").orderBy("period").rowsBetween(W.unboundedPreceding, 0)
+    counted = panel.select(
+        "entity", "period", *variables, *[F.count(v).over(back).alias(f"_n_{v}") for v in variables]
     )
+    cells = F.array(*[
+        F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("value"),
+                 F.col(f"_n_{v}").alias("_seen"))
+        for v in variables
+    ])
     by_run = (
-        mad_outliers(melt(panel, variables), threshold)
-        .withColumn("_seen", seen)
+        counted.select("entity", "period", F.inline(cells))
         .groupBy("entity", "variable", "_seen")
         .agg(
             F.count(F.lit(1)).alias("_rows"),
-            F.count("value").alias("_present"),
-            F.min(F.when(F.col("value").isNotNull(), F.col("period"))).alias("_first"),
-            F.max(F.when(F.col("value").isNotNull(), F.col("period"))).alias("_last"),
-            F.count_if("is_outlier").alias("_outliers"),
+            F.max("value").alias("_value"),  # a run holds at most one observed value
+            F.min(F.when(F.col("value").isNotNull(), F.col("period"))).alias("_at"),
         )
     )
     report = by_run.groupBy("entity", "variable").agg(
         F.sum("_rows").alias("n_expected"),
-        F.sum("_present").alias("n_present"),
-        (F.sum("_present") / F.sum("_rows")).alias("coverage"),
-        (F.sum("_rows") - F.sum("_present")).alias("n_missing"),
-        F.max(F.col("_rows") - F.col("_present")).alias("longest_missing_run"),
-        F.min("_first").alias("first_valid"),
-        F.max("_last").alias("last_valid"),
-        F.sum("_outliers").alias("n_outliers"),
+        F.count("_value").alias("n_present"),
+        F.max(F.col("_rows") - F.col("_value").isNotNull().cast("int")).alias(
+            "longest_missing_run"),
+        F.min("_at").alias("first_valid"),
+        F.max("_at").alias("last_valid"),
+        F.collect_list("_value").alias("_values"),
     )
+    outliers = F.size(F.filter("_values", lambda x: _is_extreme(x, "_s", threshold)))
     share = F.coalesce(F.try_divide(F.col("n_outliers"), F.col("n_present")), F.lit(0.0))
-    return report.withColumn("pct_outliers", share)
+    return (
+        _robust("_values", "_s", report)
+        .withColumn("n_outliers", outliers.cast("long"))
+        .select(
+            "entity", "variable", "n_expected", "n_present",
+            (F.col("n_present") / F.col("n_expected")).alias("coverage"),
+            (F.col("n_expected") - F.col("n_present")).alias("n_missing"),
+            "longest_missing_run", "first_valid", "last_valid", "n_outliers",
+            share.alias("pct_outliers"),
+        )
+    )
 
 
 def entity_coverage(report: DataFrame) -> DataFrame:
