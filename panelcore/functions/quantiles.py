@@ -30,6 +30,9 @@ def pooled_quantiles(
 ) -> DataFrame:
     """``keys + (level, quantile)`` for few but arbitrarily large groups.
 
+    Few means a number the caller sets (folds of a run, positions of a year), so what
+    is known per group is broadcast; a group itself is never gathered.
+
     ``wanted`` is a list of levels, or a DataFrame ``keys + (level)`` when the level
     depends on the group. NULL values are ignored.
     """
@@ -63,7 +66,7 @@ def pooled_quantiles(
 
 
 def _with_ranks(rows: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.join(per_group, keys) if keys else one_group(per_group, rows)
+    return rows.join(F.broadcast(per_group), keys) if keys else one_group(per_group, rows)
 
 
 def _ordered(counts: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,13 +84,14 @@ def _ranged(counts: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFra
     offsets = _with_ranks(partition_offsets(split, keys, F.col("_c")), per_group, keys)
     wanted = F.filter("_ranks", lambda r: (r["_rank"] > F.col("_off"))
                       & (r["_rank"] <= F.col("_off") + F.col("_pc")))
-    # Range partitions without a wanted rank are left out by the join.
+    # At most two range partitions per wanted rank remain; all others are dropped by
+    # the join before anything is ordered.
     per_split = offsets.select(*keys, "_p", "_off", wanted.alias("_ranks")).where(
         F.size("_ranks") > 0
     )
     inside = W.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     running = (
-        split.join(per_split, [*keys, "_p"])
+        split.join(F.broadcast(per_split), [*keys, "_p"])
         .withColumn("_hi", F.col("_off") + F.sum("_c").over(inside))
         .withColumn("_lo", F.col("_hi") - F.col("_c"))
     )

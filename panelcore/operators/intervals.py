@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelcore.checks import ContractError
 from panelcore.functions.quantiles import EXACT_LIMIT, pooled_quantiles
+from panelcore.functions.ranks import one_group
 from panelcore.functions.scalars import finite
 from panelcore.operators.models import FittedModel
 from panelcore.params import ConformalParams
@@ -23,10 +24,9 @@ def calibration_residuals(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 def check_calibration(residuals: DataFrame, keys: list[str], p: ConformalParams) -> None:
     counts = residuals.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    short = counts.where(F.col("n") < p.min_residuals).take(1)
-    if short or counts.isEmpty():
-        got = short[0]["n"] if short else 0
-        raise ContractError(f"only {got} calibration residuals, need {p.min_residuals}")
+    r = counts.agg(F.min("n")).first()
+    if (r[0] or 0) < p.min_residuals:
+        raise ContractError(f"only {r[0] or 0} calibration residuals, need {p.min_residuals}")
 
 
 def conformal_width(residuals: DataFrame, keys: list[str], alpha: float,
@@ -49,10 +49,14 @@ def residual_quantiles(residuals: DataFrame, keys: list[str], levels=None,
 
 
 def predict_interval(scored: DataFrame, widths: DataFrame, keys: list[str]) -> DataFrame:
-    """Point plus and minus the half-width of its group (a few rows, auto-broadcast)."""
+    """Point plus and minus the half-width of its group.
+
+    ``widths`` has one row per fold, so it is broadcast: a shuffle on the fold would
+    put all rows of a fold into one task.
+    """
     w = F.col("width")
-    rows = (scored.join(widths.select(*keys, "width"), keys) if keys
-            else scored.withColumn("width", F.lit(widths.first()["width"])))
+    one = widths.select(*keys, "width")
+    rows = scored.join(F.broadcast(one), keys) if keys else one_group(one, scored)
     return rows.withColumn("lower", F.col("prediction") - w).withColumn(
         "upper", F.col("prediction") + w
     ).drop("width")
@@ -61,12 +65,12 @@ def predict_interval(scored: DataFrame, widths: DataFrame, keys: list[str]) -> D
 def predict_quantiles(scored: DataFrame, quantiles: DataFrame, keys: list[str]) -> DataFrame:
     """Point plus residual quantile, one row per level (19 levels by default).
 
-    Levels reach each row as one short array per group.
+    Levels reach each row as one short array; there is one array per fold.
     """
     packed = quantiles.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("level", "quantile"))).alias("_q")
     )
-    return scored.join(packed, keys).select(
+    return scored.join(F.broadcast(packed), keys).select(
         *scored.columns, F.explode("_q").alias("_e")
     ).select(
         *scored.columns, F.col("_e.level").alias("level"),

@@ -86,12 +86,12 @@ def project_recursive(panel: DataFrame, variables: list[str], model, t: TargetPa
     The loop length is a parameter. Each step writes the prediction for one more
     unobserved period back as a count, held inside the entity's observed range, and
     rescores through the model's own feature builder. Only the look-back tail of the
-    panel takes part, and every step ends in a checkpoint, so neither the data nor
-    the plan grows with the history.
+    panel takes part, and the predictions of every step end in a checkpoint, so neither
+    the data nor the plan grows with the history.
     """
     h = model.horizon
     ends = last_observed(panel, t.target).select("entity", "last_observed")
-    bounds = plausible_range(panel, t.target, clamp)
+    bounds = cut_lineage(plausible_range(panel, t.target, clamp))
     earliest = ends.agg(F.min("last_observed")).first()[0]
     if earliest is None:
         raise ValueError("no entity has an observed target to project from")
@@ -130,24 +130,26 @@ def project_recursive(panel: DataFrame, variables: list[str], model, t: TargetPa
                     "lower_rate")
         )
 
-    known = cut_lineage(scored(working, h, 1))
-    curve = [known.withColumns({"mode": F.lit("direct"), "depth": F.lit(0)})]
-    for depth in range(1, p.max_recursive_steps + 1):
-        fed = known.where(F.col("steps_ahead") == depth).select(
+    def fed_back(predictions: DataFrame, depth: int) -> DataFrame:
+        """The base panel with predictions of the first ``depth`` open periods as counts."""
+        fed = predictions.where(F.col("steps_ahead") <= depth).select(
             "entity", F.col("target_date").alias("period"), F.col("predicted_rate").alias("_r")
         )
-        value = F.least(
-            F.greatest(F.col("_r") * F.col(t.exposure) / F.lit(t.per), F.col("low")),
-            F.col("high"),
-        )
-        working = cut_lineage(
+        count = F.col("_r") * F.col(t.exposure) / F.lit(t.per)
+        held = F.when(count.isNotNull(),
+                      F.least(F.greatest(count, F.col("low")), F.col("high")))
+        return (
             working.join(fed, ["entity", "period"], "left").join(bounds, "entity", "left")
-            .withColumn(t.target, F.when(F.col("_r").isNotNull(),
-                                         F.coalesce(F.col(t.target), value))
-                        .otherwise(F.col(t.target)))
+            .withColumn(t.target, F.coalesce(F.col(t.target), held))
             .select("entity", "period", *variables)
         )
-        step = cut_lineage(scored(working, h + depth, h + depth))
+
+    # Only the predictions of a step are materialised; the panel is always the same
+    # base plus what is known, so no plan is longer than the first one.
+    known = cut_lineage(scored(working, h, 1))
+    curve = [known.withColumns({"mode": F.lit("direct"), "depth": F.lit(0)})]
+    for depth in range(1, p.max_recursive_steps + 1):
+        step = cut_lineage(scored(fed_back(known, depth), h + depth, h + depth))
         curve.append(step.withColumns({"mode": F.lit("recursive"), "depth": F.lit(depth)}))
         known = known.unionByName(step)
 

@@ -120,9 +120,11 @@ def broadcast_series(series: DataFrame, grid: DataFrame) -> DataFrame:
     """Give one national ``period, variable, value`` series to every entity.
 
     The grid already lists every (entity, period), so this is an equality join on
-    the period and never a product of two tables.
+    the period and never a product of two tables. One national series has one row per
+    period of the axis, which bounds what is broadcast; a shuffle on the period would
+    gather all entities of a period in one task.
     """
-    return grid.select("entity", "period").join(series, "period").select(
+    return grid.select("entity", "period").join(F.broadcast(series), "period").select(
         "entity", "period", "variable", "value"
     )
 
