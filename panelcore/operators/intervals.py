@@ -110,5 +110,8 @@ def conformalise(inner: FittedModel, calibration: DataFrame, p: ConformalParams
                  ) -> ConformalModel:
     """Wrap a fitted model, calibrated on rows it has not been fitted on."""
     residuals = calibration_residuals(inner.transform(calibration), [])
-    check_calibration(residuals, [], p)
-    return ConformalModel(inner, conformal_width(residuals, [], p.alpha).first()["width"])
+    found = conformal_width(residuals, [], p.alpha).first()
+    n = found["n"] if found else 0
+    if n < p.min_residuals:
+        raise ContractError(f"only {n} calibration residuals, need {p.min_residuals}")
+    return ConformalModel(inner, found["width"])
