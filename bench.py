@@ -18,6 +18,7 @@ HEADLINE = [
     "customer_month_panel",
     "quality_report_customers",
     "clean_panel_customers",
+    "feature_design_customers",
     "lag_features",
     "mad_outliers",
     "quality_report",

@@ -97,11 +97,12 @@ def design_sql(h: int = 1, spatial: bool = True, steps: int = 6) -> str:
     cols = design_columns(h, spatial)
     listed = ",\n         ".join(f"{sql} AS {name}" for name, (sql, _) in cols.items())
     complete = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    join = "LEFT JOIN sp ON sp.entity = p.entity AND sp.period = p.period" if spatial else ""
     return f""",
 wide AS (
   SELECT p.entity, p.period, {listed},
          lead(p.target_level, {h}) OVER w AS y
-  FROM levels p LEFT JOIN sp ON sp.entity = p.entity AND sp.period = p.period
+  FROM levels p {join}
   WINDOW w AS (PARTITION BY p.entity ORDER BY p.period),
          r3 AS (PARTITION BY p.entity ORDER BY p.period ROWS 2 PRECEDING)),
 complete AS (
@@ -254,6 +255,17 @@ def feature_design(spark, d):
     return wide
 
 
+@query("feature_design_customers", customers(""",
+levels AS (SELECT *, 1000.0::DOUBLE AS exposure, ln(1 + orders / 1000.0 * 100000) AS target_level
+           FROM panel)""" + design_sql(1, False) + " " + pick(
+    "entity period " + " ".join(f"~{c}" for c in design_columns(1, False)) + " ~y", "FROM wide")))
+def feature_design_customers(spark, d):
+    """The design over every customer and month, where the panel grows with the tables."""
+    p = dataclasses.replace(PLAIN, include_spatial=False)
+    panel = customer_panel(spark, d).withColumn("exposure", F.lit(1000.0))
+    return features.design(panel, p, TARGET, MONTHS, 1)[0]
+
+
 @query("source_selection", monthly(DESIGN + " " + pick(
     "entity period ~avg_price ~max_price ~avg_price_lag_1 ~avg_price_lag_2 ~avg_price_lag_3 "
     "~avg_price_lag_12 ~avg_price_roll3_mean ~max_price_roll3_mean ~season_sin ~season_cos ~y",
