@@ -74,14 +74,21 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def nation_of_customer(spark, d) -> DataFrame:
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    return named(spark, d, c, "c_nationkey").select("c_custkey", "entity")
+
+
+def named(spark, d, rows: DataFrame, key: str) -> DataFrame:
+    """Nation names for rows that carry a nation key."""
     n = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("entity"))
-    return c.join(n, c.c_nationkey == n.n_nationkey).select("c_custkey", "entity")
+    return rows.join(n, rows[key] == n["n_nationkey"]).drop("n_nationkey", key)
 
 
 def exposure(spark, d) -> DataFrame:
-    return nation_of_customer(spark, d).groupBy("entity").agg(
+    """Customers are counted per key first; the names join 25 rows."""
+    people = table(spark, d, "customer").groupBy("c_nationkey").agg(
         (F.count(F.lit(1)) * F.lit(1000.0)).alias("exposure")
     )
+    return named(spark, d, people, "c_nationkey").select("entity", "exposure")
 
 
 def order_partials(spark, d, calendar: Calendar) -> DataFrame:
@@ -91,10 +98,12 @@ def order_partials(spark, d, calendar: Calendar) -> DataFrame:
 
 def observed(spark, d, calendar: Calendar) -> DataFrame:
     """``entity, period, orders, avg_price, max_price`` for observed cells only."""
-    facts = entity_facts(order_partials(spark, d, calendar), nation_of_customer(spark, d),
-                         "o_custkey", "c_custkey")
-    return facts.select("entity", "period", F.col("n").alias("orders"),
-                        F.col("mean").alias("avg_price"), F.col("top").alias("max_price"))
+    keys = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("entity"))
+    facts = entity_facts(order_partials(spark, d, calendar), keys, "o_custkey", "c_custkey")
+    by_key = facts.withColumnRenamed("entity", "key")
+    return named(spark, d, by_key, "key").select(
+        "entity", "period", F.col("n").alias("orders"), F.col("mean").alias("avg_price"),
+        F.col("top").alias("max_price"))
 
 
 def nation_panel(spark, d, calendar: Calendar = MONTHS) -> DataFrame:

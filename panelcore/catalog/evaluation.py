@@ -15,6 +15,7 @@ from panelcore.catalog.base import (
     pick,
     query,
     staged_panel,
+    table,
 )
 from panelcore.catalog.features import (
     COLUMNS,
@@ -23,13 +24,19 @@ from panelcore.catalog.features import (
     PLAIN,
     SPATIAL,
     build,
+    design_columns,
     design_sql,
     nation_edges,
 )
 from panelcore.operators import evaluate, folds, models
 from panelcore.params import ConformalParams, FoldParams, SeasonalParams
+from panelcore.plans.production import (
+    Experiment,
+    Setting,
+    evaluate_selection,
+    run_ablations,
+)
 from panelcore.session import cut_lineage
-from panelcore.plans.production import Experiment, Setting, run_ablations
 
 FOLDS = FoldParams(n_folds=4, initial_train=24, test_size=6, step=6)
 CONFORMAL = ConformalParams()
@@ -296,7 +303,7 @@ def _ablation_sql() -> str:
                                   ("seasonal_naive", f"target_level_lag_{12 - h}")):
                 body = (design_sql(h, spatial) + roles_sql(h) + scored_sql(h, column)
                         + metrics_sql() + SUMMARY).lstrip(",\n")
-                n = len(PLAIN_COLUMNS[h, spatial])
+                n = len(design_columns(h, spatial))
                 parts.append(f"""(WITH {body}
 SELECT '{name}' AS experiment, '{model}' AS model, {h} AS horizon, {n} AS n_features,
        (SELECT count(*) FROM samples) AS n_samples, 4 AS folds,
@@ -308,15 +315,6 @@ SELECT '{name}' AS experiment, '{model}' AS model, {h} AS horizon, {n} AS n_feat
         "FROM cells")
 
 
-def _n_columns():
-    from panelcore.catalog.features import design_columns
-
-    return {(h, s): list(design_columns(h, s)) for h in (1, 3) for s in (True, False)}
-
-
-PLAIN_COLUMNS = _n_columns()
-
-
 @query("ablation_grid", monthly(_ablation_sql()))
 def ablation_grid(spark, d):
     setting = Setting(TARGET, MONTHS, FOLDS, CONFORMAL)
@@ -348,8 +346,6 @@ results AS (
 
 
 def _results(spark, d):
-    from panelcore.catalog.base import table
-
     w = W.partitionBy("entity").orderBy("period")
     n, r = table(spark, d, "nation"), table(spark, d, "region")
     region = n.join(r, n.n_regionkey == r.r_regionkey).select(
@@ -394,19 +390,33 @@ def select_configuration(spark, d):
     return evaluate.select_configuration(_results(spark, d), "ASIA")
 
 
-@query("selection_check", monthly(SPATIAL + ", cells AS (" + " UNION ALL ".join(
-    f"""(WITH {(design_sql(1, True) + roles_sql(1) + scored_sql(1, 'target_level_lag_0') + metrics_sql() + SUMMARY).lstrip(', ' + chr(10)) if name == 'all' else (
-        ''', wide AS (SELECT entity, period, avg_price, target_level_lag_0, y FROM (SELECT p.entity, p.period, p.avg_price, p.target_level AS target_level_lag_0, lead(p.target_level, 1) OVER (PARTITION BY p.entity ORDER BY p.period) AS y FROM levels p)),
-complete AS (SELECT *, sum(CASE WHEN avg_price IS NOT NULL AND target_level_lag_0 IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY period ROWS 5 PRECEDING) AS n_ok FROM wide),
-samples AS (SELECT * FROM complete WHERE n_ok = 6 AND y IS NOT NULL)''' + roles_sql(1) + scored_sql(1, 'target_level_lag_0') + metrics_sql() + SUMMARY).lstrip(', ' + chr(10))}
+# The selected cell keeps two columns, so more samples survive.
+TWO_COLUMNS = """,
+wide AS (
+  SELECT entity, period, avg_price, target_level AS target_level_lag_0,
+         lead(target_level, 1) OVER (PARTITION BY entity ORDER BY period) AS y
+  FROM levels),
+complete AS (
+  SELECT *, count(avg_price + target_level_lag_0)
+              OVER (PARTITION BY entity ORDER BY period ROWS 5 PRECEDING) AS n_ok
+  FROM wide),
+samples AS (SELECT * FROM complete WHERE n_ok = 6 AND y IS NOT NULL)"""
+
+
+def _selection_sql() -> str:
+    tail = roles_sql() + scored_sql(1, "target_level_lag_0") + metrics_sql() + SUMMARY
+    parts = [
+        f"""(WITH {(ctes + tail).lstrip(",").lstrip()}
 SELECT '{name}' AS experiment, {n} AS n_features, (SELECT count(*) FROM samples) AS n_samples,
        max(mean) FILTER (metric = 'mae_rate') AS mae_rate,
        max(std) FILTER (metric = 'mae_rate') AS mae_rate_std FROM summary)"""
-    for name, n in (("all", len(COLUMNS)), ("selected", 2))) + ") " + pick(
-    "experiment #n_features #n_samples ~mae_rate ~mae_rate_std", "FROM cells")))
-def selection_check(spark, d):
-    from panelcore.plans.production import evaluate_selection
+        for name, n, ctes in (("all", len(COLUMNS), design_sql()), ("selected", 2, TWO_COLUMNS))]
+    return SPATIAL + ", cells AS (" + " UNION ALL ".join(parts) + ") " + pick(
+        "experiment #n_features #n_samples ~mae_rate ~mae_rate_std", "FROM cells")
+
 
+@query("selection_check", monthly(_selection_sql()))
+def selection_check(spark, d):
     setting = Setting(TARGET, MONTHS, FOLDS, CONFORMAL)
     table = evaluate_selection(staged_panel(spark, d), PLAIN, ["avg_price", "target_level_lag_0"],
                                1, setting, "persistence", nation_edges(spark, d))

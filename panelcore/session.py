@@ -61,10 +61,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise reliably, so that a lost executor does not replay what came before.
-
-    The result keeps its partitioning, so a panel cut here is still grouped by entity.
-    """
+    """Materialise reliably, so that a lost executor does not replay what came before."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
