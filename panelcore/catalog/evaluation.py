@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import dataclasses
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -102,7 +100,7 @@ PERSISTENCE = EVAL + scored_sql(1, "target_level_lag_0")
 SEASONAL_NAIVE = EVAL + scored_sql(1, "target_level_lag_11")
 
 
-@query("fold_table", monthly(EVAL + " SELECT CAST(fold AS BIGINT) AS fold, period, role FROM roles"))
+@query("fold_table", monthly(EVAL + " " + pick("#fold period role", "FROM roles")))
 def fold_table(spark, d):
     samples, _ = build(spark, d, PLAIN)
     return folds.fold_table(spark, cuts(samples))
@@ -275,7 +273,8 @@ def _compare_sql() -> str:
 
 @query("compare_runs", monthly(_compare_sql()))
 def compare_runs(spark, d):
-    runs = {"persistence": models.persistence, "seasonal_naive": lambda s: models.seasonal_naive(s, 12)}
+    runs = {"persistence": models.persistence,
+            "seasonal_naive": lambda s: models.seasonal_naive(s, 12)}
     tables = [
         evaluate.aggregate_folds(_metrics(spark, d, f), COMPARED).withColumn("run", F.lit(n))
         for n, f in runs.items()]

@@ -128,12 +128,16 @@ def alert_summary(spark, d):
     return risk.alert_summary(advice(spark, d), RISK)
 
 
-SENTENCE = """,
+def _one_decimal(x: str) -> str:
+    return f"CAST(round(CAST({x} AS DECIMAL(38,9)), 1) AS DECIMAL(38,1))"
+
+
+SENTENCE = f""",
 sentences AS (
-  SELECT *, tier || ' - predicted ' || CAST(round(CAST(predicted_rate AS DECIMAL(38,9)), 1) AS DECIMAL(38,1)) ||
-         ' cases per 100k (80% interval upper bound ' || CAST(round(CAST(upper_rate AS DECIMAL(38,9)), 1) AS DECIMAL(38,1)) || ')' ||
+  SELECT *, tier || ' - predicted ' || {_one_decimal('predicted_rate')} ||
+         ' cases per 100k (80% interval upper bound ' || {_one_decimal('upper_rate')} || ')' ||
          CASE WHEN tier_index > 0
-              THEN ', above the ' || threshold_label || ' of ' || CAST(round(CAST(threshold_rate AS DECIMAL(38,9)), 1) AS DECIMAL(38,1))
+              THEN ', above the ' || threshold_label || ' of ' || {_one_decimal('threshold_rate')}
                    || ' for ' || entity || ' (n=' || n_observations || ')'
               ELSE ', below the lowest threshold for ' || entity END ||
          '. Actions: ' || actions || '.' AS sentence

@@ -3,14 +3,12 @@
 ``percentile`` keeps every distinct value of a group in one task. That is right
 where a group is one entity, whose rows the period axis bounds, and wrong where
 a group is pooled over all entities. ``pooled_quantiles`` serves the second case:
-it first narrows each wanted rank to a short value bracket using mergeable
-sketches, counts what lies below, and orders only the distinct values inside.
+equal values collapse first, and what is left is ordered by range partitions whose
+offsets turn a global rank into a local one.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F

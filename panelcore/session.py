@@ -48,7 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
     driver and executors are one process, may fall back to a temporary folder.
     """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    key = "spark.checkpoint.dir"
+    configured = spark.conf.get(key, None) or sc.getConf().get(key) or sc.getCheckpointDir()
     if configured:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(configured)

@@ -4,13 +4,12 @@ from datetime import date
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import TARGET, calendar, months, series, wave_panel
+from conftest import TARGET, calendar, series, wave_panel
 from pyspark.sql import functions as F
 
 from panelcore.checks import ContractError
 from panelcore.functions.scalars import damped_steps, inverse_target
 from panelcore.operators import evaluate, project, risk, seasonal, serving, whatif
-from panelcore.operators.features import with_level
 from panelcore.params import (
     ClampParams,
     FeatureParams,
