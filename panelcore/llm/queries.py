@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcore.llm import exact_dedup, simhash
+from panelcore.llm import exact_dedup, mixing, sharding, simhash
 from panelcore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,16 @@ def query(f):
     return f
 
 
+@query
+def op4_mixing(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), cycle=(5, 2, 1), max_repeats=3)
+
+
+@query
+def op5_sharding(spark: SparkSession, d: str) -> DataFrame:
+    return sharding.shard_table(table(spark, d, "documents"), shards=24)
+
+
 @query
 def op6_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, d, "documents"), words=3, budget=2)
