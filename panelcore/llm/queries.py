@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcore.llm import decontam, exact_dedup, mixing, sharding, simhash
+from panelcore.llm import decontam, exact_dedup, html_extract, mixing, sharding, simhash
 from panelcore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,11 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
 
+@query
+def op8_html_extraction(spark: SparkSession, d: str) -> DataFrame:
+    return html_extract.extract(table(spark, d, "pages"))
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, d, "documents"))
