@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcore.llm import decontam, exact_dedup, html_extract, mixing, sharding, simhash
+from panelcore.llm import (
+    decontam,
+    exact_dedup,
+    html_extract,
+    mixing,
+    quality,
+    sharding,
+    simhash,
+    toxicity,
+)
 from panelcore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +27,11 @@ def query(f):
     return f
 
 
+@query
+def op1_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.scored(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query
 def op4_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), cycle=(5, 2, 1), max_repeats=3)
@@ -93,3 +107,8 @@ SELECT doc_id,
        text_sha256
 FROM n
 """
+
+
+@query
+def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.scored(table(spark, d, "documents"), table(spark, d, "labels"))
