@@ -10,13 +10,16 @@ from panelcore.llm import (
     decontam,
     exact_dedup,
     html_extract,
+    line_dedup,
     mixing,
     quality,
     sharding,
     simhash,
+    token_scan,
     toxicity,
 )
 from panelcore.llm.common import table
+from panelcore.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +35,16 @@ def op1_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.scored(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+@query
+def op2_separator_scan(spark: SparkSession, d: str) -> DataFrame:
+    return token_scan.token_counts(table(spark, d, "documents"), scratch_path(spark, "tokens"))
+
+
+@query
+def op3_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return line_dedup.removed_units(table(spark, d, "documents"))
+
+
 @query
 def op4_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), cycle=(5, 2, 1), max_repeats=3)
