@@ -71,11 +71,12 @@ def _windows(words: Column, hit: Column, span: int, gram: int, short: list[int])
     full = cut(span, _let(_grams(words, gram), lambda g: F.filter(
         _upto(F.size(g) - (width - 1)),
         lambda i: F.array_contains(hit, F.array_min(F.slice(g, i, width))))))
-    parts = [full] + [
-        cut(n, F.filter(_upto(F.size(words) - (n - 1)),
-                        lambda i, n=n: F.array_contains(hit, F.xxhash64(F.slice(words, i, n)))))
-        for n in short
-    ]
+
+    def shorter(n: int) -> Column:
+        return cut(n, F.filter(_upto(F.size(words) - (n - 1)),
+                               lambda i: F.array_contains(hit, F.xxhash64(F.slice(words, i, n)))))
+
+    parts = [full, *map(shorter, short)]
     return F.concat(*parts) if short else full
 
 
@@ -146,7 +147,8 @@ def clean_rows(docs: DataFrame, items: DataFrame, span: int = 13, gram: int = 5,
                share: int = 20) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     keyed = docs.select("text", F.md5(text_of()).alias("key"))
-    by_text = judged_texts(keyed, items, span, gram).select(F.col("key").alias("_key"), "n_hit")
+    by_text = judged_texts(keyed, items, span, gram).select(
+        F.col("key").alias("_key"), F.col("n_hit").alias("_hits"))
     tagged = docs.withColumn("_md5", F.md5(text_of()))
-    bad = (F.col("_md5") == F.col("_key")) & (F.col("n_hit") * share >= F.size(words_of()))
+    bad = (F.col("_md5") == F.col("_key")) & (F.col("_hits") * share >= F.size(words_of()))
     return tagged.join(cut_lineage(by_text), bad, "left_anti").drop("_md5")
