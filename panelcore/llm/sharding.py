@@ -110,9 +110,10 @@ def sharded_rows(docs: DataFrame, shards: int = 24, per_shard: int = 256) -> Dat
     numbered over the whole rows.
     """
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
-    rows = docs.select(*kept, F.md5(text_of()).alias("grp"),
-                       (F.octet_length(text_of()) + ROW_BYTES).cast("long").alias("_size"))
-    narrow = cut_lineage(rows.select("grp", F.col("_size").alias("size")))
+    rows = docs.select(F.struct(*kept).alias("row"), F.md5(text_of()).alias("grp"),
+                       F.col("doc_id").alias("id"))
+    narrow = cut_lineage(docs.select(
+        F.md5(text_of()).alias("grp"), (F.octet_length(text_of()) + ROW_BYTES).alias("size")))
     where = assign(narrow.groupBy("grp").agg(F.sum("size").alias("size")), shards, per_shard)
     out = rows.join(where.select("grp", "shard"), "grp")
-    return number_slots(out, ["doc_id", "grp"], narrow.count()).select(*kept, "shard", "slot")
+    return number_slots(out, ["id", "grp"], narrow.count()).select("row.*", "shard", "slot")
