@@ -98,8 +98,7 @@ def linear_attribution(spark, d):
 @query("sampled_attribution")
 def sampled_attribution(spark, d):
     samples, spec = _samples(spark, d)
-    rows = attribution.rows_to_explain(samples, 20)
-    return attribution.explain_sampled(rows, spec, Weighted([*OLDER, *NEWER]), samples,
+    return attribution.explain_sampled(samples, spec, Weighted([*OLDER, *NEWER]), samples,
                                        permutations=20)
 
 

@@ -32,7 +32,7 @@ from panelcore.plans.production import (
     Experiment,
     Setting,
     evaluate_selection,
-    run_ablations,
+    ablation_grid as ablations,
 )
 from panelcore.session import cut_lineage
 
@@ -42,14 +42,18 @@ SEASONAL = SeasonalParams()
 
 
 def cuts(samples, horizon: int = 1):
-    return folds.rolling_origin(folds.distinct_periods(samples), FOLDS, horizon)
+    return folds.rolling_origin(samples, FOLDS, horizon)
 
 
 def scored_by(spark, d, factory, p=PLAIN, horizon: int = 1):
-    """Validation and test rows of every fold, from samples materialised once."""
+    """Validation and test rows of every fold, from samples materialised once.
+
+    Arrays are stored only for forecasters that read them.
+    """
     samples, spec = build(spark, d, p, horizon)
-    samples = cut_lineage(samples)
-    return evaluate.score_folds(samples, cuts(samples, horizon), lambda: factory(spec), guard=False)
+    samples = cut_lineage(samples if factory(spec).reads_sequence else samples.drop("seq"))
+    return evaluate.score_folds(samples, cuts(samples, horizon), FOLDS, lambda: factory(spec),
+                                guard=False)
 
 
 def roles_sql(h: int = 1) -> str:
@@ -103,7 +107,7 @@ SEASONAL_NAIVE = EVAL + scored_sql(1, "target_level_lag_11")
 @query("fold_table", monthly(EVAL + " " + pick("#fold period role", "FROM roles")))
 def fold_table(spark, d):
     samples, _ = build(spark, d, PLAIN)
-    return folds.fold_table(spark, cuts(samples))
+    return cuts(samples)
 
 
 @query("fold_counts", monthly(EVAL + """
@@ -119,9 +123,7 @@ SELECT count(DISTINCT period) AS n_periods,
        CAST((count(DISTINCT period) - 30) // 6 + 1 AS BIGINT) AS n_folds FROM samples"""))
 def available_folds(spark, d):
     samples, _ = build(spark, d, PLAIN)
-    spare = F.col("n_periods") - FOLDS.initial_train - FOLDS.test_size
-    return samples.agg(F.count_distinct("period").alias("n_periods")).withColumn(
-        "n_folds", F.when(spare < 0, 0).otherwise(F.floor(spare / FOLDS.step) + 1))
+    return folds.available_folds(samples, FOLDS)
 
 
 @query("tail_split", monthly(DESIGN + """,
@@ -172,8 +174,8 @@ def standardised_features(spark, d):
     mean, sd = models.scale_factors(samples, spec)
     rows = models.standardise(samples, mean, sd).select("entity", F.explode("seq").alias("r"))
     return rows.groupBy("entity").agg(
-        F.avg(F.col("r")[spec.position("orders")]).alias("orders"),
-        F.avg(F.col("r")[spec.position("avg_price")]).alias("avg_price"))
+        F.avg(F.col("r")[spec.columns.index("orders")]).alias("orders"),
+        F.avg(F.col("r")[spec.columns.index("avg_price")]).alias("avg_price"))
 
 
 SCORED = pick("#fold role entity period ~y ~prediction", "FROM scored")
@@ -317,12 +319,26 @@ SELECT '{name}' AS experiment, '{model}' AS model, {h} AS horizon, {n} AS n_feat
 @query("ablation_grid", monthly(_ablation_sql()))
 def ablation_grid(spark, d):
     setting = Setting(TARGET, MONTHS, FOLDS, CONFORMAL)
-    table, _ = run_ablations(staged_panel(spark, d), PLAIN, GRID, [1, 3], setting,
-                             ["persistence", "seasonal_naive"], nation_edges(spark, d))
+    table, _ = ablations(staged_panel(spark, d), PLAIN, GRID, [1, 3], setting,
+                         ["persistence", "seasonal_naive"], nation_edges(spark, d))
     return table.select("experiment", "model", "horizon", "n_features", "n_samples", "folds",
                         "mae_rate", "mae_rate_std", "r2_log")
 
 
+@query("ablation_skips", """
+SELECT 'no_history' AS experiment, m AS model, CAST(h AS BIGINT) AS horizon,
+       'the feature set carries no ' || chr(39) || 'target_level_lag_' ||
+       CASE WHEN m = 'persistence' THEN '0' ELSE CAST(12 - h AS VARCHAR) END || chr(39) AS reason
+FROM (VALUES ('persistence'), ('seasonal_naive')) a(m), (VALUES (1), (3)) b(h)
+WHERE EXISTS (SELECT 1 FROM orders)""")
+def ablation_skips(spark, d):
+    """What a grid leaves out: without the target's history neither baseline can run."""
+    setting = Setting(TARGET, MONTHS, FOLDS, CONFORMAL)
+    grid = [Experiment("base"), Experiment("no_history", {"include_target_lags": False})]
+    return ablations(staged_panel(spark, d), PLAIN, grid, [1, 3], setting,
+                     ["persistence", "seasonal_naive"], nation_edges(spark, d))[1]
+
+
 # A results table derived from the data: "experiment" is the lag used as forecast,
 # "model" the region, and the years act as folds.
 RESULTS_SQL = """,

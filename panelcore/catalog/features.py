@@ -126,7 +126,7 @@ f AS (SELECT entity, period, lag(orders, 1) OVER w AS orders_lag_1,
       FROM panel WINDOW w AS (PARTITION BY entity ORDER BY period)) """ + pick(
     "entity period ~orders_lag_1 ~orders_lag_12 ~avg_price_lag_1 ~avg_price_lag_12", "FROM f")))
 def lag_features(spark, d):
-    cols, _ = features.lag_columns(["orders", "avg_price"], (1, 12))
+    cols = features.lag_columns(["orders", "avg_price"], (1, 12))
     return customer_panel(spark, d).select("entity", "period", *cols)
 
 
@@ -141,7 +141,7 @@ _ROLLED = [f"{v}_roll{w}_{a}" for v in ("orders", "avg_price") for w in (3, 6) f
                     r6 AS (PARTITION BY entity ORDER BY period ROWS 5 PRECEDING)) """ + pick(
     "entity period " + " ".join(f"~{c}" for c in _ROLLED), "FROM f")))
 def rolling_features(spark, d):
-    cols, _ = features.rolling_columns(["orders", "avg_price"], (3, 6), tuple(_AGGS))
+    cols = features.rolling_columns(["orders", "avg_price"], (3, 6), tuple(_AGGS))
     return nation_panel(spark, d, WEEKS).select("entity", "period", *cols)
 
 
@@ -196,11 +196,10 @@ def cyclic_weeks(spark, d):
     "FROM grid g CROSS JOIN nation"))
 def entity_identity(spark, d):
     names = nation_names(spark, d)
-    cols, origins = features.identity_columns(names)
-    wide = nation_panel(spark, d).select("entity", "period", *cols)
-    long = wide.unpivot(["entity", "period"], [o.column for o in origins], "marker", "value")
-    skip = len(features.IDENTITY_PREFIX) + 1
-    return long.withColumn("marker", F.substring("marker", skip, 1000))
+    wide = nation_panel(spark, d).select("entity", "period", *features.identity_columns(names))
+    long = wide.unpivot(["entity", "period"], wide.columns[2:], "marker", "value")
+    return long.withColumn(
+        "marker", F.replace("marker", F.lit(features.IDENTITY_PREFIX), F.lit("")))
 
 
 @query("level_and_static_features", monthly(" " + pick(
@@ -243,7 +242,7 @@ def forward_target(spark, d):
         "FROM f")))
 def target_lag_features(spark, d):
     offsets = features.target_offsets(FULL, 3, 12)
-    cols, _ = features.target_lag_columns("orders", offsets)
+    cols = features.target_lag_columns("orders", offsets)
     return nation_levels(spark, d).select("entity", "period", *cols)
 
 
@@ -293,12 +292,12 @@ cells AS (
     "FROM cells JOIN (SELECT entity, period, y FROM samples) USING (entity, period)")))
 def window_sequences(spark, d):
     samples, spec = build(spark, d, FULL)
-    i = spec.position("target_level_lag_0")
+    i = spec.columns.index("target_level_lag_0")
     total = F.aggregate("seq", F.lit(0.0), lambda acc, row: acc + row[i])
     return samples.select(
         "entity", "period",
-        features.step_value(spec, "orders", 5).alias("oldest"),
-        features.step_value(spec, "orders").alias("newest"),
+        features.step_value(samples, spec, "orders", 5).alias("oldest"),
+        features.step_value(samples, spec, "orders").alias("newest"),
         total.alias("level_sum"), F.size("seq").alias("n_steps"), "y")
 
 
@@ -313,7 +312,7 @@ SELECT "column", CAST(round(CAST(mean_value AS DECIMAL(38,9)), 6) AS DOUBLE) AS
 FROM long"""))
 def flat_columns(spark, d):
     samples, spec = build(spark, d, PLAIN)
-    names = F.array(*map(F.lit, spec.flat_columns))
+    names = F.array(*map(F.lit, features.flat_names(spec)))
     flat = features.flatten_sequence(F.col("seq"))
     long = samples.select(F.explode(F.arrays_zip(names.alias("column"), flat.alias("v"))).alias(
         "c"))

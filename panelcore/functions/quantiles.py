@@ -1,4 +1,4 @@
-"""Exact linear-interpolation quantiles at two sizes.
+"""Exact linear-interpolation quantiles, for groups of any size.
 
 ``percentile`` keeps every distinct value of a group in one task. That is right
 where a group is one entity, whose rows the period axis bounds, and wrong where
@@ -15,16 +15,12 @@ from pyspark.sql import functions as F
 
 from panelcore.functions.ranks import one_group, partition_offsets, range_split
 
-#: Distinct values of a group that one task may order; larger groups are range-split.
-EXACT_LIMIT = 200_000
-
 
 def pooled_quantiles(
     df: DataFrame,
     keys: list[str],
     value: str,
     wanted: DataFrame | list[float],
-    exact_limit: int = EXACT_LIMIT,
 ) -> DataFrame:
     """``keys + (level, quantile)`` for few but arbitrarily large groups.
 
@@ -41,7 +37,7 @@ def pooled_quantiles(
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_d"))
+    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     if isinstance(wanted, list):
         levels = F.explode(F.array(*[F.lit(float(q)) for q in wanted]))
         ranks = totals.withColumn("level", levels)
@@ -50,7 +46,7 @@ def pooled_quantiles(
     # Both neighbours of the fractional rank (n-1)*level, as 1-based integer ranks.
     h = F.col("level") * (F.col("_n") - 1)
     ranks = ranks.select(
-        *keys, "level", "_n", "_d", h.alias("_h"),
+        *keys, "level", "_n", h.alias("_h"),
         F.explode(F.array_distinct(F.array(F.floor(h), F.ceil(h)))).alias("_r0"),
     ).withColumn("_rank", F.col("_r0") + 1)
 
@@ -58,24 +54,13 @@ def pooled_quantiles(
     per_group = ranks.groupBy(*keys).agg(
         F.collect_set(F.struct("level", "_h", "_r0", "_rank")).alias("_ranks")
     )
-    largest = totals.agg(F.max("_d")).first()[0] or 0
-    look_up = _ordered if largest <= exact_limit else _ranged
-    return _interpolate(look_up(counts, per_group, keys), keys)
+    return _interpolate(_ranged(counts, per_group, keys), keys)
 
 
 def _with_ranks(rows: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(F.broadcast(per_group), keys) if keys else one_group(per_group, rows)
 
 
-def _ordered(counts: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
-    """Ranks looked up in running totals; groups are small enough to order."""
-    w = W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    running = counts.withColumn("_hi", F.sum("_c").over(w)).withColumn(
-        "_lo", F.col("_hi") - F.col("_c")
-    )
-    return _matching(_with_ranks(running, per_group, keys), keys)
-
-
 def _ranged(counts: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
     """Ranks looked up across range partitions, so no group sits in one task."""
     split = range_split(counts, [*keys, "_v"])

@@ -211,28 +211,41 @@ def entity_drivers(values: DataFrame, provenance: DataFrame, entity: str, k: int
     )
 
 
+#: Fixed wording per kind of column; names in braces are filled from provenance.
+PHRASES = {
+    "identity": "{name} (current)",
+    "lag": "{name} lag-{lag}",
+    "rolling": "{name} {window}-period {agg}",
+    "spatial_lag": "neighbouring {name} lag-{lag}",
+    "cyclic": "{name} ({phase})",
+    "static": "{name}",
+    "entity": "entity identity: {entity}",
+}
+
+
 def describe_column() -> Column:
-    """A readable phrase from a provenance row, never from parsing the name."""
-    raw = F.col("raw_variable")
-    wording = F.replace(raw, F.lit("_"), F.lit(" "))
-    for pseudo, text in LABELS.items():
-        wording = F.when(raw == pseudo, text).otherwise(wording)
-    lag = F.col("lag").cast("string")
-    level = F.col("column").startswith(LEVEL)
-    name = F.when(level, LEVEL_LABEL).otherwise(wording)
-    kind = F.col("transform")
-    sine = F.when(F.col("column").endswith("sin"), "sine").otherwise("cosine")
-    return (
-        F.when((level | (kind == "lag")) & (F.col("lag") == 0), F.concat(name, F.lit(" (current)")))
-        .when(level | (kind == "lag"), F.concat(name, F.lit(" lag-"), lag))
-        .when(kind == "cyclic", F.concat(name, F.lit(" ("), sine, F.lit(")")))
-        .when(raw == ENTITY_VARIABLE, F.concat(
-            F.lit("entity identity: "),
-            F.substring("column", F.lit(len(IDENTITY_PREFIX) + 1), F.length("column"))))
-        .when(kind == "static", name)
-        .when(kind == "spatial_lag", F.concat(F.lit("neighbouring "), name, F.lit(" lag-"), lag))
-        .when(kind == "rolling", F.concat(name, F.lit(" "), F.col("window").cast("string"),
-                                          F.lit("-period "), F.col("agg")))
-        .when(kind == "identity", F.concat(name, F.lit(" (current)")))
-        .otherwise(F.col("column"))
+    """A provenance row as a phrase: the template of its kind with the blanks filled."""
+    raw, column = F.col("raw_variable"), F.col("column")
+    kind = (
+        F.when(raw == ENTITY_VARIABLE, "entity")
+        .when((F.col("transform") == "lag") & (F.col("lag") == 0), "identity")
+        .otherwise(F.col("transform"))
     )
+    spoken = F.replace(raw, F.lit("_"), F.lit(" "))
+    blanks = {
+        "name": F.when(column.startswith(LEVEL), LEVEL_LABEL).otherwise(
+            F.coalesce(F.try_element_at(_lookup(LABELS), raw), spoken)),
+        "lag": F.col("lag").cast("string"),
+        "window": F.col("window").cast("string"),
+        "agg": F.col("agg"),
+        "phase": F.when(column.endswith("sin"), "sine").otherwise("cosine"),
+        "entity": F.replace(column, F.lit(IDENTITY_PREFIX), F.lit("")),
+    }
+    phrase = F.try_element_at(_lookup(PHRASES), kind)
+    for blank, value in blanks.items():
+        phrase = F.replace(phrase, F.lit(f"{{{blank}}}"), F.coalesce(value, F.lit("")))
+    return F.coalesce(phrase, column)
+
+
+def _lookup(table: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])

@@ -8,23 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelcore.checks import require_usable
+from panelcore.checks import require_finite, require_usable
 from panelcore.functions.scalars import inverse_target, shift_period, unfloored_rate
 from panelcore.operators import intervals
-from panelcore.operators.folds import Fold, assign_folds, fold_counts
+from panelcore.operators.folds import assign_folds, fold_counts, fold_numbers
 from panelcore.operators.models import Forecaster
-from panelcore.params import Calendar, ConformalParams
+from panelcore.params import Calendar, ConformalParams, FoldParams
 
 POINT_METRICS = ("mae_log", "rmse_log", "r2_log", "mae_rate", "rmse_rate", "r2_rate", "crps_rate")
 
 
-def score_folds(samples: DataFrame, folds: list[Fold], factory: Callable[[], Forecaster],
-                guard: bool = True) -> DataFrame:
+def score_folds(samples: DataFrame, plan: DataFrame, p: FoldParams,
+                factory: Callable[[], Forecaster], guard: bool = True) -> DataFrame:
     """Validation and test rows of every fold with ``prediction``; a fresh model per fold."""
-    assigned = assign_folds(samples, folds)
+    assigned = assign_folds(samples, plan)
     if guard:
         require_usable(fold_counts(assigned))
-    return factory().score(assigned, [f.number for f in folds], factory)
+    return factory().score(assigned, fold_numbers(p), factory)
 
 
 def point_metrics(transform: str) -> list[Column]:
@@ -93,10 +93,14 @@ def prediction_rows(with_bounds: DataFrame, horizon: int, calendar: Calendar, tr
     return with_bounds.select(*cols)
 
 
-def run_experiment(samples: DataFrame, folds: list[Fold], factory, conformal: ConformalParams,
-                   transform: str) -> dict[str, DataFrame]:
-    """Everything one configuration yields: scored rows, metrics and intervals."""
-    scored = score_folds(samples, folds, factory)
+def run_experiment(samples: DataFrame, plan: DataFrame, p: FoldParams, factory,
+                   conformal: ConformalParams, transform: str) -> dict[str, DataFrame]:
+    """Everything one configuration yields: scored rows, metrics and intervals.
+
+    A prediction that is not finite is an error, not a metric.
+    """
+    scored = score_folds(samples, plan, p, factory)
+    require_finite(scored, "prediction")
     val, test = scored.where("role = 'val'"), scored.where("role = 'test'")
     residuals = intervals.calibration_residuals(val, ["fold"])
     intervals.check_calibration(residuals, ["fold"], conformal)

@@ -1,11 +1,11 @@
-"""Time-based splits. Only distinct periods reach the driver; rows stay put."""
+"""Time-based splits as a table of roles; rows stay where they are."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelcore.params import FoldParams
@@ -15,67 +15,61 @@ class SplitError(ValueError):
     """The periods cannot support the requested geometry."""
 
 
-@dataclass(frozen=True)
-class Fold:
-    number: int
-    fit: tuple[date, ...]
-    val: tuple[date, ...]
-    test: tuple[date, ...]
-
-
 def distinct_periods(samples: DataFrame) -> list[date]:
     """The period axis of the samples: hundreds of dates, whatever the row count."""
     return [r[0] for r in samples.select("period").distinct().orderBy("period").collect()]
 
 
-def n_available_folds(n_periods: int, p: FoldParams) -> int:
-    spare = n_periods - p.initial_train - p.test_size
-    return 0 if spare < 0 else spare // p.step + 1
+def available_folds(samples: DataFrame, p: FoldParams) -> DataFrame:
+    """One row ``n_periods, n_folds``: how many test blocks fit behind the first fit block."""
+    last_start = F.col("n_periods") - (p.initial_train + p.test_size)
+    starts = F.when(last_start >= 0, F.size(F.sequence(F.lit(0).cast("long"), last_start, F.lit(p.step).cast("long"))))
+    return samples.agg(F.count_distinct("period").alias("n_periods")).withColumn(
+        "n_folds", F.coalesce(starts, F.lit(0)).cast("long"))
+
 
+def rolling_origin(samples: DataFrame, p: FoldParams, horizon: int) -> DataFrame:
+    """``fold, period, role`` (fit, val, test) over the numbered periods of the samples.
 
-def check_geometry(n_periods: int, p: FoldParams, horizon: int) -> None:
-    """Fewer folds than configured is an error, never a silent reduction."""
-    possible = n_available_folds(n_periods, p)
+    A fold's test block starts at period number ``initial_train + fold * step``. What lies
+    at least ``horizon`` periods before it is usable (the rest is the embargo), and the
+    last ``validation_fraction`` of that validates. Fewer folds than configured is an
+    error, never a silent reduction. The table has folds times periods rows.
+    """
+    n_periods, possible = available_folds(samples, p).first()
     if possible < p.n_folds:
         raise SplitError(
-            f"{n_periods} periods support {possible} fold(s), {p.n_folds} were asked for"
-        )
+            f"{n_periods} periods support {possible} fold(s), {p.n_folds} were asked for")
     if p.initial_train <= horizon:
         raise SplitError(f"initial_train {p.initial_train} must exceed the horizon {horizon}")
-
-
-def rolling_origin(periods: list[date], p: FoldParams, horizon: int) -> list[Fold]:
-    """Expanding fit block, validation block, embargo of ``horizon``, test block."""
-    check_geometry(len(periods), p, horizon)
-    folds = []
-    for k in range(p.n_folds):
-        cut = p.initial_train + k * p.step
-        usable = periods[: cut - horizon]
-        n_val = max(1, round(len(usable) * p.validation_fraction))
-        border = len(usable) - n_val
-        if border <= 0:
-            raise SplitError(f"fold {k}: validation leaves no period to fit on")
-        folds.append(
-            Fold(k, tuple(usable[:border]), tuple(usable[border:]),
-                 tuple(periods[cut : cut + p.test_size]))
-        )
-    return folds
-
-
-def fold_table(spark, folds: list[Fold]) -> DataFrame:
-    """``fold, period, role``: folds times periods rows, so it is always broadcast."""
-    rows = [
-        (f.number, d, role)
-        for f in folds
-        for role in ("fit", "val", "test")
-        for d in getattr(f, role)
-    ]
-    return spark.createDataFrame(rows, "fold int, period date, role string")
-
-
-def assign_folds(samples: DataFrame, folds: list[Fold]) -> DataFrame:
-    """Samples repeated per fold they take part in, with their role."""
-    return samples.join(F.broadcast(fold_table(samples.sparkSession, folds)), "period")
+    # The window numbers the period axis, not the rows.
+    axis = samples.select("period").distinct().withColumn(
+        "_i", F.row_number().over(W.orderBy("period")) - 1)
+    plan = axis.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(p.n_folds - 1))))
+    test = p.initial_train + F.col("fold") * p.step
+    usable = test - horizon
+    border = usable - F.greatest(
+        F.lit(1), F.bround(usable * F.lit(p.validation_fraction)).cast("int"))
+    if p.initial_train - horizon <= max(1, round((p.initial_train - horizon) * p.validation_fraction)):
+        raise SplitError("fold 0: validation leaves no period to fit on")
+    role = (
+        F.when(F.col("_i") < border, "fit")
+        .when(F.col("_i") < usable, "val")
+        .when((F.col("_i") >= test) & (F.col("_i") < test + p.test_size), "test")
+    )
+    return plan.select("fold", "period", role.alias("role")).where("role is not null")
+
+
+def fold_numbers(p: FoldParams) -> list[int]:
+    return list(range(p.n_folds))
+
+
+def assign_folds(samples: DataFrame, plan: DataFrame) -> DataFrame:
+    """Samples repeated per fold they take part in, with their role.
+
+    The plan has folds times periods rows, so it is always broadcast.
+    """
+    return samples.join(F.broadcast(plan), "period")
 
 
 def fold_counts(assigned: DataFrame) -> DataFrame:

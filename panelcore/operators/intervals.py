@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcore.checks import ContractError
-from panelcore.functions.quantiles import EXACT_LIMIT, pooled_quantiles
+from panelcore.functions.quantiles import pooled_quantiles
 from panelcore.functions.ranks import one_group
 from panelcore.functions.scalars import finite
 from panelcore.operators.models import FittedModel
@@ -29,23 +29,20 @@ def check_calibration(residuals: DataFrame, keys: list[str], p: ConformalParams)
         raise ContractError(f"only {r[0] or 0} calibration residuals, need {p.min_residuals}")
 
 
-def conformal_width(residuals: DataFrame, keys: list[str], alpha: float,
-                    exact_limit: int = EXACT_LIMIT) -> DataFrame:
+def conformal_width(residuals: DataFrame, keys: list[str], alpha: float) -> DataFrame:
     """``keys + (n, level, width)``: half-width with the finite-sample correction."""
     counts = residuals.groupBy(*keys).agg(F.count("residual").alias("n"))
     level = F.least(F.ceil((F.col("n") + 1) * F.lit(1.0 - alpha)) / F.col("n"), F.lit(1.0))
     wanted = counts.where("n > 0").select(*keys, "n", level.alias("level"))
     sizes = residuals.select(*keys, F.abs("residual").alias("size"))
-    found = pooled_quantiles(sizes, keys, "size", wanted.select(*keys, "level"), exact_limit)
+    found = pooled_quantiles(sizes, keys, "size", wanted.select(*keys, "level"))
     joined = found.join(wanted.drop("level"), keys) if keys else found.join(wanted, "level")
     return joined.select(*keys, "n", "level", F.col("quantile").alias("width"))
 
 
-def residual_quantiles(residuals: DataFrame, keys: list[str], levels=None,
-                       exact_limit: int = EXACT_LIMIT) -> DataFrame:
+def residual_quantiles(residuals: DataFrame, keys: list[str], levels=None) -> DataFrame:
     """``keys + (level, quantile)`` of the signed residuals."""
-    return pooled_quantiles(residuals, keys, "residual", list(levels or QUANTILE_LEVELS),
-                            exact_limit)
+    return pooled_quantiles(residuals, keys, "residual", list(levels or QUANTILE_LEVELS))
 
 
 def predict_interval(scored: DataFrame, widths: DataFrame, keys: list[str]) -> DataFrame:

@@ -42,6 +42,9 @@ class FittedModel(ABC):
 class Forecaster(ABC):
     """Anything the runner can evaluate; it never asks which kind it is."""
 
+    #: Whether fit or forecast read ``seq``; if not, it need not be stored.
+    reads_sequence = True
+
     @abstractmethod
     def fit(self, train: DataFrame, val: DataFrame | None = None) -> FittedModel: ...
 
@@ -66,6 +69,8 @@ class Forecaster(ABC):
 class ColumnForecast(Forecaster, FittedModel):
     """Predicts one column of the origin row."""
 
+    reads_sequence = False
+
     def __init__(self, spec: FeatureSpec, column: str) -> None:
         if column not in spec.columns:
             raise ModelUnavailable(f"the feature set carries no {column!r}")
@@ -78,7 +83,7 @@ class ColumnForecast(Forecaster, FittedModel):
         return self.transform(assigned.where("role <> 'fit'"))
 
     def transform(self, samples: DataFrame) -> DataFrame:
-        return samples.withColumn("prediction", step_value(self.spec, self.column))
+        return samples.withColumn("prediction", step_value(samples, self.spec, self.column))
 
 
 def persistence(spec: FeatureSpec) -> ColumnForecast:
@@ -238,21 +243,24 @@ class BoostedTrees(Forecaster):
 
 
 class SeasonalTrend(Forecaster):
-    """Mean level per (entity, position in the year), pulled by one anchor weight."""
+    """Mean level per (entity, position in the year), pulled by one anchor weight.
+
+    Entities are profiled by their key, so no indicator columns are needed.
+    """
+
+    reads_sequence = False
 
     def __init__(self, spec: FeatureSpec, per_year: int, p: SeasonalParams) -> None:
         needed = ("season_sin", "season_cos", f"{LEVEL}_lag_0")
         missing = [c for c in needed if c not in spec.columns]
         if missing:
             raise ModelUnavailable(f"the seasonal profile needs {missing}")
-        if not spec.positions(transform="static", raw_variable="__entity__"):
-            raise ModelUnavailable("the seasonal profile needs entity identity columns")
         self.spec, self.per_year, self.p = spec, per_year, p
 
     def keyed(self, samples: DataFrame) -> DataFrame:
         """Position and anchor read at the configured step of the sequence."""
         back = self.spec.timesteps - 1 if self.p.anchor_step == "oldest" else 0
-        at = lambda c: step_value(self.spec, c, back)
+        at = lambda c: step_value(samples, self.spec, c, back)
         return samples.withColumns({
             "_pos": position_from_cyclic(at("season_sin"), at("season_cos"), self.per_year),
             "_anchor": at(f"{LEVEL}_lag_0"),
@@ -331,6 +339,9 @@ def fit_anchor(scored: DataFrame, by: list[str]) -> dict[tuple, float]:
 
 # -- roster -------------------------------------------------------------------
 
+#: Models that read single cells of a sample, never its sequence.
+CELL_MODELS = frozenset({"persistence", "seasonal_naive", "seasonal_trend"})
+
 
 def model_factories(spec: FeatureSpec, per_year: int, seasonal: SeasonalParams | None = None,
                     alphas=(0.01, 0.1, 1.0, 10.0, 100.0), n_trees: int = 400

@@ -45,9 +45,13 @@ def period_facts(facts: DataFrame, key: str, moment: Column, value: str,
     """Facts reduced to one row per (key, period) before any join.
 
     The map-side partial aggregate collapses a key that holds a third of all rows to
-    one row per period, so the join that follows moves aggregates, not facts.
+    one row per period, so the join that follows moves aggregates, not facts. A fact
+    outside the calendar fails the job: the grid has no row for it.
     """
-    return facts.groupBy(F.col(key), period_start(moment, calendar).alias("period")).agg(
+    inside = moment.isNull() | moment.between(F.lit(calendar.start), F.lit(calendar.end))
+    checked = F.when(inside, moment).otherwise(
+        F.raise_error(F.concat(F.lit("outside the calendar: "), moment.cast("string"))))
+    return facts.groupBy(F.col(key), period_start(checked, calendar).alias("period")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(value).alias("total"),
         F.max(value).alias("top"),

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import json
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import date
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.storagelevel import StorageLevel
 
 from panelcore.checks import require_same_columns
@@ -60,78 +62,95 @@ class Setting:
     n_trees: int = 400
 
 
-def run_ablations(panel: DataFrame, base: FeatureParams, experiments: list[Experiment],
+RESULT_FIELDS = (
+    "experiment string, model string, horizon int, n_features int, n_samples long, "
+    "n_dropped_entities long, folds int, "
+    + ", ".join(f"{m} double, {m}_std double" for m in evaluate.POINT_METRICS))
+SKIP_FIELDS = "experiment string, model string, horizon int, reason string"
+
+
+def ablation_grid(panel: DataFrame, base: FeatureParams, experiments: list[Experiment],
                   horizons, setting: Setting, names=None, edges: DataFrame | None = None,
-                  entities: list[str] | None = None) -> tuple[DataFrame, list[tuple]]:
-    """One row per (experiment, model, horizon), and the skips with their reason.
+                  entities: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(results, skips): each cell of experiment x horizon x model lands in one of them.
 
-    The driver loops over configurations only. Samples are recomputed per
-    configuration, because dropping columns changes which samples survive, and are
-    kept on executors while the models of that configuration run.
+    The driver walks configurations only, and what comes back is a few numbers per cell.
     """
     spark = panel.sparkSession
     setting.folds.check_horizons(horizons)
     n_entities = panel.select("entity").distinct().count()
-    rows, skipped = [], []
-    for e in experiments:
-        p = apply_experiment(base, e)
-        for h in horizons:
-            try:
-                samples, spec = build_samples(
-                    panel, p, setting.target, setting.calendar, h, edges, entities
-                )
-            except ParamError as exc:
-                skipped.append((e.name, "*", h, f"features: {exc}"))
+    done: list[dict] = []
+    skips: list[tuple] = []
+    for e, h in itertools.product(experiments, horizons):
+        with _prepared(panel, apply_experiment(base, e), h, setting, names, edges, entities) as ready:
+            if isinstance(ready, str):
+                skips.append((e.name, "*", h, ready))
                 continue
-            samples = samples.persist(StorageLevel.MEMORY_AND_DISK)
-            try:
-                cuts = folds.rolling_origin(folds.distinct_periods(samples), setting.folds, h)
-                evaluate.require_usable(folds.fold_counts(folds.assign_folds(samples, cuts)))
-                n_samples, n_seen = samples.agg(
-                    F.count(F.lit(1)), F.count_distinct("entity")).first()
-                summaries = _summaries(samples, spec, cuts, e.name, h, setting, names, skipped)
-                if not summaries:
-                    continue
-                # One job scores every model of the configuration.
-                found: dict[str, dict] = {}
-                for r in reduce(DataFrame.unionByName, summaries).collect():
-                    found.setdefault(r["model"], {})[r["metric"]] = r
-                for name, metrics in found.items():
-                    row = {"experiment": e.name, "model": name, "horizon": h,
-                           "n_features": len(spec.columns), "n_samples": n_samples,
-                           "n_dropped_entities": n_entities - n_seen, "folds": len(cuts)}
-                    for m in evaluate.POINT_METRICS:
-                        row[m], row[f"{m}_std"] = metrics[m]["mean"], metrics[m]["std"]
-                    rows.append(row)
-            finally:
-                samples.unpersist()
-    if not rows:
-        raise ParamError(f"every configuration failed; first: {skipped[:1]}")
-    doubles = ", ".join(f"{m} double, {m}_std double" for m in evaluate.POINT_METRICS)
-    schema = ("experiment string, model string, horizon int, n_features int, n_samples long, "
-              f"n_dropped_entities long, folds int, {doubles}")
-    order = [c.strip().split(" ")[0] for c in schema.split(",")]
-    return spark.createDataFrame([tuple(r[c] for c in order) for r in rows], schema), skipped
-
-
-def _summaries(samples, spec, cuts, experiment, horizon, setting, names, skipped):
-    """Fold summaries of every available model; unavailable ones are recorded."""
-    factories = models.model_factories(
-        spec, setting.calendar.per_year, setting.seasonal, setting.alphas, setting.n_trees
-    )
-    out = []
-    for name in names or factories:
-        if name not in factories:
-            skipped.append((experiment, name, horizon, "no such model"))
-            continue
-        try:
-            factories[name]()
-        except models.ModelUnavailable as exc:
-            skipped.append((experiment, name, horizon, str(exc)))
-            continue
-        scored = evaluate.score_folds(samples, cuts, factories[name], guard=False)
-        metrics = evaluate.fold_metrics(scored.where("role = 'test'"), setting.target.transform)
-        out.append(evaluate.aggregate_folds(metrics).withColumn("model", F.lit(name)))
+            roster = models.model_factories(ready.spec, setting.calendar.per_year,
+                                            setting.seasonal, setting.alphas, setting.n_trees)
+            for name in names or roster:
+                outcome = _cell(ready, roster.get(name), setting)
+                if isinstance(outcome, str):
+                    skips.append((e.name, name, h, outcome))
+                else:
+                    done.append({"experiment": e.name, "model": name, "horizon": h,
+                                 "n_dropped_entities": n_entities - ready.n_seen, **outcome})
+    if not done:
+        raise ParamError(f"no cell of the grid could run: {skips[:1]}")
+    fields = StructType.fromDDL(RESULT_FIELDS)
+    rows = [tuple(r[f] for f in fields.names) for r in done]
+    return spark.createDataFrame(rows, fields), spark.createDataFrame(skips, SKIP_FIELDS)
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """The samples of one feature configuration and horizon."""
+
+    samples: DataFrame
+    plan: DataFrame
+    spec: FeatureSpec
+    n_samples: int
+    n_seen: int
+
+
+@contextmanager
+def _prepared(panel, p, horizon, setting, names, edges, entities):
+    """Samples kept on executors while the models of a configuration run, or the reason
+    why its features cannot be built. Dropping columns changes which samples survive, so
+    every configuration has its own."""
+    try:
+        samples, spec = build_samples(panel, p, setting.target, setting.calendar, horizon, edges,
+                                      entities)
+    except ParamError as reason:
+        yield f"features: {reason}"
+        return
+    if names and models.CELL_MODELS.issuperset(names):
+        samples = samples.drop("seq")
+    samples = samples.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        plan = folds.rolling_origin(samples, setting.folds, horizon)
+        evaluate.require_usable(folds.fold_counts(folds.assign_folds(samples, plan)))
+        n, seen = samples.agg(F.count(F.lit(1)), F.count_distinct("entity")).first()
+        yield Prepared(samples, plan, spec, n, seen)
+    finally:
+        samples.unpersist()
+
+
+def _cell(ready: Prepared, factory: Callable | None, setting: Setting) -> dict | str:
+    """Metrics of one model on prepared samples, or the reason why it cannot run."""
+    if factory is None:
+        return "no such model"
+    try:
+        factory()
+    except models.ModelUnavailable as reason:
+        return str(reason)
+    scored = evaluate.score_folds(ready.samples, ready.plan, setting.folds, factory, guard=False)
+    test = scored.where("role = 'test'")
+    found = evaluate.aggregate_folds(evaluate.fold_metrics(test, setting.target.transform))
+    out: dict = {"n_features": len(ready.spec.columns), "n_samples": ready.n_samples,
+                 "folds": setting.folds.n_folds}
+    for r in found.collect():
+        out[r["metric"]], out[f"{r['metric']}_std"] = r["mean"], r["std"]
     return out
 
 
@@ -139,7 +158,7 @@ def evaluate_selection(panel: DataFrame, base: FeatureParams, chosen: list[str],
                        setting: Setting, model: str, edges=None, entities=None) -> DataFrame:
     """All columns against the chosen ones through the same folds."""
     grid = [Experiment("all"), Experiment("selected", {"selected_columns": tuple(chosen)})]
-    table, _ = run_ablations(panel, base, grid, [horizon], setting, [model], edges, entities)
+    table, _ = ablation_grid(panel, base, grid, [horizon], setting, [model], edges, entities)
     return table
 
 
@@ -161,7 +180,7 @@ class PanelModel:
         return look_back(self.p, self.horizon, self.setting.calendar.per_year)
 
     def columns_from(self, raw_variable: str) -> list[str]:
-        return self.spec.columns_from(raw_variable)
+        return self.spec.named(raw_variable=raw_variable)
 
     def predict(self, panel: DataFrame) -> DataFrame:
         """Forecasts for every origin whose window is complete; no target is needed."""
@@ -181,6 +200,8 @@ def train_production(panel: DataFrame, p: FeatureParams, horizon: int, setting:
     """Fit on all but the calibration tail, then calibrate on the tail."""
     samples, spec = build_samples(panel, p, setting.target, setting.calendar, horizon, edges,
                                   entities)
+    if model in models.CELL_MODELS:
+        samples = samples.drop("seq")
     samples = samples.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fit, tail = folds.tail_split(samples, calibration_periods)
@@ -201,7 +222,8 @@ def save_production(model: PanelModel, path: str) -> None:
     inner.save(f"{path}/pipeline")
     s = model.setting
     meta = {
-        "features": dataclasses.asdict(model.p), "spec": model.spec.to_dict(),
+        "features": dataclasses.asdict(model.p), "columns": model.spec.schema.jsonValue(),
+        "timesteps": model.spec.timesteps, "horizon": model.spec.horizon,
         "width": model.fitted.width, "entities": model.entities,
         "target": dataclasses.asdict(s.target), "calendar": dataclasses.asdict(s.calendar),
         "conformal": dataclasses.asdict(s.conformal),
@@ -227,7 +249,8 @@ def load_production(spark: SparkSession, path: str) -> PanelModel:
     inner = models.PipelineForecast.load(f"{path}/pipeline")
     edges = spark.read.parquet(f"{path}/edges") if p.include_spatial else None
     return PanelModel(intervals.ConformalModel(inner, meta["width"]),
-                      FeatureSpec.from_dict(meta["spec"]), p, setting, edges, meta["entities"])
+                      FeatureSpec(StructType.fromJson(meta["columns"]), meta["timesteps"],
+                                  meta["horizon"]), p, setting, edges, meta["entities"])
 
 
 def serving_tables(panel: DataFrame, model: PanelModel, p: RiskParams) -> dict[str, DataFrame]:
