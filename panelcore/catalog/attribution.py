@@ -26,6 +26,9 @@ LABELS = {"avg_price": "avg price (current)", "max_price": "max price (current)"
 OLDER = [1e-6, -2e-6, 0.10, -0.05, 0.20, 0.05, 0.10]
 NEWER = [3e-6, 1e-6, -0.20, 0.15, 0.45, 0.10, 0.15]
 
+#: The registry of the given tables, which fixes the columns of the wide ranking.
+NATIONS = [f"NATION_{i}" for i in range(25)]
+
 _BASE = {"avg_price": "avg_price", "max_price": "max_price",
          "season_sin": "sin(2 * pi() * (month(period) - 1) / 12)",
          "season_cos": "cos(2 * pi() * (month(period) - 1) / 12)",
@@ -161,7 +164,9 @@ def top_driver_per_entity(spark, d):
 
 @query("ranking_table", monthly(RANKING + ", r AS (" + pick(
     'entity "column" ~importance', "FROM ranking") + """)
-SELECT * FROM (PIVOT r ON entity USING max(importance) GROUP BY "column")"""))
+SELECT "column", """ + ", ".join(
+    f"max(importance) FILTER (WHERE entity = '{n}') AS \"{n}\"" for n in NATIONS)
+    + """ FROM r GROUP BY 1"""))
 def ranking_table(spark, d):
     ranking = attribution.entity_ranking(*values(spark, d))
     return attribution.ranking_table(ranking, nation_names(spark, d))

@@ -10,14 +10,15 @@ from panelcore.params import Calendar
 
 
 def complete_grid(entities: DataFrame, calendar: Calendar, attributes: tuple[str, ...] = (),
-                  unique: bool = False) -> DataFrame:
+                  unique: bool = False, tasks: int | None = None) -> DataFrame:
     """Every (entity, period); the first period starts on or after the window start.
 
     Each entity row generates its own periods, so the dense rows are never shuffled,
     and constant ``attributes`` of the entity travel along instead of being joined
     back. The partition count is fixed: judged by the few bytes that are shuffled
-    here, adaptive execution would merge the tasks that multiply them. ``unique``
-    says that ``entities`` already has one row each.
+    here, adaptive execution would merge the tasks that multiply them. ``tasks`` sets it for
+    a grid that ``spark.sql.shuffle.partitions`` is too few for; ``unique`` says that
+    ``entities`` already has one row each.
     """
     start = F.lit(calendar.start)
     snapped = period_start(start, calendar)
@@ -29,7 +30,7 @@ def complete_grid(entities: DataFrame, calendar: Calendar, attributes: tuple[str
     rows = entities.select("entity", *attributes)
     if not unique:
         rows = rows.dropDuplicates(["entity"])
-    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = tasks or int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(tasks, "entity").select(
         "entity", F.explode(axis).alias("period"), *attributes
     )

@@ -95,37 +95,35 @@ def _robust(values: str, prefix: str, df: DataFrame) -> DataFrame:
     return df.withColumn(f"{prefix}_scale", scale).drop(f"{prefix}_dev")
 
 
-def _is_extreme(value: Column, prefix: str, threshold: float) -> Column:
-    score = F.try_divide(F.abs(value - F.col(f"{prefix}_median")), F.col(f"{prefix}_scale"))
-    return F.coalesce(score > F.lit(threshold), F.lit(False))
+def _extremes(value: Column, series: WindowSpec, threshold: float) -> Column:
+    """Whether a value lies more than ``threshold`` robust scales from its series' median.
 
+    Median, deviation and scale are aggregates over the partition that the rows are in
+    already: one pass, no join of the series with itself. Missing values are not flagged.
+    """
+    away = F.abs(value - F.median(value).over(series))
+    first = F.lit(MAD_TO_SIGMA) * F.median(away).over(series)
+    second = F.lit(MEAN_AD_TO_SIGMA) * F.avg(away).over(series)
+    scale = F.when(first > 0, first).when(second > 0, second)
+    return F.coalesce(F.try_divide(away, scale) > F.lit(threshold), F.lit(False))
 
-def mad_outliers(long: DataFrame, threshold: float) -> DataFrame:
-    """Long rows with ``is_outlier``; missing values are never flagged.
 
-    Median and scale are taken once per series, from an array that the period axis
-    bounds, and joined back on the series.
-    """
-    series = long.groupBy("entity", "variable").agg(F.collect_list("value").alias("_values"))
-    scales = _robust("_values", "_s", series).drop("_values")
-    return long.join(scales, ["entity", "variable"]).select(
-        "entity", "period", "variable", "value",
-        _is_extreme(F.col("value"), "_s", threshold).alias("is_outlier"),
-    )
+def mad_outliers(long: DataFrame, threshold: float) -> DataFrame:
+    """Long rows with ``is_outlier``; missing values are never flagged."""
+    series = W.partitionBy("entity", "variable")
+    flag = _extremes(F.col("value"), series, threshold)
+    return long.select("entity", "period", "variable", "value", flag.alias("is_outlier"))
 
 
 def detect_outliers(panel: DataFrame, variables: list[str], threshold: float) -> DataFrame:
     """Panel plus ``<variable>_outlier``: flags only, nothing is removed.
 
-    All variables share one aggregate and one join, both on the entity.
+    All variables share the partitioning by entity that the panel has.
     """
-    scales = panel.groupBy("entity").agg(
-        *[F.collect_list(F.col(v).cast("double")).alias(f"_{v}") for v in variables]
-    )
-    for v in variables:
-        scales = _robust(f"_{v}", f"_{v}", scales).drop(f"_{v}")
-    flags = [_is_extreme(F.col(v), f"_{v}", threshold).alias(f"{v}_outlier") for v in variables]
-    return panel.join(scales, "entity").select(*panel.columns, *flags)
+    series = W.partitionBy("entity")
+    flags = [_extremes(F.col(v).cast("double"), series, threshold).alias(f"{v}_outlier")
+             for v in variables]
+    return panel.select(*panel.columns, *flags)
 
 
 def interpolate_short_gaps(panel: DataFrame, variables: list[str], method: str, limit: int
@@ -267,7 +265,9 @@ def quality_report(panel: DataFrame, variables: list[str], threshold: float) ->
         F.max("_at").alias("last_valid"),
         F.collect_list("_value").alias("_values"),
     )
-    outliers = F.size(F.filter("_values", lambda x: _is_extreme(x, "_s", threshold)))
+    score = lambda x: F.try_divide(F.abs(x - F.col("_s_median")), F.col("_s_scale"))
+    outliers = F.size(F.filter(
+        "_values", lambda x: F.coalesce(score(x) > F.lit(threshold), F.lit(False))))
     share = F.coalesce(F.try_divide(F.col("n_outliers"), F.col("n_present")), F.lit(0.0))
     return (
         _robust("_values", "_s", report)

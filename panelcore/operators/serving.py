@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcore.functions.quantiles import pooled_quantiles
+from panelcore.functions.ranks import one_group
 from panelcore.functions.scalars import inverse_target, target_level
 from panelcore.operators import risk
 from panelcore.params import RiskParams, TargetParams
@@ -35,12 +36,21 @@ def latest(forecasts: DataFrame) -> DataFrame:
 def at_period(forecasts: DataFrame, period: date) -> DataFrame:
     """As-of lookup: per entity the newest forecast for ``period`` or before.
 
-    Falls back to the latest forecasts only when no entity has any.
+    Falls back to the latest forecasts only when no entity has any. Both candidates of
+    an entity come out of one aggregate, so the forecasts are computed once, by the job
+    that reads the result.
     """
-    upto = forecasts.where(F.col("target_date") <= F.lit(period))
-    if upto.isEmpty():
-        return latest(forecasts)
-    return _newest(upto, "target_date", "origin_date")
+    on_time = F.col("target_date") <= F.lit(period)
+    row = F.struct(*forecasts.columns)
+    best = forecasts.groupBy("entity").agg(
+        F.max_by(F.when(on_time, row),
+                 F.when(on_time, F.struct("target_date", "origin_date"))).alias("_due"),
+        F.max_by(row, F.struct("origin_date", "target_date")).alias("_last"),
+    )
+    some = best.agg(F.max(F.col("_due").isNotNull()).alias("_some"))
+    due = one_group(some, best).withColumn("_r", F.when(F.col("_some"), F.col("_due")).otherwise(
+        F.col("_last")))
+    return due.where("_r is not null").select("_r.*")
 
 
 def for_entity(rows: DataFrame, entity: str, order: str) -> DataFrame:

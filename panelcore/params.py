@@ -182,6 +182,8 @@ class RiskParams:
         _require(0 < self.ewma_alpha <= 1, "ewma_alpha must lie in (0, 1]")
         bare = [t for t in self.tiers if not self.actions.get(t)]
         _require(not bare, f"tiers {bare} have no actions")
+        unknown = sorted(set(self.actions) - set(self.tiers))
+        _require(not unknown, f"actions for unknown tiers {unknown}")
 
 
 @dataclass(frozen=True)
@@ -207,6 +209,8 @@ class Scenario:
 
     def __post_init__(self) -> None:
         _one_of("mode", self.mode, ("percent", "absolute"))
+        reversed_span = self.start is not None and self.end is not None and self.end < self.start
+        _require(not reversed_span, f"the span ends {self.end}, before it starts {self.start}")
 
 
 @dataclass(frozen=True)

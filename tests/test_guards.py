@@ -102,3 +102,14 @@ def test_sums_survive_a_hot_entity(spark):
                   F.max("v").alias("top")).collect()}
     assert got.keys() == plain.keys()
     assert all(got[k] == pytest.approx(plain[k]) for k in got)
+
+
+def test_reversed_spans_and_unknown_tiers_are_refused():
+    from datetime import date
+
+    from panelcore.params import RiskParams, Scenario
+
+    with pytest.raises(ParamError, match="before it starts"):
+        Scenario("x", 1.0, start=date(2000, 2, 1), end=date(2000, 1, 1))
+    with pytest.raises(ParamError, match="unknown tiers"):
+        RiskParams(actions={"LOW": ("a",), "MEDIUM": ("b",), "HIGH": ("c",), "EXTREME": ("d",)})
