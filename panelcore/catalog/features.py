@@ -14,6 +14,7 @@ from panelcore.catalog.base import (
     VARIABLES,
     WEEKS,
     customer_panel,
+    exposure,
     customers,
     monthly,
     nation_levels,
@@ -148,7 +149,7 @@ def rolling_features(spark, d):
 @query("spatial_weights_uniform", monthly(SPATIAL + " " + pick(
     "entity neighbour ~weight", "FROM weights")))
 def spatial_weights_uniform(spark, d):
-    return features.spatial_weights(nation_edges(spark, d), staged_panel(spark, d))
+    return features.spatial_weights(nation_edges(spark, d), exposure(spark, d))
 
 
 @query("spatial_weights_exposure", monthly(EDGES + """,
@@ -157,7 +158,7 @@ ww AS (SELECT e.entity, e.neighbour,
        FROM edges e JOIN people p ON p.entity = e.neighbour) """ + pick(
     "entity neighbour ~weight", "FROM ww")))
 def spatial_weights_exposure(spark, d):
-    return features.spatial_weights(nation_edges(spark, d), staged_panel(spark, d), "exposure",
+    return features.spatial_weights(nation_edges(spark, d), exposure(spark, d), "exposure",
                                     "exposure")
 
 
@@ -165,7 +166,7 @@ def spatial_weights_exposure(spark, d):
     "entity period ~orders_spatial_lag_1 ~orders_spatial_lag_2", "FROM sp")))
 def spatial_lag_features(spark, d):
     panel = staged_panel(spark, d)
-    weights = features.spatial_weights(nation_edges(spark, d), panel)
+    weights = features.spatial_weights(nation_edges(spark, d), exposure(spark, d))
     return features.spatial_lags(panel, weights, "orders", (1, 2))
 
 

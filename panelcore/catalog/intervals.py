@@ -89,11 +89,15 @@ def residual_quantiles(spark, d):
     return intervals.residual_quantiles(_residuals(spark, d), ["fold"])
 
 
-def _quantile_rows(spark, d):
+def _scored_and_levels(spark, d):
     scored = _scored(spark, d)
     residuals = intervals.calibration_residuals(scored.where("role = 'val'"), ["fold"])
     levels = intervals.residual_quantiles(residuals, ["fold"])
-    return intervals.predict_quantiles(scored.where("role = 'test'"), levels, ["fold"])
+    return scored.where("role = 'test'"), levels
+
+
+def _quantile_rows(spark, d):
+    return intervals.predict_quantiles(*_scored_and_levels(spark, d), ["fold"])
 
 
 @query("predictive_quantiles", monthly(PERSISTENCE + QUANTILES + """,
@@ -110,4 +114,4 @@ e AS (SELECT fold, level, y - prediction - quantile AS e
 c AS (SELECT fold, 2 * avg(greatest(level * e, (level - 1) * e)) AS crps FROM e GROUP BY 1) """
     + pick("#fold ~crps", "FROM c")))
 def quantile_crps(spark, d):
-    return _quantile_rows(spark, d).groupBy("fold").agg(intervals.crps().alias("crps"))
+    return intervals.fold_crps(*_scored_and_levels(spark, d), ["fold"])

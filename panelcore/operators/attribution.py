@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,12 +50,10 @@ def linear_coefficients(model: PipelineForecast) -> np.ndarray:
 
 
 def mean_background(background: DataFrame, spec: FeatureSpec) -> DataFrame:
-    """One row: the mean of every flat feature as an array."""
-    n = spec.timesteps * len(spec.columns)
-    flat = background.select(F.flatten("seq").alias("x"))
-    return flat.agg(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(n)]).select(
-        F.array(*[f"m{i}" for i in range(n)]).alias("_mean")
-    )
+    """One row: the mean of every flat feature as an array, by one vector aggregate."""
+    flat = background.select(array_to_vector(F.flatten("seq")).alias("x"))
+    return flat.agg(Summarizer.mean(F.col("x")).alias("m")).select(
+        vector_to_array("m").alias("_mean"))
 
 
 def explain_linear(samples: DataFrame, spec: FeatureSpec, coefficients, background: DataFrame
@@ -116,9 +116,11 @@ def explain_sampled(samples: DataFrame, spec: FeatureSpec, model: FittedModel,
         .withColumns({"_b": F.pmod(draw, F.lit(n_background)) + 1, "_order": order})
         .join(pool, "_b")
     )
-    prefixes = drawn.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(f)))).withColumn(
-        "_on", F.slice("_order", F.lit(1), F.col("_j"))
-    )
+    # A feature is switched on from prefix length _rank[i] on; ranks are found once per
+    # permutation, behind the join, not per prefix and cell.
+    ranked = drawn.withColumn("_rank", F.transform(
+        F.sequence(F.lit(0), F.lit(f - 1)), lambda i: F.array_position("_order", i)))
+    prefixes = ranked.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(f))))
     mixed = prefixes.withColumn("seq", F.zip_with("seq", "_bg", _mix))
     scored = model.transform(mixed)
     plus = F.when(F.col("_j") > 0, F.struct(F.get("_order", F.col("_j") - 1).alias("i"),
@@ -136,7 +138,7 @@ def explain_sampled(samples: DataFrame, spec: FeatureSpec, model: FittedModel,
 def _mix(row: Column, bg: Column) -> Column:
     """One time step with the switched-on features of the row over the background."""
     return F.transform(
-        row, lambda x, i: F.when(F.array_contains("_on", i), x).otherwise(F.get(bg, i))
+        row, lambda x, i: F.when(F.get("_rank", i) <= F.col("_j"), x).otherwise(F.get(bg, i))
     )
 
 

@@ -64,10 +64,7 @@ def predict_quantiles(scored: DataFrame, quantiles: DataFrame, keys: list[str])
 
     Levels reach each row as one short array; there is one array per fold.
     """
-    packed = quantiles.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("level", "quantile"))).alias("_q")
-    )
-    return scored.join(F.broadcast(packed), keys).select(
+    return _with_levels(scored, quantiles, keys).select(
         *scored.columns, F.explode("_q").alias("_e")
     ).select(
         *scored.columns, F.col("_e.level").alias("level"),
@@ -75,6 +72,26 @@ def predict_quantiles(scored: DataFrame, quantiles: DataFrame, keys: list[str])
     )
 
 
+def _with_levels(scored: DataFrame, quantiles: DataFrame, keys: list[str]) -> DataFrame:
+    """``_q``: the few levels of a row's fold as one array; one array per fold is sent."""
+    packed = quantiles.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("level", "quantile"))).alias("_q")
+    )
+    return scored.join(F.broadcast(packed), keys)
+
+
+def fold_crps(scored: DataFrame, quantiles: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys + crps`` with the levels folded inside each row: no row per level."""
+    def loss(q):
+        e = F.col("y") - F.col("prediction") - q["quantile"]
+        return F.greatest(q["level"] * e, (q["level"] - 1.0) * e)
+
+    total = F.aggregate("_q", F.lit(0.0), lambda acc, q: acc + loss(q))
+    rows = _with_levels(scored, quantiles, keys).withColumn("_loss", total)
+    return rows.groupBy(*keys).agg(
+        (2.0 * F.sum("_loss") / F.sum(F.size("_q"))).alias("crps"))
+
+
 def coverage():
     """Share of actuals inside the inclusive interval."""
     return F.avg(F.col("y").between(F.col("lower"), F.col("upper")).cast("double"))
