@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -438,6 +440,39 @@ def selection_check(spark, d):
     return table.select("experiment", "n_features", "n_samples", "mae_rate", "mae_rate_std")
 
 
+# Ridge in closed form: two columns, one step, one alpha, by Cramer's rule per fold.
+RIDGE = """,
+wide AS (
+  SELECT entity, period, avg_price, target_level AS target_level_lag_0,
+         lead(target_level, 1) OVER (PARTITION BY entity ORDER BY period) AS y
+  FROM levels),
+samples AS (SELECT * FROM wide WHERE avg_price + target_level_lag_0 + y IS NOT NULL)""" + (
+    roles_sql()) + """,
+fit AS (SELECT fold, avg_price AS a, target_level_lag_0 AS t, y
+        FROM samples JOIN roles USING (period) WHERE role = 'fit'),
+m AS (SELECT fold, stddev_pop(a) AS sa, stddev_pop(t) AS st, avg(a) AS ma, avg(t) AS mt,
+             avg(y) AS my FROM fit GROUP BY 1),
+z AS (SELECT fold, (a - ma) / sa AS z1, (t - mt) / st AS z2, y - my AS e
+      FROM fit JOIN m USING (fold)),
+g AS (SELECT fold, sum(z1 * z1) + 1.0 AS s11, sum(z2 * z2) + 1.0 AS s22, sum(z1 * z2) AS s12,
+             sum(z1 * e) AS r1, sum(z2 * e) AS r2 FROM z GROUP BY 1),
+b AS (SELECT fold, (r1 * s22 - r2 * s12) / (s11 * s22 - s12 * s12) AS b1,
+             (r2 * s11 - r1 * s12) / (s11 * s22 - s12 * s12) AS b2 FROM g),
+scored AS (
+  SELECT fold, role, entity, period, y,
+         my + b1 * (avg_price - ma) / sa + b2 * (target_level_lag_0 - mt) / st AS prediction
+  FROM samples JOIN roles USING (period) JOIN m USING (fold) JOIN b USING (fold)
+  WHERE role <> 'fit')"""
+RIDGE_COLUMNS = dataclasses.replace(
+    PLAIN, selected_columns=("avg_price", "target_level_lag_0"), sequence_length=1)
+
+
+@query("ridge_forecast", monthly(RIDGE + " " + SCORED))
+def ridge_forecast(spark, d):
+    return scored_by(spark, d, lambda s: models.Ridge(s, (1.0,)), RIDGE_COLUMNS).select(
+        "fold", "role", "entity", "period", "y", "prediction")
+
+
 @query("prediction_rows", monthly(PERSISTENCE + """,
 pred AS (
   SELECT fold, entity, period AS origin_date,
