@@ -105,6 +105,20 @@ def sampled_attribution(spark, d):
                                        permutations=20)
 
 
+@query("sampled_attribution_exact", monthly(VALUES + " " + pick(
+    'entity period "column" ~value', "FROM vals")))
+def sampled_attribution_exact(spark, d):
+    """Against the mean row every permutation of a linear model gives the exact values."""
+    samples, spec = _samples(spark, d)
+    f = len(spec.columns)
+    steps = F.transform(F.sequence(F.lit(0), F.lit(spec.timesteps - 1)),
+                        lambda k: F.slice("_mean", k * f + 1, f))
+    mean = cut_lineage(attribution.mean_background(samples, spec).select(
+        F.lit("mean").alias("entity"), F.lit(MONTHS.start).alias("period"), steps.alias("seq")))
+    return attribution.explain_sampled(samples, spec, Weighted([*OLDER, *NEWER]), mean,
+                                       permutations=2)
+
+
 @query("ridge_attribution")
 def ridge_attribution(spark, d):
     samples, spec = _samples(spark, d)
