@@ -33,7 +33,7 @@ def id_fold(doc_id: Column, folds: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """``doc_id, text, y``: documents with a label in {0, 1}.
+    """``doc_id, y``: ids of documents that have a label in {0, 1}; no text is moved.
 
     Labels that repeat for an id count once; where they disagree the larger one holds.
     Rows with a null id have no label.
@@ -43,20 +43,21 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
         .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
         .groupBy("doc_id").agg(F.max("y").alias("y"))
     )
-    return docs.select("doc_id", text_of().alias("text")).join(y, "doc_id")
+    return y.join(docs.select("doc_id"), "doc_id", "left_semi")
 
 
-def bounded_sample(rows: DataFrame, per_class: int) -> DataFrame:
-    """At most ``per_class`` rows of each label, those with the smallest id hashes.
+def bounded_sample(docs: DataFrame, ids: DataFrame, per_class: int) -> DataFrame:
+    """``doc_id, text, y`` of at most ``per_class`` documents of each label, those with
+    the smallest id hashes.
 
-    Only ids are ordered and broadcast (2 x ``per_class`` of them at most); the texts
-    stay where they are. Rows that repeat an id come along only once.
+    Only ids are ordered and broadcast (2 x ``per_class`` of them at most), so however
+    many labels there are, no more texts than the sample's are moved. Rows that repeat an
+    id come along only once.
     """
-    ids = rows.select("doc_id", "y").distinct()
     chosen = [
-        ids.where(F.col("y") == y).select("doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        ids.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         for y in (0, 1)
     ]
-    sample = rows.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id", "left_semi")
+    sample = docs.select("doc_id", text_of().alias("text")).join(
+        F.broadcast(chosen[0].union(chosen[1])), "doc_id")
     return cut_lineage(sample.dropDuplicates(["doc_id"]))

@@ -7,10 +7,10 @@ indicator is scaled by its log-count ratio between the classes, each text to uni
 length, and a linear hinge-loss model is fitted by dual coordinate descent. Out-of-sample
 margins of a part of the sample turn the margin into a probability.
 
-Scale: log-count ratios come from all labelled training rows, summed by Spark (at most
-2^18 buckets x 2 classes reach the driver). The descent runs over at most ``per_class``
-rows of each class, those with the smallest id hashes, as one Python task that holds
-bucket numbers, not texts. Scoring reads every whole text once, without a shuffle.
+Scale: the model is fitted on at most ``per_class`` labelled texts of each class (those
+with the smallest id hashes; class rates come from all labelled training rows). Counts
+are summed by Spark, at most 2^18 buckets x 2 classes reach the driver, and the descent
+is one Python task that holds the sample's bucket numbers, not its texts. Scoring reads every whole text once, without a shuffle.
 
 Nulls, ties and the rest: null and empty texts have no n-grams and get the score of the
 bias; labels that repeat count once; with no labels all scores are 0.5, with labels of
@@ -95,7 +95,7 @@ class Buckets:
 
 
 def log_ratios(train: DataFrame, alpha: float = 1.0) -> np.ndarray:
-    """Log-count ratio of every bucket over all training rows (label 1 positive)."""
+    """Log-count ratio of every bucket over ``text, y`` (label 1 positive)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets, n = Buckets(), np.zeros((2, BUCKETS), np.int64)
@@ -161,13 +161,13 @@ def _platt(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
     return float(max(b[0], 0.0)), float(b[1])
 
 
-def fit(rows: DataFrame, per_class: int = 3000, cost: float = 1.0) -> Model:
-    """A model from ``doc_id, text, y``."""
-    rates = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+def fit(docs: DataFrame, ids: DataFrame, per_class: int = 3000, cost: float = 1.0) -> Model:
+    """A model from the texts of ``docs`` and the labels ``doc_id, y``."""
+    rates = {r["y"]: r["n"] for r in ids.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(rates) < 2:
         return Model(b"", 0.0, 0.0, 0.0, float(next(iter(rates), 0.5)))
-    ratio = log_ratios(rows).astype(np.float32)
-    sample = bounded_sample(rows, per_class).select("doc_id", "text", "y")
+    sample = bounded_sample(docs, ids, per_class)
+    ratio = log_ratios(sample).astype(np.float32)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
@@ -236,7 +236,8 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 def scored(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, cut: float = 0.7,
            per_class: int = 3000) -> DataFrame:
     """``doc_id, held_out, score, predicted``; rows of fold ``held`` teach nothing."""
-    train = labelled(docs.where(id_fold(F.col("doc_id"), folds) != held), labels, "quality")
-    return scores(docs, fit(train, per_class)).select(
+    train = docs.where(id_fold(F.col("doc_id"), folds) != held)
+    model = fit(train, labelled(train, labels, "quality"), per_class)
+    return scores(docs, model).select(
         "doc_id", (id_fold(F.col("doc_id"), folds) == held).alias("held_out"), "score",
         (F.col("score") >= cut).cast("int").alias("predicted"))

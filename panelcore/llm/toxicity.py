@@ -227,13 +227,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return center, scale, b, loss
 
 
-def fit(rows: DataFrame, per_class: int = 4000) -> Model:
-    """A model from ``doc_id, text, y``."""
-    rates = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+def fit(docs: DataFrame, ids: DataFrame, per_class: int = 4000) -> Model:
+    """A model from the texts of ``docs`` and the labels ``doc_id, y``."""
+    rates = {r["y"]: r["n"] for r in ids.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(rates) < 2:
         return Model(b"", b"", 2, (), (), (), float(max(rates, default=0)))
     part = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(PARTS)).cast("int")
-    sample = bounded_sample(rows, per_class).withColumn("part", part)
+    sample = bounded_sample(docs, ids, per_class).withColumn("part", part)
     sample = cut_lineage(sample.dropDuplicates(["text"]))
     n = {(r["part"], r["y"]): r["n"] for r in
          sample.groupBy("part", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -292,8 +292,9 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 def scored(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
            cut: float = 0.5, per_class: int = 4000) -> DataFrame:
     """``doc_id, held_out, score, predicted``; rows of fold ``held`` teach nothing."""
-    train = labelled(docs.where(id_fold(F.col("doc_id"), folds) != held), labels, "toxic")
-    return scores(docs, fit(train, per_class)).select(
+    train = docs.where(id_fold(F.col("doc_id"), folds) != held)
+    model = fit(train, labelled(train, labels, "toxic"), per_class)
+    return scores(docs, model).select(
         "doc_id", (id_fold(F.col("doc_id"), folds) == held).alias("held_out"), "score",
         (F.col("score") >= cut).cast("int").alias("predicted"))
 
@@ -301,8 +302,8 @@ def scored(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
 def clean_rows(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
                cut: float = 0.5, per_class: int = 4000) -> DataFrame:
     """The documents whose score is below ``cut``, with all their columns."""
-    train = labelled(docs.where(id_fold(F.col("doc_id"), folds) != held), labels, "toxic")
-    model = fit(train, per_class)
+    train = docs.where(id_fold(F.col("doc_id"), folds) != held)
+    model = fit(train, labelled(train, labels, "toxic"), per_class)
     keep = filter_column(model, cut)
     return docs.where(keep(text_of()))
 
