@@ -46,6 +46,7 @@ WINDOW = 10
 GRAM = 6
 BASE_BYTES, CLASS_BYTES = 3000, 1500
 SUPPORT, RATIO, LEAST = 0.03, 6.0, 4
+BASE_WORDS = 5000
 PARTS = 5
 STATS = ("windows", "largest", "mean", "top", "c2", "c3", "c4", "c5", "c6")
 THRESHOLDS = (2, 3, 4, 5, 6)
@@ -70,7 +71,8 @@ def _grams(word: bytes) -> set[bytes]:
 
 
 def _counts(sample: DataFrame) -> DataFrame:
-    """``part, y, kind, item, n``: texts that hold a word (kind 1) or a gram (kind 0)."""
+    """``kind, item, n0, n1``: per class the texts of each part that hold a gram (kind 0)
+    or a word (kind 1), as arrays over the parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -88,7 +90,26 @@ def _counts(sample: DataFrame) -> DataFrame:
 
     parts = sample.select("text", "y", "part").mapInArrow(
         run, "part int, y int, kind int, item binary, n long")
-    return parts.groupBy("part", "y", "kind", "item").agg(F.sum("n").alias("n"))
+    sums = parts.groupBy("kind", "item").agg(*[
+        F.sum(F.when((F.col("y") == y) & (F.col("part") == p), F.col("n")).otherwise(0)).alias(f"c{y}_{p}")
+        for y in (0, 1) for p in range(PARTS)])
+    return sums.select("kind", "item", *[
+        F.array(*[f"c{y}_{p}" for p in range(PARTS)]).alias(f"n{y}") for y in (0, 1)])
+
+
+def _worth_collecting(counts: DataFrame, n: dict[int, int]) -> list:
+    """Grams that can tell the classes apart with any one part left out, and the most
+    frequent words: a list whose length depends on the sample's bound only."""
+    total = {y: F.aggregate(f"n{y}", F.lit(0).cast("long"), lambda a, x: a + x) for y in (0, 1)}
+
+    def tells(a: int, b: int):
+        least = max(LEAST, 0.7 * SUPPORT * n[a])
+        rarer = (total[a] + 0.5) / n[a] > 0.5 * RATIO * (total[b] + 0.5) / n[b]
+        return (total[a] >= least) & rarer
+
+    grams = counts.where((F.col("kind") == 0) & (tells(0, 1) | tells(1, 0)))
+    words = counts.where("kind = 1").orderBy(F.desc(total[0] + total[1]), "item").limit(BASE_WORDS)
+    return grams.collect() + words.collect()
 
 
 def _telling(mine: dict[bytes, int], n_mine: int, other: dict[bytes, int], n_other: int) -> dict[bytes, int]:
@@ -136,7 +157,7 @@ def _base(words: dict[bytes, int], telling: set[bytes]) -> bytes:
 
     Words with a gram that tells the classes apart stay out.
     """
-    chosen = heapq.nlargest(5000, words, key=lambda w: (words[w], w))
+    chosen = heapq.nlargest(BASE_WORDS, words, key=lambda w: (words[w], w))
     chosen = [w for w in chosen if not telling & _grams(w)]
     weight: Counter = Counter()
     for w in chosen:
@@ -165,15 +186,17 @@ def _base(words: dict[bytes, int], telling: set[bytes]) -> bytes:
     return b" " + b" ".join(reversed(out)) + b" "
 
 
-def _dictionaries(rows: list, n: dict[int, int]) -> tuple[bytes, bytes]:
+def _dictionaries(rows: list, but: int | None, n: dict[int, int]) -> tuple[bytes, bytes]:
+    """Dictionaries from all parts but one."""
     grams = {0: {}, 1: {}}
-    words: Counter = Counter()
+    words: dict[bytes, int] = {}
     for r in rows:
-        item = bytes(r["item"])
+        c = [sum(v for p, v in enumerate(r[f"n{y}"]) if p != but) for y in (0, 1)]
         if r["kind"] == 1:
-            words[item] += r["n"]
+            words[bytes(r["item"])] = sum(c)
         else:
-            grams[r["y"]][item] = grams[r["y"]].get(item, 0) + r["n"]
+            for y in (0, 1):
+                grams[y][bytes(r["item"])] = c[y]
     base = _base(words, set(_telling(grams[1], n[1], grams[0], n[0]))
                  | set(_telling(grams[0], n[0], grams[1], n[1])))
     return (_chained(grams[1], n[1], grams[0], n[0]) + base,
@@ -237,12 +260,12 @@ def fit(docs: DataFrame, ids: DataFrame, per_class: int = 4000) -> Model:
     sample = cut_lineage(sample.dropDuplicates(["text"]))
     n = {(r["part"], r["y"]): r["n"] for r in
          sample.groupBy("part", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    floor = max(1, int(SUPPORT / PARTS / 2 * min(sum(v for (_, y), v in n.items() if y == c) for c in (0, 1))))
-    counts = _counts(sample).where(F.col("n") >= floor).collect()
+    size = {y: max(1, sum(v for (_, c), v in n.items() if c == y)) for y in (0, 1)}
+    counts = _worth_collecting(cut_lineage(_counts(sample)), size)
 
     def trained(but: int | None) -> tuple[bytes, bytes]:
-        sizes = {y: max(1, sum(v for (p, c), v in n.items() if c == y and p != but)) for y in (0, 1)}
-        return _dictionaries([r for r in counts if r["part"] != but], sizes)
+        left = {y: max(1, size[y] - n.get((but, y), 0)) for y in (0, 1)}
+        return _dictionaries(counts, but, left)
 
     # Each part is scored with dictionaries of the other parts.
     pairs = {p: trained(p) for p in range(PARTS)}
