@@ -9,8 +9,8 @@ before it, which stitches documents that cross blocks or files.
 
 Scale: a block needs one summary row. The scan has two levels, blocks inside a file and
 files in chunks, so no window spans all blocks. A file is one row of Spark's binary
-reader; files above ``MAX_FILE`` bytes are refused by their listed length, before they are
-read (writers split long before that).
+reader; ``pack`` begins a new file at half of ``MAX_FILE`` bytes, and foreign files above
+``MAX_FILE`` are refused by their listed length, before they are read.
 
 Nulls, ties and the rest: empty files and empty documents count (0 tokens); tokens
 behind the last separator are a last document with ``closed`` false; a file whose length
@@ -54,25 +54,47 @@ def encoder(folder: str = TOKENIZERS, name: str = "byte_bpe_multi_50k.tiktoken")
 
 
 def pack(docs: DataFrame, path: str, folder: str = TOKENIZERS,
-         name: str = "byte_bpe_multi_50k.tiktoken") -> None:
-    """Writes the tokens of every whole text to flat files of little-endian 16-bit ids.
+         name: str = "byte_bpe_multi_50k.tiktoken", most: int = MAX_FILE // 2) -> None:
+    """Writes the tokens of every whole text to flat files of little-endian 16-bit ids
+    below ``kind=tokens``, and the ids of its documents below ``kind=ids``.
 
     Spark's text writer puts the bytes of a row as they are and its line separator, here
-    the two bytes of ``EOD``, behind each.
+    the two bytes of ``EOD``, behind each. One pass over ``docs`` writes both kinds: a task
+    numbers its documents as it packs them (``file, nth, tokens, doc_id``), and begins the
+    next file of its own before one exceeds ``most`` bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(folder, name)
+        no, nth, size = 0, 0, 0
         for b in batches:
             for i in range(0, b.num_rows, 512):
-                ids = [(np.array(enc.encode_ordinary(t.as_py()), np.int64) + 1).astype("<u2").tobytes()
-                       for t in b["text"][i:i + 512]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["value"])
-
-    rows = docs.select("doc_id", text_of().alias("text"))
-    packed = rows.mapInArrow(run, "value binary")
-    packed.select(F.col("value").cast("string").alias("value")).write.option(
-        "lineSep", "\x00\x00").text(path)
+                at, ids, sidecar = [], [], []
+                for t, d in zip(b["text"][i:i + 512], b["doc_id"][i:i + 512].to_pylist()):
+                    x = (np.array(enc.encode_ordinary(t.as_py()), np.int64) + 1).astype("<u2").tobytes()
+                    if nth and size + len(x) + 2 > most:
+                        no, nth, size = no + 1, 0, 0
+                    at.append(no)
+                    ids.append(x)
+                    sidecar.append(f"{no} {nth} {len(x) // 2} {'' if d is None else d}".encode())
+                    nth, size = nth + 1, size + len(x) + 2
+                n = len(ids)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids + sidecar, pa.binary()), pa.array(["tokens"] * n + ["ids"] * n),
+                     pa.array(at + [0] * n, pa.int32())], ["value", "kind", "file"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    packed = rows.mapInArrow(run, "value binary, kind string, file int").select(
+        F.col("value").cast("string").alias("value"), "kind", "file")
+    # With writers side by side a task does not sort its rows by file first.
+    conf, key = docs.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(key)
+    conf.set(key, "100000")
+    try:
+        packed.write.partitionBy("kind", "file").option("lineSep", "\x00\x00").option(
+            "maxRecordsPerFile", 0).text(path)
+    finally:
+        conf.set(key, before)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -171,14 +193,25 @@ def documents(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
 def token_counts(docs: DataFrame, path: str, folder: str = TOKENIZERS, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_tokens, doc_no, start``: packs the documents below ``path`` and counts.
 
-    The files hold no ids. A file is written by one task in row order, so the place of a
-    document in its file is the place of its row in the task's partition.
+    The token files hold no ids; those that ``pack`` wrote beside them, in the same pass,
+    are joined by task, file and place. A document without its counterpart, or with
+    another length, fails.
     """
+    spark = docs.sparkSession
+    if not docs.take(1):  # no file is written
+        return spark.createDataFrame([], "doc_id long, n_tokens long, doc_no long, start long")
     pack(docs, path, folder)
-    counted = documents(docs.sparkSession, path, block).select(
-        "doc_no", "start", "n_tokens", F.col("nth").cast("long").alias("nth"),
-        F.regexp_extract("file", r"part-(\d+)-", 1).cast("long").alias("part"))
-    at = F.monotonically_increasing_id()
-    rows = docs.select("doc_id", F.shiftright(at, 33).alias("part"),
-                       at.bitwiseAND(F.lit((1 << 33) - 1)).alias("nth"))
-    return rows.join(counted, ["part", "nth"]).select("doc_id", "n_tokens", "doc_no", "start")
+    task = lambda c: F.regexp_extract(c, r"part-(\d+)-", 1).cast("long")
+    counted = documents(spark, f"{path}/kind=tokens", block).select(
+        "doc_no", "start", "n_tokens", F.col("nth").cast("long").alias("nth"), task("file").alias("part"),
+        F.regexp_extract("file", r"/file=(\d+)/", 1).cast("long").alias("no"))
+    side = F.split("value", " ")
+    ids = spark.read.option("lineSep", "\x00\x00").text(f"{path}/kind=ids").select(
+        "value", task(F.col("_metadata.file_path")).alias("part")).select(
+        "part", side[0].cast("long").alias("no"), side[1].cast("long").alias("nth"),
+        side[2].cast("long").alias("length"), F.when(side[3] != "", side[3].cast("long")).alias("doc_id"))
+    same = F.col("length").eqNullSafe(F.col("n_tokens"))
+    lost = F.raise_error(F.lit("token files and their ids differ"))
+    return ids.join(counted, ["part", "no", "nth"], "full").select(
+        "doc_id", F.when(same, F.col("n_tokens")).otherwise(lost.cast("long")).alias("n_tokens"),
+        "doc_no", "start")

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelcore.llm import decontam, html_extract, mixing, sharding, token_scan
@@ -205,3 +206,31 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert mixing.mix(empty).count() == 0 and mixing.mixed_rows(empty).count() == 0
     assert sharding.shard_table(empty).count() == 0 and sharding.sharded_rows(empty).count() == 0
+
+
+def test_counts_do_not_hang_on_a_second_read(spark):
+    """Rows come in another order each time they are read."""
+    texts = {i: "word " * (i % 37) for i in range(400)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+
+    def shuffled(batches):
+        import os
+        for b in batches:
+            yield b.take(pa.array(np.argsort(np.frombuffer(os.urandom(8 * b.num_rows), np.uint64))))
+
+    docs = docs.select("doc_id", "text").mapInArrow(shuffled, "doc_id long, text string")
+    enc = token_scan.encoder()
+    got = {r.doc_id: r.n_tokens for r in token_scan.token_counts(docs, scratch_path(spark, "tokens")).collect()}
+    assert got == {i: len(enc.encode_ordinary(t)) for i, t in texts.items()}
+
+
+def test_packed_files_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * i) for i in range(200)], "doc_id long, text string").coalesce(1)
+    path = scratch_path(spark, "tokens")
+    token_scan.pack(docs, path, most=4000)
+    files = spark.read.format("binaryFile").load(f"{path}/kind=tokens").select("length").collect()
+    assert len(files) > 5 and all(r.length <= 4000 for r in files)
+    monkeypatch.setattr(token_scan.pack, "__defaults__", (*token_scan.pack.__defaults__[:-1], 4000))
+    got = token_scan.token_counts(docs, scratch_path(spark, "tokens")).collect()
+    enc = token_scan.encoder()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(enc.encode_ordinary("word " * i)) for i in range(200)}
