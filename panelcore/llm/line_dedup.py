@@ -1,16 +1,18 @@
 """Substring dedup by hashing lines and the sentences inside them.
 
-A text is cut at line ends and, inside lines, behind sentence marks; a cut unit is
-normalised (lower case, single spaces, no marks at its ends) and hashed to 128 bits.
-Units below ``least`` words say little alone, so their hash also covers the units before
-them until ``least`` words are reached; at the start of a text such a unit has no hash
-and always stays. All rows are grouped by digest; of equal units the one that ranks
-first by (doc_id, offset) stays and every other one is removed, with its offsets in the
-original text kept.
+A text is cut at line ends and, inside lines, behind sentence marks; lines and sentences
+are normalised (lower case, single spaces, no marks at their ends) and hashed to 128 bits.
+Whole lines come first, however short: of equal lines the one that ranks first by
+(doc_id, offset) stays and every other one is removed, with its offsets in the original
+text kept. The lines that stay are then compared by their sentences in the same way.
+Sentences below ``least`` words say little alone, so their hash also covers the units
+before them until ``least`` words are reached; at the start of a text such a sentence has
+no hash. ``by_line`` compares whole lines only.
 
 Scale: units are written once to the shared folder. Digests are grouped with map-side
 combine, so a line that stands in every document is one row per task; only digests that
-occur twice are joined back, as a shuffle join that adaptive execution may split. What
+occur twice are joined back, as a shuffle join that adaptive execution may split; sentences are
+counted before and again after those of removed lines are left out. What
 is gathered per document is its own spans, never a group's members.
 
 Nulls, ties and the rest: null and empty texts have no units; a null id ranks last;
@@ -30,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcore.llm.common import text_of
-from panelcore.session import scratch_path
+from panelcore.session import cut_lineage, scratch_path
 
 ENDS = re.compile(r"[.!?]+(?=\s)|\n")
 EDGE = ".,;:!?… "
-UNIT = "doc_id long, h long, start int, stop int, words int, digest binary"
+UNIT = "doc_id long, h long, line int, whole boolean, start int, stop int, words int, digest binary"
 NO_ID = 2**63 - 1
 
 
@@ -61,20 +63,49 @@ def units(text: str, least: int = 8, by_line: bool = False) -> list[tuple[int, i
     return out
 
 
+def lines(text: str) -> list[tuple[int, int, int, bytes]]:
+    """(start, stop, words, digest) of every line that is not blank; a line of marks only
+    is told by them."""
+    out, lo = [], 0
+    for raw in text.split("\n"):
+        words = raw.lower().split()
+        if words:
+            key = " ".join(words)
+            start = lo + len(raw) - len(raw.lstrip())
+            out.append((start, lo + len(raw.rstrip()), len(words),
+                        blake2b((key.strip(EDGE) or key).encode(), digest_size=16).digest()))
+        lo += len(raw) + 1
+    return out
+
+
+def _rows_of(text: str, least: int, by_line: bool) -> Iterator[tuple]:
+    """(line, whole, start, stop, words, digest) of the lines and of the units inside
+    them; ``line`` is where the line of a unit starts."""
+    whole = lines(text)
+    for u in whole:
+        yield u[0], True, *u
+    i = 0
+    for u in () if by_line else units(text, least):
+        while whole[i][1] <= u[0]:
+            i += 1
+        yield whole[i][0], False, *u
+
+
 def unit_rows(docs: DataFrame, least: int = 8, by_line: bool = False) -> DataFrame:
-    """``UNIT`` rows of all texts; ``h`` tells apart texts that share an id."""
+    """``UNIT`` rows of the lines and units of all texts; ``h`` tells apart texts that share an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 rows = [(d, h, *u) for d, h, t in zip(part["doc_id"].to_pylist(), part["h"].to_pylist(),
-                                                      part["text"]) for u in units(t.as_py(), least, by_line)]
+                                                      part["text"]) for u in _rows_of(t.as_py(), least, by_line)]
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows), (
-                            pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))],
-                        ["doc_id", "h", "start", "stop", "words", "digest"])
+                            pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(),
+                            pa.int32(), pa.binary()))],
+                        ["doc_id", "h", "line", "whole", "start", "stop", "words", "digest"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
                        F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
@@ -82,16 +113,21 @@ def unit_rows(docs: DataFrame, least: int = 8, by_line: bool = False) -> DataFra
 
 
 def removed_units(docs: DataFrame, least: int = 8, by_line: bool = False) -> DataFrame:
-    """One row per removed unit: ``doc_id, h, start, stop, words, keep_id, keep_start,
-    copies``; offsets are characters of the original text."""
+    """One row per removed line or unit: ``doc_id, h, start, stop, words, keep_id,
+    keep_start, copies``; offsets are characters of the original text, and no two spans
+    of a text overlap."""
     spark = docs.sparkSession
     path = scratch_path(spark, "units")
     unit_rows(docs, least, by_line).write.parquet(path)
     rows = spark.read.parquet(path)
-    first = rows.groupBy("digest").agg(
-        F.min(F.struct("doc_id", "start")).alias("k"), F.count(F.lit(1)).alias("copies")
-    ).where("copies > 1").select("digest", "k", "copies")
-    out = rows.join(first, "digest").where(F.struct("doc_id", "start") != F.col("k"))
+    out = _later(rows.where("whole"))
+    if not by_line:
+        out = cut_lineage(out)
+        inside = rows.where("not whole")
+        twice = inside.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+        gone = out.select("doc_id", "h", "line").distinct()
+        stay = inside.join(twice, "digest").join(gone, ["doc_id", "h", "line"], "left_anti")
+        out = out.unionByName(_later(cut_lineage(stay)))
     given = lambda c: F.when(c != NO_ID, c)
     return out.select(
         given(F.col("doc_id")).alias("doc_id"), "h", "start", "stop", "words",
@@ -100,6 +136,14 @@ def removed_units(docs: DataFrame, least: int = 8, by_line: bool = False) -> Dat
     ).distinct()
 
 
+def _later(rows: DataFrame) -> DataFrame:
+    """The rows whose digest stands earlier too, with that place ``k`` and ``copies``."""
+    first = rows.groupBy("digest").agg(
+        F.min(F.struct("doc_id", "start")).alias("k"), F.count(F.lit(1)).alias("copies")
+    ).where("copies > 1").select("digest", "k", "copies")
+    return rows.join(first, "digest").where(F.struct("doc_id", "start") != F.col("k"))
+
+
 def cleaned(docs: DataFrame, least: int = 8, by_line: bool = False) -> DataFrame:
     """All documents with all columns, ``text`` without the removed units, and ``removed``:
     the (start, stop) spans in the original text. A column ``removed`` is replaced."""

@@ -165,3 +165,14 @@ def test_empty_tables(spark):
     assert simhash.near_duplicates(empty).count() == 0
     assert line_dedup.removed_units(empty).count() == 0
     assert line_dedup.cleaned(empty).count() == 0
+
+
+def test_whole_lines_go_however_short(spark):
+    licence, long = "Licensed under CC BY-NC 4.0.", "one two three four five six seven. Eight nine."
+    rows = [(1, f"{licence}\nfirst\n{long}\n---"), (2, f"second\n{licence}\n{long}\nend\n---"),
+            (3, licence), (4, f"  {licence.upper()}\n\nlast")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text.split() for r in line_dedup.cleaned(docs).collect()}
+    assert out == {1: rows[0][1].split(), 2: ["second", "end"], 3: [], 4: ["last"]}
+    for r in line_dedup.cleaned(docs).collect():
+        assert all(a.stop <= b.start for a, b in zip(r.removed, r.removed[1:]))
