@@ -4,7 +4,9 @@ Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A
 cut into windows of ``WINDOW`` words; each window is compressed with either dictionary,
 and the bytes that the toxic one saves are the window's distance. A window counts as
 toxic from a threshold on; threshold and the weights that turn a text's windows into a
-score are calibrated on texts whose dictionaries were trained without them.
+score are calibrated on texts whose dictionaries were trained without them. Words above
+``PIECE`` bytes (text without spaces) count as overlapping pieces, so that no window is
+longer than the compressor can look back to its dictionary.
 
 Training a dictionary here means choosing its bytes: byte grams inside words that are
 frequent in one class and several times rarer in the other, chained where they
@@ -44,6 +46,8 @@ from panelcore.session import cut_lineage
 
 WINDOW = 10
 GRAM = 6
+#: Ten pieces and a dictionary stay below the compressor's 8 KB.
+PIECE, OVERLAP = 256, 16
 BASE_BYTES, CLASS_BYTES = 3000, 1500
 SUPPORT, RATIO, LEAST = 0.03, 6.0, 4
 BASE_WORDS = 5000
@@ -65,6 +69,17 @@ class Model:
 
 # --- dictionaries -----------------------------------------------------------------
 
+def _words(text: bytes) -> list[bytes]:
+    """Lower-case words; longer ones than ``PIECE`` as pieces that overlap."""
+    out = []
+    for w in text.lower().split():
+        if len(w) <= PIECE:
+            out.append(w)
+        else:
+            out += [w[i:i + PIECE] for i in range(0, len(w) - OVERLAP, PIECE - OVERLAP)]
+    return out
+
+
 def _grams(word: bytes) -> set[bytes]:
     w = b" " + word + b" "
     return {w[i:i + GRAM] for i in range(max(1, len(w) - GRAM + 1))}
@@ -78,7 +93,7 @@ def _counts(sample: DataFrame) -> DataFrame:
         for b in batches:
             n: Counter = Counter()
             for text, y, part in zip(b["text"], b["y"].to_pylist(), b["part"].to_pylist()):
-                words = set(text.as_py().encode().lower().split())
+                words = set(_words(text.as_py().encode()))
                 grams = set().union(*map(_grams, words)) if words else set()
                 n.update((part, y, 1, w) for w in words)
                 n.update((part, y, 0, g) for g in grams)
@@ -217,7 +232,7 @@ def _compressor(content: bytes) -> zs.ZstdCompressor:
 
 def window_stats(text: bytes, toxic, ordinary) -> list[float]:
     """``STATS`` of one text."""
-    w = text.lower().split()
+    w = _words(text)
     saved = []
     for i in range(0, len(w), WINDOW):
         win = b" " + b" ".join(w[i:i + WINDOW]) + b" "

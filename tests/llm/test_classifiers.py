@@ -92,3 +92,18 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, d).toPandas()
     assert len(out) == sizes[-1] and out.groupby("text").shard.nunique().max() == 1
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
+
+
+def test_a_window_has_a_byte_bound():
+    """Toxic bytes at the end of a long text without spaces count as at its start."""
+    rng = random.Random(6)
+    toxic = toxicity._compressor(b"grumbocksnarflingwortzel" * 3 + b" base " * 700).compress
+    plain = toxicity._compressor(b" base " * 700).compress
+    filler = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=31_000)).encode()
+    told = b"grumbocksnarflingwortzel"
+    at_end, at_start, none = (toxicity.window_stats(t, toxic, plain)[1]
+                              for t in (filler + told, told + filler, filler))
+    assert at_end > none + 4 and abs(at_end - at_start) <= 4
+    text = "ab" * 5000 + " short words"
+    pieces = toxicity._words(text.encode())
+    assert max(map(len, pieces)) <= toxicity.PIECE and pieces[-2:] == [b"short", b"words"]
