@@ -292,7 +292,7 @@ def ridge_metrics(spark, d):
 
 @query("gradient_boosting_metrics")
 def gradient_boosting_metrics(spark, d):
-    return _metrics(spark, d, lambda s: models.BoostedTrees(s, n_trees=10))
+    return _metrics(spark, d, lambda s: models.BoostedTrees(s))
 
 
 GRID = [Experiment("with_spatial"), Experiment("without_spatial", {"include_spatial": False})]

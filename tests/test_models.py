@@ -227,3 +227,12 @@ def test_positions_are_evenly_spaced():
     assert attribution.spaced_positions(10, 4) == [0, 3, 6, 9]
     assert attribution.spaced_positions(3, 60) == [0, 1, 2]
     assert attribution.spaced_positions(5, 1) == [0]
+
+
+def test_registered_trees_have_all_their_rounds(monkeypatch):
+    from panelcore.catalog import evaluation
+
+    seen = []
+    monkeypatch.setattr(evaluation, "_metrics", lambda s, d, f: seen.append(f(None).args["maxIter"]))
+    evaluation.gradient_boosting_metrics(None, None)
+    assert seen == [models.BoostedTrees(None).args["maxIter"]] == [400]
