@@ -29,6 +29,7 @@ from panelcore.catalog.features import (
     nation_edges,
 )
 from panelcore.operators import evaluate, folds, models
+from panelcore.operators.features import design
 from panelcore.params import ConformalParams, FoldParams, SeasonalParams
 from panelcore.plans.production import (
     Experiment,
@@ -149,18 +150,10 @@ steps AS (
 m AS (""" + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", avg({c}) AS mean, CASE WHEN stddev_pop({c}) > 0 "
     f"THEN stddev_pop({c}) ELSE 1 END AS scale FROM steps" for c in COLUMNS)
-    + """)
-SELECT "column", CAST(round(CAST(mean AS DECIMAL(38,9)), 3) AS DOUBLE) AS mean,
-       CAST(round(CAST(scale AS DECIMAL(38,9)), 3) AS DOUBLE) AS scale FROM m"""))
+    + ") " + pick('"column" ~mean ~scale', "FROM m")))
 def scaling_moments(spark, d):
-    samples, spec = build(spark, d, PLAIN)
-    row = models.pooled_moments(samples, spec)
-    parts = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.round(F.col(f"m{i}"), 3).alias("mean"),
-                 F.round(F.when(F.col(f"s{i}") > 0, F.col(f"s{i}")).otherwise(1.0), 3).alias(
-                     "scale"))
-        for i, c in enumerate(spec.columns)])
-    return row.select(F.explode(parts).alias("p")).select("p.*")
+    wide, spec = design(staged_panel(spark, d), PLAIN, TARGET, MONTHS, 1, nation_edges(spark, d))
+    return models.covered_moments(wide, spec)
 
 
 @query("standardised_features", monthly(DESIGN + """,
@@ -473,6 +466,36 @@ def ridge_forecast(spark, d):
         "fold", "role", "entity", "period", "y", "prediction")
 
 
+# The same model with alpha chosen per fold by leave-one-out: the error of a left-out row is
+# its residual over 1 - h, where h is its leverage.
+RIDGE_ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
+RIDGE_LOO = RIDGE[:RIDGE.index("g AS (")] + """g AS (
+  SELECT fold, alpha, count(*) AS n, sum(z1 * z1) + alpha AS s11, sum(z2 * z2) + alpha AS s22,
+         sum(z1 * z2) AS s12, sum(z1 * e) AS r1, sum(z2 * e) AS r2
+  FROM z, (VALUES """ + ", ".join(f"({a}::DOUBLE)" for a in RIDGE_ALPHAS) + """) v(alpha)
+  GROUP BY 1, 2),
+b AS (SELECT *, s11 * s22 - s12 * s12 AS det FROM g),
+c AS (SELECT *, (r1 * s22 - r2 * s12) / det AS b1, (r2 * s11 - r1 * s12) / det AS b2 FROM b),
+loo AS (
+  SELECT fold, alpha, any_value(b1) AS b1, any_value(b2) AS b2,
+         sum(((e - b1 * z1 - b2 * z2)
+              / (1 - 1.0 / n - (z1 * z1 * s22 - 2 * z1 * z2 * s12 + z2 * z2 * s11) / det)) ** 2) AS sse
+  FROM z JOIN c USING (fold) GROUP BY 1, 2),
+best AS (SELECT fold, arg_min(alpha, sse) AS alpha, arg_min(b1, sse) AS b1, arg_min(b2, sse) AS b2
+         FROM loo GROUP BY 1),
+scored AS (
+  SELECT fold, role, entity, period, y,
+         my + b1 * (avg_price - ma) / sa + b2 * (target_level_lag_0 - mt) / st AS prediction
+  FROM samples JOIN roles USING (period) JOIN m USING (fold) JOIN best USING (fold)
+  WHERE role <> 'fit')"""
+
+
+@query("ridge_loo_metrics", monthly(RIDGE_LOO + metrics_sql() + " " + pick(
+    "#fold " + METRICS, "FROM metrics")))
+def ridge_loo_metrics(spark, d):
+    return _metrics(spark, d, lambda s: models.Ridge(s, RIDGE_ALPHAS), RIDGE_COLUMNS)
+
+
 @query("prediction_rows", monthly(PERSISTENCE + """,
 pred AS (
   SELECT fold, entity, period AS origin_date,

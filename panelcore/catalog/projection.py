@@ -126,15 +126,53 @@ curve AS (
   FROM walk, width)"""
 
 
-@query("project_recursive", monthly(RECURSIVE + " " + pick(
-    "entity target_date #steps_ahead ~predicted_rate ~lower_rate ~upper_rate mode ~reliability",
-    "FROM curve")))
+CURVE_COLUMNS = ("entity target_date #steps_ahead ~predicted_rate ~lower_rate ~upper_rate mode "
+                 "~reliability")
+
+
+@query("project_recursive", monthly(RECURSIVE + " " + pick(CURVE_COLUMNS, "FROM curve")))
 def project_recursive(spark, d):
     panel = staged_panel(spark, d)
     model = naive_model(spark, d, panel)
     return project.project_recursive(panel, ALL, model, TARGET, MONTHS, CLAMP, PROJECTION)
 
 
+# One entity stops reporting years before the others; its curve starts at its own end.
+STALE = "entity = 'FRANCE' AND period > DATE '1998-06-01'"
+
+
+@query("project_recursive_stale", monthly("").replace("levels AS (", f"""full_panel AS (SELECT * FROM panel),
+stale_panel AS (SELECT * REPLACE (CASE WHEN NOT ({STALE}) THEN orders END AS orders) FROM full_panel),
+levels AS (""").replace("orders / exposure * 100000) AS target_level FROM panel",
+                        "orders / exposure * 100000) AS target_level FROM stale_panel")
+       + RECURSIVE.replace("FROM panel", "FROM stale_panel").replace("JOIN panel p", "JOIN stale_panel p")
+       + " " + pick(CURVE_COLUMNS, "FROM curve"))
+def project_recursive_stale(spark, d):
+    panel = staged_panel(spark, d).withColumn("orders", F.when(~F.expr(STALE), F.col("orders")))
+    model = naive_model(spark, d, panel)
+    return project.project_recursive(panel, ALL, model, TARGET, MONTHS, CLAMP, PROJECTION)
+
+
+@query("project_to_asked", monthly(RECURSIVE + """,
+asked AS (SELECT entity, CAST(last_observed + k * INTERVAL 1 MONTH AS DATE) AS asked
+          FROM ends, (VALUES (0), (1), (4), (30)) t(k)),
+answered AS (
+  SELECT c.*, asked, last_observed, CAST(last_observed + INTERVAL 1 MONTH AS DATE) AS direct_until,
+         asked > CAST(last_observed + INTERVAL 7 MONTH AS DATE) AS truncated
+  FROM asked JOIN ends USING (entity) JOIN curve c USING (entity) WHERE target_date <= asked) """
+                                   + pick("asked last_observed direct_until truncated " + CURVE_COLUMNS,
+                                          "FROM answered")))
+def project_to_asked(spark, d):
+    """Asked for the last observed month, and 1, 4 and 30 months later."""
+    panel = staged_panel(spark, d)
+    ends = project.last_observed(panel, TARGET.target)
+    shifts = F.explode(F.array(*map(F.lit, (0, 1, 4, 30))))
+    requests = ends.select("entity", "last_observed", shifts.alias("k")).select(
+        "entity", F.add_months("last_observed", F.col("k")).alias("asked"))
+    model = naive_model(spark, d, panel)
+    return project.project_to(panel, requests, ALL, model, TARGET, MONTHS, CLAMP, PROJECTION)
+
+
 @query("project_recursive_ridge")
 def project_recursive_ridge(spark, d):
     panel = staged_panel(spark, d)

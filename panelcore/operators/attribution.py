@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelcore.functions.ranks import global_row_number, one_group
 from panelcore.operators.features import ENTITY_VARIABLE, IDENTITY_PREFIX, LEVEL, FeatureSpec
-from panelcore.operators.models import FittedModel, PipelineForecast
+from panelcore.operators.models import ColumnForecast, FittedModel, LinearForecast
 from panelcore.params import ParamError
 
 KEYS = ["entity", "period"]
@@ -43,10 +43,24 @@ def rows_to_explain(samples: DataFrame, limit: int) -> DataFrame:
 # -- attributions -------------------------------------------------------------
 
 
-def linear_coefficients(model: PipelineForecast) -> np.ndarray:
+def linear_coefficients(model: LinearForecast) -> np.ndarray:
     """Coefficients on the unscaled flat view."""
-    scaler, regression = model.stages.stages
-    return np.asarray(scaler.getScalingVec().toArray()) * regression.coefficients.toArray()
+    return model.coefficients
+
+
+def is_linear(model: FittedModel) -> bool:
+    return isinstance(model, (LinearForecast, ColumnForecast))
+
+
+def flat_coefficients(model: FittedModel, spec: FeatureSpec) -> np.ndarray:
+    """Coefficients on the flat view of a linear model or of the pick of one column."""
+    if isinstance(model, LinearForecast):
+        return model.coefficients
+    if isinstance(model, ColumnForecast):
+        flat = np.zeros((spec.timesteps, len(spec.columns)))
+        flat[-1, spec.columns.index(model.column)] = 1.0  # the newest step
+        return flat.ravel()
+    raise ParamError("only models that are linear in their columns have coefficients")
 
 
 def mean_background(background: DataFrame, spec: FeatureSpec) -> DataFrame:

@@ -7,25 +7,27 @@ A forecaster is fitted on rows and returns a model whose ``transform`` adds
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import ElementwiseProduct
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from panelcore.functions.ranks import one_group
-from panelcore.functions.scalars import position_from_cyclic
-from panelcore.operators.features import LEVEL, FeatureSpec, flatten_sequence, step_value
+from panelcore.functions.scalars import finite, position_from_cyclic
+from panelcore.operators.features import LEVEL, FeatureSpec, flatten_sequence, series, step_value
+from panelcore.operators.statistics import (
+    RidgePath,
+    fold_moments,
+    leave_one_out,
+    pooled_scale,
+    segment_moments,
+)
 from panelcore.params import SeasonalParams
 
 
@@ -101,23 +103,51 @@ def seasonal_naive(spec: FeatureSpec, per_year: int) -> ColumnForecast:
 # -- scaling ------------------------------------------------------------------
 
 
-def pooled_moments(train: DataFrame, spec: FeatureSpec) -> DataFrame:
-    """One row of mean and population deviation per feature, over samples and steps."""
-    rows = train.select(F.explode("seq").alias("r"))
-    aggs = []
-    for i in range(len(spec.columns)):
-        x = F.col("r")[i]
-        aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
-    return rows.agg(*aggs)
+def scale_factors(train: DataFrame, spec: FeatureSpec) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scale per feature over samples and steps; a constant feature keeps scale 1.
 
+    One vector aggregate of the flat view; its steps are pooled afterwards, so no row is
+    repeated per step.
+    """
+    flat = train.select(array_to_vector(flatten_sequence(F.col("seq"))).alias("x"))
+    found = Summarizer.metrics("mean", "variance", "count").summary(F.col("x"))
+    r = flat.select(found.alias("s")).first()["s"]
+    n = r["count"]
+    variance = r["variance"].toArray() * ((n - 1) / n)
+    return pooled_scale(r["mean"].toArray(), variance, spec.timesteps)
 
-def scale_factors(train: DataFrame, spec: FeatureSpec) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and scale per feature; a constant feature keeps scale 1."""
-    r = pooled_moments(train, spec).first()
-    n = len(spec.columns)
-    mean = np.array([r[f"m{i}"] for i in range(n)], dtype=float)
-    sd = np.array([r[f"s{i}"] for i in range(n)], dtype=float)
-    return mean, np.where(sd > 0, sd, 1.0)
+
+def covered_moments(wide: DataFrame, spec: FeatureSpec, before: Column | None = None) -> DataFrame:
+    """``column, mean, scale`` of all steps of all samples, from the panel rows themselves.
+
+    A sample covers the T rows up to its origin, so a row counts once for each surviving
+    sample among the T origins from its own period on: a running count over the row's
+    following frame. Rows are weighted by that count and none is repeated. ``before``
+    restricts the origins to those earlier than a date.
+    """
+    ahead = series().rowsBetween(0, spec.timesteps - 1)
+    behind = series().rowsBetween(-(spec.timesteps - 1), 0)
+    complete = reduce(lambda a, b: a & b, [finite(F.col(f"`{c}`")) for c in spec.columns])
+    cells = F.array(*[F.col(f"`{c}`").cast("double") for c in spec.columns])
+    rows = wide.select("entity", "period", "y", cells.alias("x"), complete.alias("_ok"))
+    origin = (F.count_if("_ok").over(behind) == spec.timesteps) & finite(F.col("y"))
+    if before is not None:
+        origin = origin & (F.col("period") < before)
+    rows = rows.withColumn("_origin", origin).withColumn("w", F.count_if("_origin").over(ahead))
+    covered = rows.where("w > 0").select(array_to_vector("x").alias("x"), F.col("w").cast("double"))
+    stats = Summarizer.metrics("mean", "variance", "min", "max").summary(
+        F.col("x"), F.col("w"))
+    one = covered.agg(stats.alias("s"), F.sum("w").alias("n"),
+                      F.sum(F.col("w") * F.col("w")).alias("w2"))
+    arrays = [vector_to_array(F.col(f"s.{c}")).alias(c) for c in ("mean", "variance", "min", "max")]
+    names = F.array(*map(F.lit, spec.columns)).alias("column")
+    cells = one.select("w2", "n", F.arrays_zip(names, *arrays).alias("a")).select(
+        "w2", "n", F.explode("a").alias("c"))
+    # The summary divides by n - w2 / n; the population deviation divides by n.
+    population = F.col("c.variance") * (F.col("n") - F.col("w2") / F.col("n")) / F.col("n")
+    return cells.select(
+        "c.column", "c.mean",
+        F.when(F.col("c.min") == F.col("c.max"), 1.0).otherwise(F.sqrt(population)).alias("scale"))
 
 
 def standardise(samples: DataFrame, mean: np.ndarray, sd: np.ndarray) -> DataFrame:
@@ -151,78 +181,72 @@ class PipelineForecast(FittedModel):
         return PipelineForecast(PipelineModel.load(path))
 
 
+class LinearForecast(FittedModel):
+    """Intercept plus coefficients of the raw flat view."""
+
+    def __init__(self, coefficients: np.ndarray, intercept: float, info: dict | None = None) -> None:
+        self.coefficients = np.asarray(coefficients, dtype=float)
+        self.intercept, self.info = float(intercept), info or {}
+
+    def transform(self, samples: DataFrame) -> DataFrame:
+        coef = F.array(*map(F.lit, self.coefficients.tolist()))
+        return samples.withColumn("prediction", weighted_sum(F.flatten("seq"), coef, F.lit(self.intercept)))
+
+    def state(self) -> dict:
+        return {"coefficients": self.coefficients.tolist(), "intercept": self.intercept,
+                "info": self.info}
+
+
+def weighted_sum(values: Column, weights: Column, start: Column) -> Column:
+    """``start`` plus the inner product of two arrays."""
+    products = F.zip_with(values, weights, lambda x, w: x * w)
+    return F.aggregate(products, start, lambda total, x: total + x)
+
+
 class Ridge(Forecaster):
     """Ridge on the scaled flat view; alpha by closed-form leave-one-out.
 
-    The Gram matrix is a tree aggregate of size features squared. Its eigenvectors
-    turn the leave-one-out error of every alpha into one vectorised pass of row
-    dot products that returns a few sums per partition.
+    All folds are solved from one pass of mergeable moments (:mod:`statistics`), and all
+    their leave-one-out errors, for every alpha, come from one more. The products of the
+    flat features (features squared) are what the driver holds; there is no other limit
+    on their number.
     """
 
     def __init__(self, spec: FeatureSpec, alphas=(0.01, 0.1, 1.0, 10.0, 100.0)) -> None:
         self.spec, self.alphas = spec, tuple(float(a) for a in alphas)
 
-    def fit(self, train: DataFrame, val: DataFrame | None = None) -> PipelineForecast:
-        _, sd = scale_factors(train, self.spec)
-        factors = Vectors.dense(np.tile(1.0 / sd, self.spec.timesteps).tolist())
-        scaler = ElementwiseProduct(scalingVec=factors, inputCol="flat", outputCol="scaled")
-        flat = train.select(array_to_vector(flatten_sequence(F.col("seq"))).alias("flat"), "y")
-        rows = scaler.transform(flat).select("flat", "scaled", "y").persist(
-            StorageLevel.MEMORY_AND_DISK
-        )
-        try:
-            alpha, n, sd_y = self._choose_alpha(rows)
-            # regParam acts on the label scaled to unit deviation.
-            lr = LinearRegression(
-                featuresCol="scaled", labelCol="y", solver="normal", standardization=False,
-                elasticNetParam=0.0, regParam=alpha / n * sd_y,
-            )
-            stages = Pipeline(stages=[scaler, lr]).fit(rows.drop("scaled"))
-        finally:
-            rows.unpersist()
-        return PipelineForecast(stages, {"alpha": alpha})
-
-    def _choose_alpha(self, rows: DataFrame) -> tuple[float, int, float]:
-        augmented = rows.select(
-            array_to_vector(F.concat(vector_to_array("scaled"), F.array("y", F.lit(1.0)))).alias(
-                "v"
-            )
-        )
-        gram = RowMatrix(
-            MLUtils.convertVectorColumnsFromML(augmented, "v")
-        ).computeGramianMatrix().toArray()
-        n = gram[-1, -1]
-        mean = gram[-1, :-1] / n
-        centred = gram[:-1, :-1] - n * np.outer(mean, mean)
-        eigen, vectors = np.linalg.eigh(centred[:-1, :-1])
-        eigen = np.maximum(eigen, 0.0)
-        load = vectors.T @ centred[:-1, -1]
-        errors = self._loo(rows, mean, vectors, eigen, load, n)
-        best = min(self.alphas, key=lambda a: errors[a])
-        return best, int(n), float(np.sqrt(max(centred[-1, -1] / n, 0.0)))
-
-    def _loo(self, rows, mean, vectors, eigen, load, n) -> dict[float, float]:
-        alphas = self.alphas
-
-        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums = np.zeros(len(alphas))
-            for b in batches:
-                if b.empty:
-                    continue
-                z = (np.stack(b["x"].to_numpy()) - mean[:-1]) @ vectors
-                yc = b["y"].to_numpy() - mean[-1]
-                for i, a in enumerate(alphas):
-                    inv = 1.0 / (eigen + a)
-                    hat = 1.0 / n + (z * z) @ inv
-                    residual = yc - z @ (inv * load)
-                    sums[i] += float(np.sum((residual / (1.0 - hat)) ** 2))
-            yield pd.DataFrame({"alpha": alphas, "sse": sums})
-
-        scored = rows.select(vector_to_array("scaled").alias("x"), "y").mapInPandas(
-            partial, "alpha double, sse double"
-        )
-        return {r["alpha"]: r["sse"] for r in scored.groupBy("alpha").agg(
-            F.sum("sse").alias("sse")).collect()}
+    def _solve(self, rows: DataFrame, numbers: list[int]) -> dict[int, LinearForecast]:
+        moments = fold_moments(segment_moments(rows), numbers)
+        if not moments:
+            raise ModelUnavailable("there is no row to fit on")
+        paths = {k: RidgePath.of(m, self.spec.timesteps) for k, m in moments.items()}
+        alphas = {k: self.alphas[0] for k in paths}
+        if len(self.alphas) > 1:
+            errors = leave_one_out(rows, paths, self.alphas)
+            alphas = {k: min(self.alphas, key=errors[k].get) for k in paths}
+        return {k: LinearForecast(*path.solution(alphas[k]), {"alpha": alphas[k]})
+                for k, path in paths.items()}
+
+    @staticmethod
+    def _vectors(rows: DataFrame, segment: Column) -> DataFrame:
+        v = F.concat(F.flatten("seq"), F.array(F.col("y").cast("double")))
+        return rows.select(segment.cast("int").alias("segment"), v.alias("v"))
+
+    def fit(self, train: DataFrame, val: DataFrame | None = None) -> LinearForecast:
+        return self._solve(self._vectors(train, F.lit(0)), [0])[0]
+
+    def score(self, assigned, numbers, factory) -> DataFrame:
+        fit = assigned.where("role = 'fit'")
+        # The first fold that fits on a period; later ones keep it. One row per period.
+        first = fit.groupBy("period").agg(F.min("fold").alias("_first"))
+        once = fit.join(F.broadcast(first), "period").where(F.col("fold") == F.col("_first"))
+        fitted = self._solve(self._vectors(once, F.col("fold")), numbers)
+        table = assigned.sparkSession.createDataFrame(
+            [(k, m.coefficients.tolist(), m.intercept) for k, m in fitted.items()],
+            "fold int, _coef array<double>, _start double")
+        rows = assigned.where("role <> 'fit'").join(F.broadcast(table), "fold")  # a row per fold
+        return rows.withColumn("prediction", weighted_sum(
+            F.flatten("seq"), F.col("_coef"), F.col("_start"))).drop("_coef", "_start")
 
 
 class BoostedTrees(Forecaster):
@@ -337,6 +361,41 @@ def fit_anchor(scored: DataFrame, by: list[str]) -> dict[tuple, float]:
     return {tuple(r[b] for b in by): float(r["de"] / r["dd"]) if r["dd"] else 0.0 for r in rows}
 
 
+# -- storage ------------------------------------------------------------------
+
+
+def save_fitted(model: FittedModel, path: str) -> dict:
+    """Write what a fitted model holds below ``path``; the rest is returned, for JSON."""
+    if isinstance(model, ColumnForecast):
+        return {"kind": "column", "column": model.column}
+    if isinstance(model, LinearForecast):
+        return {"kind": "linear", **model.state()}
+    if isinstance(model, PipelineForecast):
+        model.save(path)
+        return {"kind": "pipeline"}
+    if isinstance(model, SeasonalModel) and not model.by:
+        model.profile.write.mode("overwrite").parquet(f"{path}/profile")
+        model.pooled.write.mode("overwrite").parquet(f"{path}/pooled")
+        return {"kind": "seasonal", "weight": model.weight}
+    raise ValueError(f"{type(model).__name__} cannot be stored")
+
+
+def load_fitted(spark, state: dict, path: str, spec: FeatureSpec, per_year: int,
+                seasonal: SeasonalParams) -> FittedModel:
+    """What :func:`save_fitted` stored."""
+    kind = state["kind"]
+    if kind == "column":
+        return ColumnForecast(spec, state["column"])
+    if kind == "linear":
+        return LinearForecast(state["coefficients"], state["intercept"], state["info"])
+    if kind == "pipeline":
+        return PipelineForecast.load(path)
+    profile, pooled = (spark.read.parquet(f"{path}/{t}") for t in ("profile", "pooled"))
+    model = SeasonalModel(SeasonalTrend(spec, per_year, seasonal), [], profile, pooled)
+    model.weights = {(): state["weight"]}
+    return model
+
+
 # -- roster -------------------------------------------------------------------
 
 #: Models that read single cells of a sample, never its sequence.

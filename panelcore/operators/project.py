@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from panelcore.functions.scalars import (
     target_level,
     year_position,
 )
+from panelcore.operators.recursion import linear_form, projected_paths, windows_past
 from panelcore.operators.whatif import PanelScorer, plausible_range
 from panelcore.params import (
     Calendar,
@@ -83,89 +82,113 @@ def project_recursive(panel: DataFrame, variables: list[str], model, t: TargetPa
                       calendar: Calendar, clamp: ClampParams, p: ProjectionParams) -> DataFrame:
     """Direct steps, then up to ``max_recursive_steps`` fed by the model's own output.
 
-    The loop length is a parameter. Each step writes the prediction for one more
-    unobserved period back as a count, held inside the entity's observed range, and
-    rescores through the model's own feature builder. Only the look-back tail of the
-    panel takes part, and the predictions of every step end in a checkpoint, so neither
-    the data nor the plan grows with the history.
+    Predictions are written back as counts, held inside the entity's observed range.
+    Models that are linear in the target's past walk forward inside one row per entity;
+    all others are rescored step by step. Either way an entity reads the look-back window
+    before its own last observation, however long others have gone on.
     """
-    h = model.horizon
-    ends = last_observed(panel, t.target).select("entity", "last_observed")
-    bounds = cut_lineage(plausible_range(panel, t.target, clamp))
-    earliest = ends.agg(F.min("last_observed")).first()[0]
-    if earliest is None:
-        raise ValueError("no entity has an observed target to project from")
-    tail_start = shift_period(F.lit(earliest), -(model.look_back + h), calendar)
-    tail = panel.where(F.col("period") >= tail_start)
-
-    # Covariates past the last observation are normals; the target stays open there.
-    typical = [v for v in variables if v != t.target]
-    reach = h + p.max_recursive_steps
-    rows = extend_panel(tail, variables, reach, calendar, history=panel)
-    after = F.col("period") > F.col("last_observed")
-    fill = normals(panel, typical, calendar).select(
-        "entity", "position", *[F.col(v).alias(f"_n_{v}") for v in typical]
-    )
-    working = (
-        rows.join(ends, "entity")
-        .withColumn("position", year_position(F.col("period"), calendar))
-        .join(fill, ["entity", "position"], "left")
-        .select(
-            "entity", "period",
-            F.when(~after, F.col(t.target)).alias(t.target),
-            *[F.when(after, F.coalesce(F.col(v), F.col(f"_n_{v}"))).otherwise(F.col(v)).alias(v)
-              for v in typical],
-        )
+    bounds = plausible_range(panel, t.target, clamp)
+    reach = model.horizon + p.max_recursive_steps
+    form = None
+    if hasattr(model, "fitted"):
+        form = linear_form(model.fitted.inner, model.spec, t.target)
+    if form is None:
+        return _curve(_rescored(panel, variables, model, t, calendar, bounds, p), p)
+    paths = projected_paths(panel, variables, model, form, t, calendar, bounds, reach)
+    steps = paths.select("entity", "last_observed", F.posexplode("path").alias("_i", "_p")).where(
+        "_p is not null")
+    ahead = F.col("_i") + 1
+    rate = lambda shift: inverse_target(F.col("_p") + F.lit(shift), t.transform)
+    width = model.fitted.width
+    return _curve(steps.select(
+        "entity", shift_period(F.col("last_observed"), ahead, calendar).alias("target_date"),
+        ahead.alias("steps_ahead"), F.greatest(ahead - model.horizon, F.lit(0)).alias("depth"),
+        rate(0.0).alias("predicted_rate"), rate(width).alias("upper_rate"),
+        rate(-width).alias("lower_rate"),
+    ), p)
+
+
+def _curve(steps: DataFrame, p: ProjectionParams) -> DataFrame:
+    """Mode, widened interval and reliability of steps ``depth`` rounds past the direct ones.
+
+    The half-width grows with the square root of the rounds, a random-walk rule.
+    """
+    half = (F.col("upper_rate") - F.col("predicted_rate")) * F.sqrt(F.col("depth") + F.lit(1.0))
+    fresh = F.col("depth") == 0
+    cap = float(p.max_recursive_steps + 1)
+    return steps.select(
+        "entity", "target_date", "steps_ahead", "predicted_rate",
+        F.when(fresh, F.col("lower_rate"))
+        .otherwise(F.greatest(F.col("predicted_rate") - half, F.lit(0.0))).alias("lower_rate"),
+        F.when(fresh, F.col("upper_rate")).otherwise(F.col("predicted_rate") + half).alias(
+            "upper_rate"),
+        F.when(fresh, "direct").otherwise("recursive").alias("mode"),
+        F.greatest(F.lit(0.0), F.lit(1.0) - F.col("depth") / F.lit(cap)).alias("reliability"),
     )
-    working = cut_lineage(working)
 
-    def scored(df: DataFrame, last_step: int, first_step: int) -> DataFrame:
-        """Predictions whose target lies ``first_step..last_step`` past the end."""
+
+def _rescored(panel: DataFrame, variables: list[str], model, t: TargetParams, calendar: Calendar,
+              bounds: DataFrame, p: ProjectionParams) -> DataFrame:
+    """The steps of a model that is not linear, rescored once per step.
+
+    Each step writes the predictions of one more period back and goes through the model's
+    own feature builder. Only the predictions of a step are written; the panel is always
+    the same base plus what is known, so no plan is longer than the first one.
+    """
+    h = model.horizon
+    back, reach = model.look_back + h, h + p.max_recursive_steps
+    if getattr(model, "edges", None) is not None:
+        # Entities read their neighbours' rows, so windows must overlap in time.
+        spread = last_observed(panel, t.target).agg(periods_between(
+            F.min("last_observed"), F.max("last_observed"), calendar)).first()[0] or 0
+        back, reach = back + spread, reach + spread
+    working = cut_lineage(windows_past(panel, variables, t, calendar, back, reach))
+    ends = working.select("entity", "last_observed").distinct()
+    bounds = cut_lineage(bounds)
+
+    def scored(df: DataFrame, first: int, last: int) -> DataFrame:
+        """Predictions whose target lies ``first`` to ``last`` steps past the end."""
         ahead = periods_between(F.col("last_observed"), F.col("target_date"), calendar)
-        return (
-            model.predict(df).join(ends, "entity")
-            .withColumn("steps_ahead", ahead)
-            .where(F.col("steps_ahead").between(first_step, last_step))
-            .select("entity", "target_date", "steps_ahead", "predicted_rate", "upper_rate",
-                    "lower_rate")
-        )
+        rows = model.predict(df).join(ends, "entity").withColumn("steps_ahead", ahead)
+        return cut_lineage(rows.where(F.col("steps_ahead").between(first, last)).select(
+            "entity", "target_date", "steps_ahead",
+            F.greatest(ahead - h, F.lit(0)).alias("depth"),
+            "predicted_rate", "upper_rate", "lower_rate"))
 
-    def fed_back(predictions: DataFrame, depth: int) -> DataFrame:
-        """The base panel with predictions of the first ``depth`` open periods as counts."""
-        fed = predictions.where(F.col("steps_ahead") <= depth).select(
-            "entity", F.col("target_date").alias("period"), F.col("predicted_rate").alias("_r")
-        )
+    known = scored(working.select("entity", "period", *variables), 1, h)
+    for depth in range(1, p.max_recursive_steps + 1):
+        fed = known.where(F.col("steps_ahead") <= depth).select(
+            "entity", F.col("target_date").alias("period"), F.col("predicted_rate").alias("_r"))
         count = F.col("_r") * F.col(t.exposure) / F.lit(t.per)
         held = F.when(count.isNotNull(),
                       F.least(F.greatest(count, F.col("low")), F.col("high")))
-        return (
+        filled = (
             working.join(fed, ["entity", "period"], "left").join(bounds, "entity", "left")
             .withColumn(t.target, F.coalesce(F.col(t.target), held))
             .select("entity", "period", *variables)
         )
+        known = known.unionByName(scored(filled, h + depth, h + depth))
+    return known
 
-    # Only the predictions of a step are materialised; the panel is always the same
-    # base plus what is known, so no plan is longer than the first one.
-    known = cut_lineage(scored(working, h, 1))
-    curve = [known.withColumns({"mode": F.lit("direct"), "depth": F.lit(0)})]
-    for depth in range(1, p.max_recursive_steps + 1):
-        step = cut_lineage(scored(fed_back(known, depth), h + depth, h + depth))
-        curve.append(step.withColumns({"mode": F.lit("recursive"), "depth": F.lit(depth)}))
-        known = known.unionByName(step)
 
-    allsteps = reduce(DataFrame.unionByName, curve)
-    half = (F.col("upper_rate") - F.col("predicted_rate")) * F.sqrt(F.col("depth") + F.lit(1.0))
-    fresh = F.col("depth") == 0
-    cap = float(p.max_recursive_steps + 1)
-    return allsteps.select(
-        "entity", "target_date", "steps_ahead", "predicted_rate",
-        F.when(fresh, F.col("lower_rate"))
-        .otherwise(F.greatest(F.col("predicted_rate") - half, F.lit(0.0))).alias("lower_rate"),
-        F.when(fresh, F.col("upper_rate")).otherwise(F.col("predicted_rate") + half).alias(
-            "upper_rate"),
-        "mode",
-        F.greatest(F.lit(0.0), F.lit(1.0) - F.col("depth") / F.lit(cap)).alias("reliability"),
-    )
+def project_to(panel: DataFrame, requests: DataFrame, variables: list[str], model, t: TargetParams,
+               calendar: Calendar, clamp: ClampParams, p: ProjectionParams) -> DataFrame:
+    """Every step from the first forecastable period to an asked one (``entity, asked``).
+
+    Steps past ``max_recursive_steps`` are cut off and the answer is ``truncated``;
+    ``direct_until`` is where the model still read observed rows only. A period that is
+    already observed has no step to give.
+    """
+    curve = project_recursive(panel, variables, model, t, calendar, clamp, p)
+    ends = last_observed(panel, t.target).select("entity", "last_observed")
+    asked = requests.select("entity", F.trunc("asked", calendar.unit).alias("asked")).distinct()
+    direct = shift_period(F.col("last_observed"), model.horizon, calendar)
+    cap = shift_period(F.col("last_observed"), model.horizon + p.max_recursive_steps, calendar)
+    wanted = asked.join(ends, "entity").select(
+        "entity", "asked", "last_observed", direct.alias("direct_until"),
+        (F.col("asked") > cap).alias("truncated"))
+    # A request meets the few steps of its entity's curve.
+    return wanted.join(curve, "entity").where(F.col("target_date") <= F.col("asked"))
 
 
 def classify_targets(panel: DataFrame, requests: DataFrame, t: TargetParams, calendar: Calendar,

@@ -92,15 +92,22 @@ def watchlist(forecasts: DataFrame, thresholds: DataFrame, top_tier: str, period
     )
 
 
-def risk_breaks(shown: DataFrame, value: str = "upper_rate") -> list[float]:
-    """Four band edges from the values shown; fixed edges when there are none."""
-    rows = pooled_quantiles(shown, [], value, BAND_LEVELS).orderBy("level").collect()
-    return [r["quantile"] for r in rows] or list(DEFAULT_BREAKS)
+def with_bands(shown: DataFrame, value: str = "upper_rate") -> DataFrame:
+    """``band``: how many of the four edges each shown value reaches.
+
+    The edges are quantiles of the values shown, one row that joins back; nothing comes
+    to the driver. Without any value the fixed edges hold.
+    """
+    edges = pooled_quantiles(shown, [], value, BAND_LEVELS).agg(
+        F.sort_array(F.collect_list("quantile")).alias("_edges"))
+    fixed = F.array(*map(F.lit, DEFAULT_BREAKS))
+    usable = F.when(F.size("_edges") > 0, F.col("_edges")).otherwise(fixed)
+    rows = one_group(edges.select(usable.alias("_edges")), shown)
+    return rows.withColumn("band", band_of(F.col(value), F.col("_edges"))).drop("_edges")
 
 
-def band_of(value: Column, breaks: list[float]) -> Column:
+def band_of(value: Column, edges: Column) -> Column:
     """Index of the band a value falls in."""
-    edges = F.array(*[F.lit(float(b)) for b in breaks])
     return F.size(F.filter(edges, lambda b: value >= b))
 
 

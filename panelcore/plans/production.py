@@ -16,7 +16,8 @@ from pyspark.sql.types import StructType
 from pyspark.storagelevel import StorageLevel
 
 from panelcore.checks import require_same_columns
-from panelcore.operators import evaluate, folds, intervals, models, risk, serving
+from panelcore.functions.scalars import inverse_target, shift_period
+from panelcore.operators import attribution, evaluate, folds, intervals, models, risk, serving
 from panelcore.operators.features import (
     FeatureSpec,
     build_samples,
@@ -33,6 +34,8 @@ from panelcore.params import (
     SeasonalParams,
     TargetParams,
 )
+from panelcore.operators.residuals import ResidualStore
+from panelcore.session import cut_lineage
 from panelcore.sources import runs
 
 
@@ -163,13 +166,18 @@ def evaluate_selection(panel: DataFrame, base: FeatureParams, chosen: list[str],
 
 
 class PanelModel:
-    """A fitted model together with the feature parameters it was fitted with."""
+    """A fitted model together with the feature parameters it was fitted with.
+
+    ``residuals`` are those of the calibration tail; from them intervals at any level and
+    predictive quantiles are looked up without fitting anything again.
+    """
 
     def __init__(self, fitted: intervals.ConformalModel, spec: FeatureSpec, p: FeatureParams,
                  setting: Setting, edges: DataFrame | None = None,
-                 entities: list[str] | None = None) -> None:
+                 entities: list[str] | None = None,
+                 residuals: DataFrame | ResidualStore | None = None) -> None:
         self.fitted, self.spec, self.p, self.setting = fitted, spec, p, setting
-        self.edges, self.entities = edges, entities
+        self.edges, self.entities, self._residuals = edges, entities, residuals
 
     @property
     def horizon(self) -> int:
@@ -179,20 +187,65 @@ class PanelModel:
     def look_back(self) -> int:
         return look_back(self.p, self.horizon, self.setting.calendar.per_year)
 
+    @property
+    def store(self) -> ResidualStore:
+        """The ranked residuals, ordered when they are first asked for."""
+        if self._residuals is None:
+            raise ParamError("the model carries no calibration residuals")
+        if not isinstance(self._residuals, ResidualStore):
+            self._residuals = ResidualStore.of(self._residuals)
+        return self._residuals
+
     def columns_from(self, raw_variable: str) -> list[str]:
         return self.spec.named(raw_variable=raw_variable)
 
-    def predict(self, panel: DataFrame) -> DataFrame:
-        """Forecasts for every origin whose window is complete; no target is needed."""
+    def samples(self, panel: DataFrame) -> DataFrame:
+        """Every complete window of a panel, from the columns the model was fitted on."""
         s = self.setting
         samples, spec = build_samples(panel, self.p, s.target, s.calendar, self.horizon,
                                       self.edges, self.entities, require_target=False)
         require_same_columns(self.spec.columns, spec.columns, self.spec.timesteps,
                              spec.timesteps)
+        return samples.drop("y")
+
+    def predict(self, panel: DataFrame, alpha: float | None = None) -> DataFrame:
+        """Forecasts for every origin whose window is complete; no target is needed.
+
+        ``alpha`` asks for intervals at another level than the one calibrated.
+        """
+        s = self.setting
+        fitted = self.fitted
+        if alpha is not None:
+            fitted = intervals.ConformalModel(fitted.inner, self.store.width(alpha))
         return evaluate.prediction_rows(
-            self.fitted.transform(samples.drop("y")), self.horizon, s.calendar, s.target.transform
+            fitted.transform(self.samples(panel)), self.horizon, s.calendar, s.target.transform
         )
 
+    def predict_quantiles(self, panel: DataFrame, levels: list[float] | None = None) -> DataFrame:
+        """``entity, origin_date, target_date, level, quantile_log, quantile_rate``: the
+        point plus each residual quantile (19 levels by default)."""
+        s = self.setting
+        levels = list(levels or intervals.QUANTILE_LEVELS)
+        table = F.array(*[F.struct(F.lit(q).alias("level"), F.lit(float(r)).alias("shift"))
+                          for q, r in zip(levels, self.store.quantiles(levels))])
+        rows = self.fitted.inner.transform(self.samples(panel)).select(
+            "entity", F.col("period").alias("origin_date"),
+            shift_period(F.col("period"), self.horizon, s.calendar).alias("target_date"),
+            "prediction", F.explode(table).alias("_q"))
+        log = F.col("prediction") + F.col("_q.shift")
+        return rows.select("entity", "origin_date", "target_date", F.col("_q.level").alias("level"),
+                           log.alias("quantile_log"),
+                           inverse_target(log, s.target.transform).alias("quantile_rate"))
+
+    def drivers(self, panel: DataFrame, k: int = 3) -> DataFrame:
+        """``entity, origin_date, drivers``: the columns that move each forecast most, for
+        models that are linear in their columns; those without effect are left out."""
+        coefficients = attribution.flat_coefficients(self.fitted.inner, self.spec)
+        samples = self.samples(panel)
+        values = attribution.explain_linear(samples, self.spec, coefficients, samples)
+        provenance = self.spec.provenance(panel.sparkSession)
+        return attribution.top_drivers(values.where("value <> 0"), provenance, k)
+
 
 def train_production(panel: DataFrame, p: FeatureParams, horizon: int, setting: Setting,
                      model: str, calibration_periods: int = 12, edges: DataFrame | None = None,
@@ -208,33 +261,34 @@ def train_production(panel: DataFrame, p: FeatureParams, horizon: int, setting:
         factory: Callable = models.model_factories(
             spec, setting.calendar.per_year, setting.seasonal, setting.alphas, setting.n_trees
         )[model]
-        fitted = intervals.conformalise(factory().fit(fit, tail), tail, setting.conformal)
+        inner = factory().fit(fit, tail)
+        fitted = intervals.conformalise(inner, tail, setting.conformal)
+        residuals = intervals.calibration_residuals(inner.transform(tail), [])
     finally:
         samples.unpersist()
-    return PanelModel(fitted, spec, p, setting, edges, entities)
+    return PanelModel(fitted, spec, p, setting, edges, entities, residuals)
 
 
 def save_production(model: PanelModel, path: str) -> None:
-    """The ML pipeline through its writer, and one JSON row with every parameter."""
-    inner = model.fitted.inner
-    if not isinstance(inner, models.PipelineForecast):
-        raise ParamError("only pipeline models are stored; column selectors need no artefact")
-    inner.save(f"{path}/pipeline")
+    """The fitted model, its ranked residuals, and one JSON row with every parameter."""
     s = model.setting
+    spark = SparkSession.active()
     meta = {
         "features": dataclasses.asdict(model.p), "columns": model.spec.schema.jsonValue(),
         "timesteps": model.spec.timesteps, "horizon": model.spec.horizon,
         "width": model.fitted.width, "entities": model.entities,
         "target": dataclasses.asdict(s.target), "calendar": dataclasses.asdict(s.calendar),
-        "conformal": dataclasses.asdict(s.conformal),
+        "conformal": dataclasses.asdict(s.conformal), "seasonal": dataclasses.asdict(s.seasonal),
+        "model": models.save_fitted(model.fitted.inner, f"{path}/model"),
+        "n_residuals": model.store.n,
     }
-    spark = SparkSession.active()
+    model.store.save(f"{path}/residuals")
+    if model.edges is not None:
+        model.edges.write.mode("overwrite").parquet(f"{path}/edges")
     row = [(json.dumps(meta, default=str),)]
     spark.createDataFrame(row, "meta string").coalesce(1).write.mode("overwrite").text(
-        f"{path}/meta"
+        f"{path}/meta"  # last, so that what it names is complete
     )
-    if model.edges is not None:
-        model.edges.write.mode("overwrite").parquet(f"{path}/edges")
 
 
 def load_production(spark: SparkSession, path: str) -> PanelModel:
@@ -245,20 +299,32 @@ def load_production(spark: SparkSession, path: str) -> PanelModel:
     calendar = Calendar(date.fromisoformat(cal["start"]), date.fromisoformat(cal["end"]),
                         cal["granularity"])
     setting = Setting(TargetParams(**meta["target"]), calendar,
-                      conformal=ConformalParams(**meta["conformal"]))
-    inner = models.PipelineForecast.load(f"{path}/pipeline")
+                      conformal=ConformalParams(**meta["conformal"]),
+                      seasonal=SeasonalParams(**meta["seasonal"]))
+    spec = FeatureSpec(StructType.fromJson(meta["columns"]), meta["timesteps"], meta["horizon"])
+    inner = models.load_fitted(spark, meta["model"], f"{path}/model", spec, calendar.per_year,
+                               setting.seasonal)
     edges = spark.read.parquet(f"{path}/edges") if p.include_spatial else None
-    return PanelModel(intervals.ConformalModel(inner, meta["width"]),
-                      FeatureSpec(StructType.fromJson(meta["columns"]), meta["timesteps"],
-                                  meta["horizon"]), p, setting, edges, meta["entities"])
+    store = ResidualStore.load(spark, f"{path}/residuals", meta["n_residuals"])
+    return PanelModel(intervals.ConformalModel(inner, meta["width"]), spec, p, setting, edges,
+                      meta["entities"], store)
 
 
-def serving_tables(panel: DataFrame, model: PanelModel, p: RiskParams) -> dict[str, DataFrame]:
-    """History, thresholds, forecasts and recommendations for the readers."""
+#: Tables whose readers ask for one entity.
+BY_ENTITY = ("history", "thresholds", "forecasts", "recommendations")
+
+
+def serving_tables(panel: DataFrame, model: PanelModel, p: RiskParams,
+                   with_drivers: bool = True) -> dict[str, DataFrame]:
+    """History, thresholds, forecasts and recommendations for the readers.
+
+    The panel is scored once; recommendations start from the forecasts as written.
+    """
     t = model.setting.target
-    forecasts = model.predict(panel)
+    forecasts = cut_lineage(model.predict(panel))
     bounds = risk.thresholds(with_level(panel, t), p, t.transform)
-    advice = risk.recommend(forecasts, bounds, p, t.transform, model.setting.conformal.alpha)
+    drivers = model.drivers(panel) if with_drivers else None
+    advice = risk.recommend(forecasts, bounds, p, t.transform, model.setting.conformal.alpha, drivers)
     return {
         "history": serving.observed_history(panel, t),
         "thresholds": bounds,
@@ -268,8 +334,9 @@ def serving_tables(panel: DataFrame, model: PanelModel, p: RiskParams) -> dict[s
 
 
 def build_serving(panel: DataFrame, model: PanelModel, p: RiskParams, root: str, run: str,
-                  overwrite: bool = False) -> None:
-    """Compute and store every serving table under one run."""
-    tables = serving_tables(panel, model, p)
+                  overwrite: bool = False, buckets: int = 8) -> None:
+    """Compute and store every serving table under one run, bucketed by entity."""
+    linear = attribution.is_linear(model.fitted.inner)
+    tables = serving_tables(panel, model, p, with_drivers=linear)
     meta = {"horizon": model.horizon, "width": model.fitted.width}
-    runs.save_run(root, run, tables, meta, overwrite)
+    runs.save_run(root, run, tables, meta, overwrite, {t: buckets for t in BY_ENTITY})

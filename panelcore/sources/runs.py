@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST = "_manifest"
+MANIFEST_FIELDS = "run string, tables array<string>, meta string, buckets map<string,int>"
 
 
 def _path(root: str, table: str) -> str:
@@ -23,26 +24,39 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def _bucket(entity: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(entity), F.lit(buckets)).cast("int")
+
+
 def save_run(root: str, run: str, tables: dict[str, DataFrame], meta: dict | None = None,
-             overwrite: bool = False) -> None:
+             overwrite: bool = False, buckets: dict[str, int] | None = None) -> None:
     """Write each table under ``run=<run>``; the run counts once its manifest row is there.
 
-    Only this run's partition is replaced; other runs are never touched.
+    Only this run's partition is replaced; other runs are never touched. Tables named in
+    ``buckets`` are split by a hash of the entity and sorted by it, so that a reader of
+    one entity opens one bucket and skips to its rows.
     """
+    buckets = buckets or {}
     spark = next(iter(tables.values())).sparkSession
     if not overwrite and run in {r["run"] for r in list_runs(spark, root).collect()}:
         raise FileExistsError(f"run {run!r} exists; ask for overwrite to replace it")
     for name, df in tables.items():
+        df, keys = df.withColumn("run", F.lit(run)), ["run"]
+        if name in buckets:
+            df = df.withColumn("bucket", _bucket(F.col("entity"), buckets[name]))
+            # One file per bucket; a hot entity's rows are its bucket's.
+            df = df.repartition(buckets[name], "bucket").sortWithinPartitions("bucket", "entity")
+            keys.append("bucket")
         (
-            df.withColumn("run", F.lit(run))
-            .write.mode("overwrite")
+            df.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("run")
+            .partitionBy(*keys)
             .parquet(_path(root, name))
         )
-    row = [(run, sorted(tables), json.dumps(meta or {}, sort_keys=True, default=str))]
+    row = [(run, sorted(tables), json.dumps(meta or {}, sort_keys=True, default=str),
+            {t: n for t, n in buckets.items() if t in tables})]
     (
-        spark.createDataFrame(row, "run string, tables array<string>, meta string")
+        spark.createDataFrame(row, MANIFEST_FIELDS)
         .coalesce(1)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -51,26 +65,29 @@ def save_run(root: str, run: str, tables: dict[str, DataFrame], meta: dict | Non
     )
 
 
-def load_run(spark: SparkSession, root: str, run: str, table: str) -> DataFrame:
-    """One table of one complete run; the run filter prunes directories."""
+def load_run(spark: SparkSession, root: str, run: str, table: str,
+             entity: str | None = None) -> DataFrame:
+    """One table of one complete run; the run filter prunes directories.
+
+    ``entity`` reads that entity's rows only, from the one bucket that can hold them.
+    """
     known = list_runs(spark, root).where(F.col("run") == run).collect()
     if not known:
         raise FileNotFoundError(f"no complete run {run!r} under {root}")
     if table not in known[0]["tables"]:
         raise FileNotFoundError(f"run {run!r} has no table {table!r}")
-    return spark.read.parquet(_path(root, table)).where(F.col("run") == run).drop("run")
-
-
-def run_meta(spark: SparkSession, root: str, run: str) -> dict:
-    row = list_runs(spark, root).where(F.col("run") == run).first()
-    if row is None:
-        raise FileNotFoundError(f"no complete run {run!r} under {root}")
-    return json.loads(row["meta"])
+    rows = spark.read.parquet(_path(root, table)).where(F.col("run") == run)
+    n = known[0]["buckets"].get(table)
+    if entity is not None:
+        if n:
+            rows = rows.where(F.col("bucket") == _bucket(F.lit(entity), n))
+        rows = rows.where(F.col("entity") == entity)
+    return rows.drop("run", "bucket") if n else rows.drop("run")
 
 
 def list_runs(spark: SparkSession, root: str) -> DataFrame:
     """Complete runs only: an interrupted run has no manifest row."""
     found = _read(spark, _path(root, MANIFEST))
     if found is None:
-        return spark.createDataFrame([], "run string, tables array<string>, meta string")
-    return found.select(F.col("run").cast("string"), "tables", "meta").orderBy("run")
+        return spark.createDataFrame([], f"{MANIFEST_FIELDS}")
+    return found.select(F.col("run").cast("string"), "tables", "meta", "buckets").orderBy("run")

@@ -6,7 +6,15 @@ from pyspark.sql import functions as F
 from panelcore.checks import ContractError
 from panelcore.functions.quantiles import pooled_quantiles
 from panelcore.functions.ranks import global_row_number
-from panelcore.operators import attribution, evaluate, features, folds, intervals, models
+from panelcore.operators import (
+    attribution,
+    evaluate,
+    features,
+    folds,
+    intervals,
+    models,
+    statistics,
+)
 from panelcore.params import (
     ConformalParams,
     FeatureParams,
@@ -79,8 +87,63 @@ def test_ridge_matches_the_closed_form_and_its_leave_one_out(built):
     e = ((yc - zc @ b) / (1 - hat(a)))[::7]
     assert np.sum(e**2) == pytest.approx(loo(a), rel=1e-6)
     coef = np.linalg.solve(gram + alpha * np.eye(len(gram)), zc.T @ yc)
-    got = fitted.stages.stages[1].coefficients.toArray()
-    assert got == pytest.approx(coef, abs=1e-8)
+    scale = np.tile(np.where(sd > 0, sd, 1.0), 3)
+    assert fitted.coefficients * scale == pytest.approx(coef, abs=1e-8)
+    assert fitted.transform(samples).agg(F.avg("prediction")).first()[0] == pytest.approx(y.mean())
+
+
+def test_ridge_solves_all_folds_as_if_each_stood_alone(built, monkeypatch):
+    """One pass of segment moments against a fit per fold, on features far from zero."""
+    samples, spec = built
+    far = samples.withColumn("seq", F.transform("seq", lambda r: F.transform(r, lambda x: x + 1e6)))
+    cuts = folds.rolling_origin(samples, FOLDS, 1)
+    assigned = folds.assign_folds(far, cuts)
+    passes = []
+    whole = models.segment_moments
+    monkeypatch.setattr(models, "segment_moments", lambda rows: passes.append(1) or whole(rows))
+    together = models.Ridge(spec).score(assigned, [0, 1], None)
+    assert len(passes) == 1
+    got = {(r.fold, r.entity, r.period): r.prediction for r in together.collect()}
+    for k in (0, 1):
+        rows = assigned.where(F.col("fold") == k)
+        alone = models.Ridge(spec).fit(rows.where("role = 'fit'"))
+        for r in alone.transform(rows.where("role <> 'fit'")).collect():
+            assert got.pop((k, r.entity, r.period)) == pytest.approx(r.prediction, rel=1e-6, abs=1e-6)
+    assert not got
+
+
+def test_moments_merge_exactly_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(statistics, "BLOCK", 2)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 5)) + [1e8, -1e8, 0, 1e4, 1]
+    rows = [(int(i % 3), v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "segment int, v array<double>").repartition(7)
+    found = statistics.fold_moments(statistics.segment_moments(df), [0, 1, 2])
+    for k in range(3):
+        part = x[np.arange(300) % 3 <= k]
+        assert found[k].n == len(part) and found[k].mean == pytest.approx(part.mean(axis=0))
+        want = (part - part.mean(axis=0)).T @ (part - part.mean(axis=0))
+        assert found[k].products == pytest.approx(want, rel=1e-6, abs=1e-4)
+    assert statistics.segment_moments(df.where("segment > 9")) == {}
+
+
+def test_covered_moments_equal_those_of_the_exploded_windows(spark):
+    panel = wave_panel(spark, ("a", "b"), 60)
+    gaps = panel.withColumn("rainfall", F.when(F.month("period") != 7, F.col("rainfall")))
+    p = FeatureParams(level_variables=("rainfall", "temperature"), include_lags=False, lags=(12,),
+                      sequence_length=3, entity_identity=False)
+    wide, spec = features.design(gaps, p, TARGET, calendar(60), 1)
+    samples = features.window_sequences(wide, spec)
+    for upto in (None, months(60)[40]):
+        rows = samples if upto is None else samples.where(F.col("period") < F.lit(upto))
+        x, _ = _matrix(rows, spec)
+        flat = x.reshape(-1, x.shape[2])
+        got = {r["column"]: r for r in models.covered_moments(
+            wide, spec, None if upto is None else F.lit(upto)).collect()}
+        sd = flat.std(axis=0)
+        for i, c in enumerate(spec.columns):
+            assert got[c]["mean"] == pytest.approx(flat[:, i].mean())
+            assert got[c]["scale"] == pytest.approx(sd[i] if np.ptp(flat[:, i]) else 1.0)
 
 
 def test_ordering_on_a_seasonal_series(built):
