@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelcore.catalog.base import MONTHS, TARGET, monthly, nation_names, pick, query, staged_panel
+from panelcore.functions.ranks import one_group
 from panelcore.operators import attribution
 from panelcore.operators.features import build_samples
-from panelcore.operators.models import FittedModel, Ridge
+from panelcore.operators.models import BoostedTrees, FittedModel, Ridge
+from panelcore.operators.tree_attribution import explain_trees, stored_leaves
 from panelcore.params import FeatureParams
-from panelcore.session import cut_lineage
+from panelcore.session import cut_lineage, scratch_path
 
 SMALL = FeatureParams(level_variables=("avg_price", "max_price"), include_lags=False, lags=(12,),
                       entity_identity=False, sequence_length=2)
@@ -128,6 +130,25 @@ def ridge_attribution(spark, d):
     return attribution.global_importance(rows)
 
 
+@query("tree_attribution", monthly(SAMPLES + f"""
+SELECT entity, period, CAST({len(COLUMNS)} AS BIGINT) AS n_columns, 0.0::DOUBLE AS gap FROM samples"""))
+def tree_attribution(spark, d):
+    """Exact values of stored boosted trees; ``gap`` is what a row's values lack to the
+    distance of its forecast from the mean forecast."""
+    samples, spec = _samples(spark, d)
+    path = scratch_path(spark, "trees")
+    fitted = BoostedTrees(spec).fit(samples)
+    fitted.save(path)
+    values = explain_trees(samples, spec, stored_leaves(spark, path, spec), samples)
+    total = values.groupBy("entity", "period").agg(
+        F.count("column").alias("n_columns"), F.sum("value").alias("_sum"))
+    scored = fitted.transform(samples).select("entity", "period", "prediction")
+    mean = scored.agg(F.avg("prediction").alias("_mean"))
+    gap = F.round(F.col("_sum") - (F.col("prediction") - F.col("_mean")), 6)
+    return one_group(mean, scored).join(total, ["entity", "period"]).select(
+        "entity", "period", "n_columns", F.abs(gap).alias("gap"))
+
+
 IMPORTANCE = VALUES + """,
 importance AS (SELECT "column", raw_variable, label, avg(abs(value)) AS importance
                FROM vals GROUP BY 1, 2, 3)"""

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 from panelcore.catalog.base import MONTHS, TARGET, staged_panel
-from panelcore.params import FeatureParams
-from panelcore.plans.production import PanelModel, Setting, train_production
+from panelcore.params import FeatureParams, RiskParams
+from panelcore.plans.production import PanelModel, Setting, build_serving, train_production
+from panelcore.session import scratch_path
+from panelcore.sources import runs
 
 NAIVE = FeatureParams(include_lags=False, lags=(12,), cyclic=False, entity_identity=False,
                       sequence_length=1)
@@ -21,6 +25,23 @@ def naive_forecasts(spark, d):
     return naive_model(spark, d, panel).predict(panel)
 
 
+#: Where the serving tables of this session lie, by application and table folder.
+_BUILT: dict[tuple[str, str], str] = {}
+RISK = RiskParams()
+
+
+def served(spark, d, table: str, entity: str | None = None) -> DataFrame:
+    """A stored serving table. The first reader of a session builds and stores the run;
+    later ones only read it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BUILT:
+        root = scratch_path(spark, "serving")
+        panel = staged_panel(spark, d)
+        build_serving(panel, naive_model(spark, d, panel), RISK, root, "dashboard")
+        _BUILT[key] = root
+    return runs.load_run(spark, _BUILT[key], "dashboard", table, entity)
+
+
 #: ``origins``: complete windows; ``width``: one row; ``forecasts``: the scored panel.
 MODEL = """,
 lagged AS (

@@ -6,13 +6,11 @@ import dataclasses
 
 from pyspark.sql import functions as F
 
-from panelcore.catalog.base import TARGET, monthly, nation_levels, pick, query
-from panelcore.catalog.forecasts import FORECASTS, naive_forecasts
+from panelcore.catalog.base import TARGET, monthly, nation_levels, pick, query, staged_panel
+from panelcore.catalog.forecasts import FORECASTS, RISK, naive_forecasts, naive_model
 from panelcore.functions.scalars import inverse_target
 from panelcore.operators import risk
-from panelcore.params import RiskParams
 
-RISK = RiskParams()
 POINT = dataclasses.replace(RISK, alert_on="point")
 
 BOUNDS = """,
@@ -86,17 +84,30 @@ def advice(spark, d, p=RISK):
 EVIDENCE = pick(
     "entity origin_date target_date ~predicted_rate ~lower_rate ~upper_rate tier #tier_index "
     "~trigger_log ~trigger_rate trigger_basis ~threshold_rate threshold_label #n_observations "
-    "drivers actions", "FROM (SELECT *, '' AS drivers, '{basis}' AS trigger_basis FROM advice)")
+    "drivers actions", "FROM (SELECT *, {drivers} AS drivers, '{basis}' AS trigger_basis FROM advice)")
+# The persistence forecast moves with one column, unless its level is the mean level.
+DRIVERS = """CASE WHEN predicted_log <> (SELECT avg(l0) FROM origins) THEN 'case rate (current)' ELSE '' END"""
 
 
-@query("recommendations", monthly(ADVICE + " " + EVIDENCE.replace(
-    "{basis}", "80% interval upper bound")))
+def evidence_sql(basis: str, drivers: str = "''") -> str:
+    return EVIDENCE.replace("{basis}", basis).replace("{drivers}", drivers)
+
+
+def driven_advice(spark, d):
+    """Recommendations with the columns behind each forecast."""
+    panel = staged_panel(spark, d)
+    model = naive_model(spark, d, panel)
+    return risk.recommend(model.predict(panel), bounds(spark, d), RISK, TARGET.transform,
+                          drivers=model.drivers(panel))
+
+
+@query("recommendations", monthly(ADVICE + " " + evidence_sql("80% interval upper bound", DRIVERS)))
 def recommendations(spark, d):
-    return risk.evidence(advice(spark, d))
+    return risk.evidence(driven_advice(spark, d))
 
 
-@query("recommendations_on_point", monthly(advice_sql("predicted_log") + " " + EVIDENCE.replace(
-    "{basis}", "point forecast")))
+@query("recommendations_on_point", monthly(
+    advice_sql("predicted_log") + " " + evidence_sql("point forecast")))
 def recommendations_on_point(spark, d):
     return risk.evidence(advice(spark, d, POINT))
 
@@ -150,6 +161,14 @@ def rendered_sentences(spark, d):
     return risk.render_all(advice(spark, d)).select("entity", "origin_date", "sentence")
 
 
+@query("rendered_with_drivers", monthly(ADVICE + SENTENCE.replace(
+    "'. Actions: '", f"""'.' || CASE WHEN {DRIVERS} <> '' THEN ' Top drivers: ' || {DRIVERS} || '.'
+              ELSE '' END || ' Actions: '""") + """
+SELECT entity, origin_date, sentence FROM sentences"""))
+def rendered_with_drivers(spark, d):
+    return risk.render_all(driven_advice(spark, d)).select("entity", "origin_date", "sentence")
+
+
 @query("top_alerts", monthly(ADVICE + " " + pick(
     "entity origin_date tier ~trigger_log",
     "FROM advice WHERE tier_index > 0 ORDER BY trigger_log DESC, entity, origin_date LIMIT 10")))

@@ -10,14 +10,14 @@ from panelcore.catalog.base import TARGET, monthly, nation_panel, pick, query, s
 from panelcore.catalog.forecasts import (
     FORECAST_COLUMNS,
     FORECASTS,
-    naive_forecasts,
+    RISK,
     naive_model,
+    served,
 )
-from panelcore.catalog.risk import ADVICE, BOUNDS, RISK, advice, bounds
-from panelcore.operators import risk, serving
-from panelcore.plans.production import build_serving
+from panelcore.catalog.risk import ADVICE, BOUNDS, DRIVERS, evidence_sql
+from panelcore.operators import serving
+from panelcore.plans.production import load_production, save_production
 from panelcore.session import scratch_path
-from panelcore.sources import runs
 
 AS_OF = date(2000, 3, 1)
 UPTO = """,
@@ -30,13 +30,13 @@ upto AS (
 n AS (SELECT f.*, row_number() OVER (PARTITION BY entity ORDER BY origin_date DESC) AS r
       FROM forecasts f) """ + pick(FORECAST_COLUMNS, "FROM n WHERE r = 1")))
 def latest_forecast(spark, d):
-    return serving.latest(naive_forecasts(spark, d))
+    return serving.latest(served(spark, d, "forecasts"))
 
 
 @query("forecast_as_of", monthly(FORECASTS + UPTO + " " + pick(
     FORECAST_COLUMNS, "FROM upto WHERE r = 1")))
 def forecast_as_of(spark, d):
-    return serving.at_period(naive_forecasts(spark, d), AS_OF)
+    return serving.at_period(served(spark, d, "forecasts"), AS_OF)
 
 
 @query("forecast_as_of_fallback", monthly(FORECASTS + """,
@@ -44,13 +44,14 @@ n AS (SELECT f.*, row_number() OVER (PARTITION BY entity ORDER BY origin_date DE
       FROM forecasts f) """ + pick(FORECAST_COLUMNS, "FROM n WHERE r = 1")))
 def forecast_as_of_fallback(spark, d):
     """No entity has a forecast that early, so the latest ones are returned."""
-    return serving.at_period(naive_forecasts(spark, d), date(1990, 1, 1))
+    return serving.at_period(served(spark, d, "forecasts"), date(1990, 1, 1))
 
 
 @query("entity_forecasts", monthly(FORECASTS + " " + pick(
     FORECAST_COLUMNS, "FROM forecasts WHERE entity = 'NATION_3' ORDER BY origin_date")))
 def entity_forecasts(spark, d):
-    return serving.for_entity(naive_forecasts(spark, d), "NATION_3", "origin_date")
+    return serving.for_entity(served(spark, d, "forecasts", "NATION_3"), "NATION_3",
+                              "origin_date")
 
 
 @query("recommendation_as_of", monthly(ADVICE + " " + pick(
@@ -58,19 +59,19 @@ def entity_forecasts(spark, d):
     "FROM advice WHERE entity = 'NATION_3' AND target_date <= DATE '2000-03-01' "
     "ORDER BY target_date DESC LIMIT 1")))
 def recommendation_as_of(spark, d):
-    rows = risk.evidence(advice(spark, d))
+    rows = served(spark, d, "recommendations", "NATION_3")
     return serving.recommendation_for(rows, "NATION_3", AS_OF).select(
         "entity", "origin_date", "target_date", "tier", "trigger_log")
 
 
 @query("forecast_periods", monthly(FORECASTS + " SELECT DISTINCT target_date FROM forecasts"))
 def forecast_periods(spark, d):
-    return serving.target_periods(naive_forecasts(spark, d))
+    return serving.target_periods(served(spark, d, "forecasts"))
 
 
 @query("forecast_entities", monthly(FORECASTS + " SELECT DISTINCT entity FROM forecasts"))
 def forecast_entities(spark, d):
-    return serving.entities(naive_forecasts(spark, d))
+    return serving.entities(served(spark, d, "forecasts"))
 
 
 @query("watchlist", monthly(FORECASTS + BOUNDS + UPTO + """,
@@ -80,7 +81,8 @@ w AS (SELECT u.entity, upper_rate AS predicted, value_rate AS threshold,
       WHERE r = 1 AND upper_rate >= value_rate) """ + pick(
     "entity ~predicted ~threshold ~exceedance", "FROM w")))
 def watchlist(spark, d):
-    return serving.watchlist(naive_forecasts(spark, d), bounds(spark, d), "HIGH", AS_OF)
+    return serving.watchlist(served(spark, d, "forecasts"), served(spark, d, "thresholds"), "HIGH",
+                             AS_OF)
 
 
 @query("risk_bands", monthly(FORECASTS + UPTO + """,
@@ -89,10 +91,8 @@ b AS (SELECT entity, upper_rate, (upper_rate >= e[1])::INT + (upper_rate >= e[2]
              + (upper_rate >= e[3])::INT + (upper_rate >= e[4])::INT AS band
       FROM upto, q WHERE r = 1) """ + pick("entity ~upper_rate #band", "FROM b")))
 def risk_bands(spark, d):
-    shown = serving.at_period(naive_forecasts(spark, d), AS_OF)
-    breaks = serving.risk_breaks(shown)
-    return shown.select("entity", "upper_rate",
-                        serving.band_of(F.col("upper_rate"), breaks).alias("band"))
+    shown = serving.at_period(served(spark, d, "forecasts"), AS_OF)
+    return serving.with_bands(shown).select("entity", "upper_rate", "band")
 
 
 @query("tier_of_rate", monthly(FORECASTS + BOUNDS + UPTO + """,
@@ -103,8 +103,8 @@ t AS (SELECT u.entity, predicted_rate,
       FROM upto u JOIN q USING (entity) WHERE r = 1) """ + pick(
     "entity ~predicted_rate tier", "FROM t")))
 def tier_of_rate(spark, d):
-    rows = serving.at_period(naive_forecasts(spark, d), AS_OF)
-    return serving.tier_for(rows, bounds(spark, d), F.col("predicted_rate"), RISK).select(
+    rows = serving.at_period(served(spark, d, "forecasts"), AS_OF)
+    return serving.tier_for(rows, served(spark, d, "thresholds"), F.col("predicted_rate"), RISK).select(
         "entity", "predicted_rate", "tier")
 
 
@@ -141,14 +141,71 @@ UNION ALL SELECT 'history', count(*) FROM history
 UNION ALL SELECT 'recommendations', count(*) FROM advice
 UNION ALL SELECT 'thresholds', count(*) FROM bounds"""))
 def stored_serving_tables(spark, d):
-    root = scratch_path(spark, "serving")
-    panel = staged_panel(spark, d)
-    build_serving(panel, naive_model(spark, d, panel), RISK, root, "dashboard")
     counts = [
-        runs.load_run(spark, root, "dashboard", name).agg(
-            F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+        served(spark, d, name).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
         for name in ("forecasts", "history", "recommendations", "thresholds")]
     out = counts[0]
     for c in counts[1:]:
         out = out.unionByName(c)
     return out
+
+
+@query("stored_recommendations", monthly(ADVICE + " " + evidence_sql(
+    "80% interval upper bound", DRIVERS)))
+def stored_recommendations(spark, d):
+    """Every stored recommendation, drivers included."""
+    return served(spark, d, "recommendations")
+
+
+@query("stored_history", monthly(HISTORY + " " + pick("entity period ~actual", "FROM history")))
+def stored_history(spark, d):
+    return served(spark, d, "history")
+
+
+# The width at a level: the calibration sizes at rank (n - 1) * ceil((n + 1) * level) / n.
+def _width_sql(name: str, level: str) -> str:
+    return f""",
+{name} AS (
+  SELECT lo.a + (hi.a - lo.a) * (h - floor(h)) AS w
+  FROM (SELECT (n - 1) * least(ceil((n + 1) * {level}::DOUBLE) / n, 1.0::DOUBLE) AS h
+        FROM sized LIMIT 1)
+  JOIN sized lo ON lo.i = floor(h) JOIN sized hi ON hi.i = ceil(h))"""
+
+
+def _reloaded(spark, d):
+    panel = staged_panel(spark, d)
+    path = scratch_path(spark, "frozen")
+    save_production(naive_model(spark, d, panel), path)
+    return panel, load_production(spark, path)
+
+
+@query("reloaded_predictions", monthly(FORECASTS + _width_sql("w80", "0.8") + _width_sql("w90", "0.9")
+       + """,
+again AS (
+  SELECT entity, origin_date, target_date, alpha, predicted_log, predicted_log - w AS lower_log,
+         predicted_log + w AS upper_log, predicted_rate,
+         greatest(exp(predicted_log - w) - 1, 0) AS lower_rate,
+         greatest(exp(predicted_log + w) - 1, 0) AS upper_rate
+  FROM forecasts, (SELECT 0.2::DOUBLE AS alpha, w FROM w80 UNION ALL SELECT 0.1::DOUBLE, w FROM w90)) """
+       + pick("~alpha " + FORECAST_COLUMNS, "FROM again")))
+def reloaded_predictions(spark, d):
+    """A frozen model, stored and read again, scores the panel at two interval levels."""
+    panel, model = _reloaded(spark, d)
+    at = [model.predict(panel, a).withColumn("alpha", F.lit(a)) for a in (0.2, 0.1)]
+    return at[0].unionByName(at[1])
+
+
+@query("reloaded_quantiles", monthly(FORECASTS + """,
+q AS (SELECT level, quantile_cont(y - l0, level) AS shift
+      FROM origins JOIN tail_axis USING (period),
+           (VALUES (0.05::DOUBLE), (0.5::DOUBLE), (0.95::DOUBLE)) v(level)
+      WHERE r <= 12 AND y IS NOT NULL GROUP BY 1),
+spread AS (
+  SELECT entity, origin_date, target_date, level, predicted_log + shift AS quantile_log,
+         greatest(exp(predicted_log + shift) - 1, 0) AS quantile_rate
+  FROM forecasts, q) """.replace("quantile_cont(y - l0, level)", "CASE level "
+       + " ".join(f"WHEN {q} THEN quantile_cont(y - l0, {q})" for q in (0.05, 0.5, 0.95)) + " END")
+       + pick("entity origin_date target_date ~level ~quantile_log ~quantile_rate", "FROM spread")))
+def reloaded_quantiles(spark, d):
+    panel, model = _reloaded(spark, d)
+    return model.predict_quantiles(panel, [0.05, 0.5, 0.95])

@@ -123,8 +123,9 @@ def test_as_of_and_bands(spark):
     assert asof == {"a": date(2020, 2, 1), "b": date(2020, 2, 1)}
     assert {r["target_date"] for r in serving.at_period(both, date(2019, 1, 1)).collect()} == {
         date(2020, 6, 1), date(2020, 2, 1)}
-    assert serving.risk_breaks(f.limit(0)) == serving.DEFAULT_BREAKS
-    bands = f.select(serving.band_of(F.col("upper_rate"), [1.0, 10.0, 20.0, 30.0])).collect()
+    assert serving.with_bands(f.limit(0)).count() == 0
+    edges = F.array(*map(F.lit, [1.0, 10.0, 20.0, 30.0]))
+    bands = f.select(serving.band_of(F.col("upper_rate"), edges)).collect()
     assert [r[0] for r in bands] == [1, 2]
 
 
