@@ -179,10 +179,12 @@ def one_per_group(
     docs: DataFrame, words: int = 5, budget: int = 2, segments: int = 8, bucket: int = 64
 ) -> DataFrame:
     """The documents with all columns, of each near-duplicate group the one with the
-    smallest id; of rows that repeat this id one stays. Rows with a null id all stay:
-    nothing names them."""
+    smallest id; of rows that repeat id and text one stays, and different texts under that
+    id all do. Rows with a null id all stay: nothing names them."""
     keep = near_duplicates(docs, words, budget, segments, bucket).where(
         F.col("doc_id").eqNullSafe(F.col("component_id"))
     ).select(F.col("doc_id").alias("_id"))
-    named = docs.join(keep, F.col("doc_id") == F.col("_id"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    tagged = docs.withColumn("_text", F.md5(F.coalesce("text", F.lit(""))))
+    named = tagged.join(keep, F.col("doc_id") == F.col("_id"), "left_semi")
+    once = named.dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return once.union(docs.where("doc_id is null"))
