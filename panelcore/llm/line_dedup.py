@@ -3,7 +3,7 @@
 A text is cut at line ends and, inside lines, behind sentence marks; lines and sentences
 are normalised (lower case, single spaces, no marks at their ends) and hashed to 128 bits.
 Whole lines come first, however short: of equal lines the one that ranks first by
-(doc_id, offset) stays and every other one is removed, with its offsets in the original
+(doc_id, offset, text digest) stays and every other one is removed, with its offsets in the original
 text kept. The lines that stay are then compared by their sentences in the same way.
 Sentences below ``least`` words say little alone, so their hash also covers the units
 before them until ``least`` words are reached; at the start of a text such a sentence has
@@ -15,9 +15,10 @@ occur twice are joined back, as a shuffle join that adaptive execution may split
 counted before and again after those of removed lines are left out. What
 is gathered per document is its own spans, never a group's members.
 
-Nulls, ties and the rest: null and empty texts have no units; a null id ranks last;
-rows that repeat id and text share their rank and keep the same units; equal units
-inside one text go as well, from the second on; an empty table gives an empty result;
+Nulls, ties and the rest: null and empty texts have no units; a null id ranks last, and
+different texts under one id (or none) rank by their digest; rows that repeat id and text
+share their rank and keep the same units; equal units inside one text go as well, from
+the second on; an empty table gives an empty result;
 other columns are ignored, or kept by ``cleaned``.
 """
 
@@ -138,10 +139,11 @@ def removed_units(docs: DataFrame, least: int = 8, by_line: bool = False) -> Dat
 
 def _later(rows: DataFrame) -> DataFrame:
     """The rows whose digest stands earlier too, with that place ``k`` and ``copies``."""
+    rank = F.struct("doc_id", "start", "h")
     first = rows.groupBy("digest").agg(
-        F.min(F.struct("doc_id", "start")).alias("k"), F.count(F.lit(1)).alias("copies")
+        F.min(rank).alias("k"), F.count(F.lit(1)).alias("copies")
     ).where("copies > 1").select("digest", "k", "copies")
-    return rows.join(first, "digest").where(F.struct("doc_id", "start") != F.col("k"))
+    return rows.join(first, "digest").where(rank != F.col("k"))
 
 
 def cleaned(docs: DataFrame, least: int = 8, by_line: bool = False) -> DataFrame:
