@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from datetime import date
 
-from panelcore.catalog.base import monthly, nation_panel, pick, query, staged_panel
+from pyspark.sql import functions as F
+
+from panelcore.catalog.base import MONTHS, monthly, nation_panel, pick, query, staged_panel
 from panelcore.catalog.forecasts import FORECASTS, naive_model
 from panelcore.operators import whatif
 from panelcore.params import ClampParams, Scenario
@@ -58,8 +60,6 @@ def apply_scenario_absolute(spark, d):
 SELECT entity, count(*) FILTER (touched) AS n_touched, count(*) FILTER (NOT touched) AS n_other
 FROM changed GROUP BY 1"""))
 def scenario_mask(spark, d):
-    from pyspark.sql import functions as F
-
     mask = whatif.scenario_mask(MORE)
     return nation_panel(spark, d).groupBy("entity").agg(
         F.count_if(mask).alias("n_touched"), F.count_if(~mask).alias("n_other"))
@@ -122,3 +122,52 @@ r AS (SELECT *, n_clamped / n_touched AS clamped_share, n_clamped > 0 AS out_of_
 def what_if_summary(spark, d):
     model, deltas, counts = _what_if(spark, d)
     return whatif.what_if_summary(deltas, counts, bool(model.columns_from("orders")))
+
+
+BATCH = {
+    "more": MORE,
+    "fewer": Scenario("orders", -30.0, "percent", date(1998, 1, 1), date(1998, 6, 30),
+                      ("NATION_1", "NATION_2")),
+    "nowhere": Scenario("orders", 10.0, "percent", None, None, ("ATLANTIS",)),
+}
+
+
+def _batch_sql() -> str:
+    parts = []
+    for name, factor, touched in (
+            ("more", 1.6, "period BETWEEN DATE '1999-01-01' AND DATE '2000-12-31'"),
+            ("fewer", 0.7, "period BETWEEN DATE '1998-01-01' AND DATE '1998-06-30' "
+                           "AND entity IN ('NATION_1', 'NATION_2')")):
+        body = changed_sql("orders", f"orders * {factor}", touched, "sigma").lstrip(",\n")
+        parts.append(f"(WITH {body} SELECT '{name}' AS scenario, * FROM changed)")
+    return FORECASTS + ", worlds AS (" + " UNION ALL ".join(parts) + """),
+reach AS (SELECT scenario, entity, min(period) AS a,
+                 CAST(max(period) + INTERVAL 12 MONTH AS DATE) AS z
+          FROM worlds WHERE touched GROUP BY 1, 2),
+after AS (SELECT scenario, entity, period, ln(1 + orders / exposure * 100000) AS a0 FROM worlds),
+delta AS (
+  SELECT scenario, f.entity, origin_date, a0 - predicted_log AS delta_log,
+         greatest(exp(a0) - 1, 0) - predicted_rate AS delta_rate
+  FROM forecasts f JOIN after a ON a.entity = f.entity AND a.period = f.origin_date
+  JOIN reach r USING (scenario, entity) WHERE origin_date BETWEEN a.period AND a.period
+    AND origin_date BETWEEN r.a AND r.z)"""
+
+
+def _batch(spark, d):
+    panel = staged_panel(spark, d)
+    return whatif.what_if_batch(panel, BATCH, naive_model(spark, d, panel), SIGMA, MONTHS)
+
+
+@query("what_if_batch", monthly(_batch_sql() + " " + pick(
+    "scenario entity origin_date ~delta_log ~delta_rate", "FROM delta")))
+def what_if_batch(spark, d):
+    """Three scenarios, one rescoring of what they reach."""
+    return _batch(spark, d)[0].select("scenario", "entity", "origin_date", "delta_log", "delta_rate")
+
+
+@query("what_if_batch_counts", monthly(_batch_sql() + """
+SELECT n.scenario, count(*) FILTER (touched) AS n_touched, count(*) FILTER (clamped) AS n_clamped
+FROM (VALUES ('more'), ('fewer'), ('nowhere')) n(scenario) LEFT JOIN worlds USING (scenario)
+GROUP BY 1"""))
+def what_if_batch_counts(spark, d):
+    return _batch(spark, d)[1]

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from panelcore.functions.ranks import one_group
 from panelcore.functions.scalars import finite, position_from_cyclic
+from panelcore.operators.boosting import boosted, predicted
 from panelcore.operators.features import LEVEL, FeatureSpec, flatten_sequence, series, step_value
 from panelcore.operators.statistics import (
     RidgePath,
@@ -227,20 +228,12 @@ class Ridge(Forecaster):
         return {k: LinearForecast(*path.solution(alphas[k]), {"alpha": alphas[k]})
                 for k, path in paths.items()}
 
-    @staticmethod
-    def _vectors(rows: DataFrame, segment: Column) -> DataFrame:
-        v = F.concat(F.flatten("seq"), F.array(F.col("y").cast("double")))
-        return rows.select(segment.cast("int").alias("segment"), v.alias("v"))
-
     def fit(self, train: DataFrame, val: DataFrame | None = None) -> LinearForecast:
-        return self._solve(self._vectors(train, F.lit(0)), [0])[0]
+        return self._solve(labelled_vectors(train, F.lit(0)), [0])[0]
 
     def score(self, assigned, numbers, factory) -> DataFrame:
-        fit = assigned.where("role = 'fit'")
-        # The first fold that fits on a period; later ones keep it. One row per period.
-        first = fit.groupBy("period").agg(F.min("fold").alias("_first"))
-        once = fit.join(F.broadcast(first), "period").where(F.col("fold") == F.col("_first"))
-        fitted = self._solve(self._vectors(once, F.col("fold")), numbers)
+        once = labelled_vectors(fit_rows_once(assigned), F.col("fold"))
+        fitted = self._solve(once, numbers)
         table = assigned.sparkSession.createDataFrame(
             [(k, m.coefficients.tolist(), m.intercept) for k, m in fitted.items()],
             "fold int, _coef array<double>, _start double")
@@ -249,8 +242,28 @@ class Ridge(Forecaster):
             F.flatten("seq"), F.col("_coef"), F.col("_start"))).drop("_coef", "_start")
 
 
+def fit_rows_once(assigned: DataFrame) -> DataFrame:
+    """Fit rows of expanding folds, each once, in the first fold that fits on it.
+
+    Later folds keep a period, so that fold number is the row's segment.
+    """
+    fit = assigned.where("role = 'fit'")
+    first = fit.groupBy("period").agg(F.min("fold").alias("_first"))  # one row per period
+    return fit.join(F.broadcast(first), "period").where(F.col("fold") == F.col("_first"))
+
+
+def labelled_vectors(rows: DataFrame, segment: Column) -> DataFrame:
+    """``segment, v``: the flat view with the label as last coordinate."""
+    v = F.concat(F.flatten("seq"), F.array(F.col("y").cast("double")))
+    return rows.select(segment.cast("int").alias("segment"), v.alias("v"))
+
+
 class BoostedTrees(Forecaster):
-    """Gradient-boosted trees on the flat view."""
+    """Gradient-boosted trees on the flat view.
+
+    Folds are boosted side by side on shared bins (:mod:`boosting`); a single model, which
+    is stored, is Spark's own with the same rounds, depth and learning rate.
+    """
 
     def __init__(self, spec: FeatureSpec, n_trees: int = 400, max_depth: int = 3,
                  learning_rate: float = 0.05, seed: int = 42) -> None:
@@ -262,6 +275,12 @@ class BoostedTrees(Forecaster):
         gbt = GBTRegressor(featuresCol="flat", labelCol="y", **self.args)
         return PipelineForecast(Pipeline(stages=[gbt]).fit(rows))
 
+    def score(self, assigned, numbers, factory) -> DataFrame:
+        a = self.args
+        rows = labelled_vectors(fit_rows_once(assigned), F.col("fold"))
+        cuts, trees = boosted(rows, max(numbers) + 1, a["maxIter"], a["maxDepth"], a["stepSize"])
+        return predicted(assigned.where("role <> 'fit'"), cuts, trees, a["maxDepth"])
+
 
 # -- seasonal profile ---------------------------------------------------------
 

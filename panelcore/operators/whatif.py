@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcore.functions.ranks import one_group
+from panelcore.functions.scalars import shift_period
+from panelcore.operators.features import NAMED
 from panelcore.params import ClampParams, ParamError, Scenario
 
 # Tolerance of the comparison that counts clamped cells.
@@ -76,17 +78,19 @@ def scenario_counts(changed: DataFrame) -> DataFrame:
     )
 
 
-def forecast_delta(baseline: DataFrame, scenario: DataFrame) -> DataFrame:
-    """Changes per (entity, origin) between two forecast tables."""
+def forecast_delta(baseline: DataFrame, scenario: DataFrame, also: tuple[str, ...] = ()
+                   ) -> DataFrame:
+    """Changes per (entity, origin) between two forecast tables; the columns ``also`` of
+    the second one are kept."""
     keys = ["entity", "origin_date"]
     values = ("predicted_log", "lower_log", "upper_log", "predicted_rate")
 
-    def named(df: DataFrame, side: str) -> DataFrame:
-        return df.select(*keys, *[F.col(v).alias(f"{v}_{side}") for v in values])
+    def named(df: DataFrame, side: str, *more: str) -> DataFrame:
+        return df.select(*keys, *more, *[F.col(v).alias(f"{v}_{side}") for v in values])
 
-    both = named(baseline, "base").join(named(scenario, "scenario"), keys)
+    both = named(baseline, "base").join(named(scenario, "scenario", *also), keys)
     return both.select(
-        *keys,
+        *also, *keys,
         (F.col("predicted_log_scenario") - F.col("predicted_log_base")).alias("delta_log"),
         (F.col("predicted_rate_scenario") - F.col("predicted_rate_base")).alias("delta_rate"),
         *[F.col(f"{v}_log_{s}").alias(f"{v}_{s}")
@@ -104,6 +108,99 @@ def what_if(panel: DataFrame, s: Scenario, model: PanelScorer, c: ClampParams
     return forecast_delta(model.predict(panel), model.predict(after)), scenario_counts(changed)
 
 
+#: Sets scenario and entity apart in the key of a stacked panel.
+MARK = "\x1f"
+
+
+def touched_cells(panel: DataFrame, scenarios: dict[str, Scenario], c: ClampParams) -> DataFrame:
+    """``scenario, entity, period, variable, held, clamped``: the sparse change of each
+    scenario, one row per panel cell it touches. One pass over the panel for all of them;
+    ranges are one row per entity."""
+    for s in scenarios.values():
+        if s.variable not in panel.columns:
+            raise ParamError(f"{s.variable!r} is not a panel column")
+    bounds = None
+    for v in sorted({s.variable for s in scenarios.values()}):
+        span = plausible_range(panel, v, c).select(
+            "entity", F.col("low").alias(f"_low_{v}"), F.col("high").alias(f"_high_{v}"))
+        bounds = span if bounds is None else bounds.join(span, "entity")
+    changes = []
+    for name, s in scenarios.items():
+        x = F.col(s.variable).cast("double")
+        wanted = x * (1.0 + s.change / 100.0) if s.mode == "percent" else x + s.change
+        low, high = F.least(F.col(f"_low_{s.variable}"), x), F.greatest(F.col(f"_high_{s.variable}"), x)
+        held = F.when(x.isNotNull(), F.least(F.greatest(wanted, low), high))
+        off = F.abs(held - wanted) > F.lit(ABS_TOL) + F.lit(REL_TOL) * F.abs(wanted)
+        changes.append(F.when(scenario_mask(s), F.struct(
+            F.lit(name).alias("scenario"), F.lit(s.variable).alias("variable"), held.alias("held"),
+            F.coalesce(off, F.lit(False)).alias("clamped"))))
+    cells = F.explode(F.array_compact(F.array(*changes))).alias("_x")
+    return panel.join(bounds, "entity").select("entity", "period", cells).select(
+        "_x.scenario", "entity", "period", "_x.variable", "_x.held", "_x.clamped")
+
+
+def what_if_batch(panel: DataFrame, scenarios: dict[str, Scenario], model, c: ClampParams,
+                  calendar) -> tuple[DataFrame, DataFrame]:
+    """``(deltas, counts)`` of many scenarios, each row with its ``scenario``.
+
+    Only what a scenario can reach is scored again: the entities it touches, and those
+    that read them along the model's edges, from the first touched period to ``look_back``
+    periods past the last. These stretches of all scenarios are stacked under their own
+    keys and scored by one call; origins outside have no row, their change is zero.
+    ``counts`` has a row per scenario, with zeros where it touches nothing.
+    """
+    if model.reads_entity:
+        raise ParamError("a model that profiles entities by key cannot score a stacked panel")
+    cells = touched_cells(panel, scenarios, c)
+    reached = cells.groupBy("scenario", "entity").agg(
+        F.min("period").alias("_first"), F.max("period").alias("_last"))
+    neighbours = None
+    if model.edges is not None:
+        neighbours = model.edges.select("entity", "neighbour")
+        along = reached.withColumnRenamed("entity", "neighbour").join(neighbours, "neighbour").drop(
+            "neighbour")
+        reached = reached.unionByName(along).groupBy("scenario", "entity").agg(
+            F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    back = model.look_back
+    stretch = reached.select(
+        "scenario", "entity", shift_period(F.col("_first"), -back, calendar).alias("_from"),
+        shift_period(F.col("_last"), back, calendar).alias("_to"))
+    read = stretch
+    if neighbours is not None:  # the neighbours' rows are read, not scored
+        beside = stretch.join(neighbours, "entity").select(
+            "scenario", F.col("neighbour").alias("entity"), "_from", "_to")
+        read = stretch.unionByName(beside).groupBy("scenario", "entity").agg(
+            F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+    inside = F.col("period").between(F.col("_from"), F.col("_to"))
+    if neighbours is not None and model.p.weight_scheme == "exposure":
+        inside = F.lit(True)  # those weights are means over all periods
+    rows = panel.join(read, "entity").where(inside)
+    changed = rows.drop("_from", "_to")
+    keys = ["scenario", "entity", "period"]
+    for v in sorted({s.variable for s in scenarios.values()}):
+        own = cells.where(F.col("variable") == v).select(*keys, F.col("held").alias("_held"), F.lit(
+            True).alias("_hit"))
+        changed = changed.join(own, keys, "left").withColumn(
+            v, F.when(F.col("_hit"), F.col("_held")).otherwise(F.col(v).cast("double"))).drop("_held", "_hit")
+    key = F.concat("scenario", F.lit(MARK), "entity")
+    stacked = changed.withColumn(NAMED, F.col("entity")).withColumn("entity", key).drop("scenario")
+    after = model.stacked(list(scenarios), MARK).predict(stacked)
+    after = after.withColumns({
+        "scenario": F.substring_index("entity", MARK, 1),
+        "entity": F.substring_index("entity", MARK, -1)})
+    scored = after.join(reached.select(
+        "scenario", "entity", "_first", shift_period(F.col("_last"), back, calendar).alias("_to")),
+        ["scenario", "entity"]).where(F.col("origin_date").between(F.col("_first"), F.col("_to")))
+    touched = reached.select("entity").distinct()
+    base = model.predict(panel).join(touched, "entity", "left_semi")
+    both = forecast_delta(base, scored.drop("_first", "_to"), ("scenario",))
+    names = panel.sparkSession.createDataFrame([(n,) for n in scenarios], "scenario string")
+    counts = cells.groupBy("scenario").agg(
+        F.count(F.lit(1)).alias("n_touched"), F.count_if("clamped").alias("n_clamped"))
+    counts = names.join(counts, "scenario", "left").na.fill(0, ["n_touched", "n_clamped"])
+    return both, counts
+
+
 def what_if_summary(deltas: DataFrame, counts: DataFrame, affects_model: bool) -> DataFrame:
     """One row: spread of the change, guardrail shares, whether the model listens."""
     spread = deltas.agg(

@@ -199,6 +199,23 @@ class PanelModel:
     def columns_from(self, raw_variable: str) -> list[str]:
         return self.spec.named(raw_variable=raw_variable)
 
+    @property
+    def reads_entity(self) -> bool:
+        """Whether the fitted model itself looks entities up by their key."""
+        return isinstance(self.fitted.inner, models.SeasonalModel)
+
+    def stacked(self, names: list[str], mark: str) -> PanelModel:
+        """The model for a panel that holds every entity once per name, as name, mark and
+        entity; edges are repeated within each name."""
+        edges = self.edges
+        if edges is not None:
+            at = F.explode(F.array(*map(F.lit, names))).alias("_n")
+            edges = edges.select("*", at).select(
+                F.concat("_n", F.lit(mark), "entity").alias("entity"),
+                F.concat("_n", F.lit(mark), "neighbour").alias("neighbour"))
+        return PanelModel(self.fitted, self.spec, self.p, self.setting, edges, self.entities,
+                          self._residuals)
+
     def samples(self, panel: DataFrame) -> DataFrame:
         """Every complete window of a panel, from the columns the model was fitted on."""
         s = self.setting
