@@ -146,11 +146,11 @@ reach AS (SELECT scenario, entity, min(period) AS a,
           FROM worlds WHERE touched GROUP BY 1, 2),
 after AS (SELECT scenario, entity, period, ln(1 + orders / exposure * 100000) AS a0 FROM worlds),
 delta AS (
-  SELECT scenario, f.entity, origin_date, a0 - predicted_log AS delta_log,
+  SELECT a.scenario, f.entity, origin_date, a0 - predicted_log AS delta_log,
          greatest(exp(a0) - 1, 0) - predicted_rate AS delta_rate
   FROM forecasts f JOIN after a ON a.entity = f.entity AND a.period = f.origin_date
-  JOIN reach r USING (scenario, entity) WHERE origin_date BETWEEN a.period AND a.period
-    AND origin_date BETWEEN r.a AND r.z)"""
+  JOIN reach r ON r.scenario = a.scenario AND r.entity = f.entity
+  WHERE origin_date BETWEEN r.a AND r.z)"""
 
 
 def _batch(spark, d):
