@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,8 +29,9 @@ from panelcore.catalog.features import (
     design_sql,
     nation_edges,
 )
+from panelcore.functions.scalars import finite
 from panelcore.operators import evaluate, folds, models
-from panelcore.operators.features import design
+from panelcore.operators.features import LEVEL, design
 from panelcore.params import ConformalParams, FoldParams, SeasonalParams
 from panelcore.plans.production import (
     Experiment,
@@ -283,9 +285,32 @@ def ridge_metrics(spark, d):
     return _metrics(spark, d, lambda s: models.Ridge(s))
 
 
+#: Scored folds of the boosted trees, by application and table folder: two queries read them.
+_BOOSTED: dict[tuple[str, str], DataFrame] = {}
+
+
+def _boosted(spark, d) -> DataFrame:
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BOOSTED:
+        _BOOSTED[key] = cut_lineage(scored_by(spark, d, lambda s: models.BoostedTrees(s)).drop("seq"))
+    return _BOOSTED[key]
+
+
 @query("gradient_boosting_metrics")
 def gradient_boosting_metrics(spark, d):
-    return _metrics(spark, d, lambda s: models.BoostedTrees(s))
+    return evaluate.fold_metrics(_boosted(spark, d).where("role = 'test'"), "log1p")
+
+
+@query("gradient_boosting_checks", monthly(EVAL + """
+SELECT CAST(fold AS BIGINT) AS fold, role, count(*) AS n, true AS finite, true AS beats_persistence
+FROM samples JOIN roles USING (period) WHERE role <> 'fit' GROUP BY 1, 2"""))
+def gradient_boosting_checks(spark, d):
+    """Every fold scores all its rows with finite values, closer than persistence does."""
+    p, y = F.col("prediction"), F.col("y")
+    naive = F.avg(F.abs(y - F.col(f"{LEVEL}_lag_0")))
+    return _boosted(spark, d).groupBy("fold", "role").agg(
+        F.count(F.lit(1)).alias("n"), F.min(finite(p)).alias("finite"),
+        (F.avg(F.abs(y - p)) < naive).alias("beats_persistence"))
 
 
 GRID = [Experiment("with_spatial"), Experiment("without_spatial", {"include_spatial": False})]

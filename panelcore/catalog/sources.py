@@ -62,30 +62,22 @@ def unpivot_period_columns(spark, d):
 def read_dated_files(spark, d):
     path = scratch_path(spark, "dated-csv")
     _export_per_period(spark, observed(spark, d, MONTHS), path)
-    raw = readers.read_dated_files(spark, f"{path}/*.csv", "orders")
+    raw = readers.read_dated_files(spark, f"{path}/*/*.txt", "orders")
     return conform.conform(raw, MONTHS, ["orders"])
 
 
 def _export_per_period(spark, rows, path: str) -> None:
-    """One file per period, named after it, as the exports arrive."""
+    """One folder per period, named after it; each file starts with the two preamble lines
+    and the header. Lines are written in order by the task of their period."""
+    p = F.date_format("period", "yyyy-MM").alias("p")
+    head = F.posexplode(F.array(*map(F.lit, ("Category: All categories", "", "region,interest"))))
+    preamble = rows.select(p).distinct().select("p", head.alias("at", "value"))
     line = F.concat_ws(",", "entity", F.col("orders").cast("string"))
-    body = F.concat(F.lit("Category: All categories\n\nregion,interest\n"),
-                    F.array_join(F.sort_array(F.collect_list(line)), "\n"))
-    parts = f"{path}-parts"
+    body = rows.select(p, F.lit(3).alias("at"), line.alias("value"))
     (
-        rows.groupBy(F.date_format("period", "yyyy-MM").alias("p")).agg(body.alias("value"))
-        .repartition("p").write.partitionBy("p").text(parts)
+        preamble.unionByName(body).repartition("p").sortWithinPartitions("p", "at", "value")
+        .drop("at").write.partitionBy("p").text(path)
     )
-    jvm = spark._jvm
-    to_path = jvm.org.apache.hadoop.fs.Path
-    fs = to_path(parts).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(to_path(path))
-    for folder in fs.listStatus(to_path(parts)):
-        if "=" in folder.getPath().getName():
-            period = folder.getPath().getName().split("=")[1]
-            for f in fs.listStatus(folder.getPath()):
-                if f.getPath().getName().startswith("part-"):
-                    fs.rename(f.getPath(), to_path(f"{path}/{period}.csv"))
 
 
 @query("broadcast_series", monthly(""",
@@ -307,12 +299,15 @@ found AS (
   WHERE variable NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM'))
 SELECT rule, count(*) AS n, min(k) AS first_key, max(k) AS last_key FROM found GROUP BY 1""")
 def contract_findings(spark, d):
-    o = table(spark, d, "orders").join(
-        nation_of_customer(spark, d), F.col("o_custkey") == F.col("c_custkey"))
-    long = o.select("entity", F.trunc("o_orderdate", "month").alias("period"),
-                    F.col("o_orderpriority").alias("variable"),
-                    F.col("o_totalprice").alias("value"))
-    return checks.contract_findings(long, ["1-URGENT", "2-HIGH", "3-MEDIUM"])
+    """Orders are counted per customer, month and priority before customers join."""
+    o = table(spark, d, "orders").groupBy(
+        "o_custkey", F.trunc("o_orderdate", "month").alias("period"),
+        F.col("o_orderpriority").alias("variable"),
+    ).agg(F.count(F.lit(1)).alias("n_rows"),
+          F.count_if(F.isnan(F.col("o_totalprice").cast("double"))).alias("n_nan"))
+    long = o.join(nation_of_customer(spark, d), F.col("o_custkey") == F.col("c_custkey"))
+    return checks.contract_findings(long.select("entity", "period", "variable", "n_rows", "n_nan"),
+                                    ["1-URGENT", "2-HIGH", "3-MEDIUM"])
 
 
 @query("symmetric_edges", monthly(EDGES + " SELECT entity, neighbour FROM edges"))

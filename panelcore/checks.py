@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,7 +10,6 @@ from panelcore.functions.scalars import finite
 
 KEYS = ("entity", "period")
 LONG_COLUMNS = ("entity", "period", "variable", "value")
-EXAMPLES = 3
 
 
 class ContractError(ValueError):
@@ -36,11 +35,14 @@ def contract_findings(long: DataFrame, declared) -> DataFrame:
     """Every breach found in long rows: ``rule, n, examples``; empty when clean.
 
     All rules share one pass over the keys: duplicates are seen after the map-side
-    count per key, undeclared variables and odd values on the same grouped rows.
+    count per key, undeclared variables and odd values on the same grouped rows. Rows that
+    were counted before carry ``n_rows`` and ``n_nan`` in place of ``value``.
     """
+    counted = "n_rows" in long.columns
+    nan = F.isnan(F.col("value").cast("double")) if not counted else F.lit(False)
     keyed = long.groupBy("entity", "period", "variable").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(F.isnan(F.col("value").cast("double"))).alias("n_nan"),
+        (F.sum("n_rows") if counted else F.count(F.lit(1))).alias("n_rows"),
+        (F.sum("n_nan") if counted else F.count_if(nan)).alias("n_nan"),
     )
     label = F.concat_ws("/", "entity", F.col("period").cast("string"), "variable")
     rules = F.array_compact(
@@ -113,6 +115,25 @@ def require_dense(panel: DataFrame) -> None:
         raise ContractError(f"the grid is not complete: {r[0]} to {r[1]} rows per entity")
 
 
+def finite_or_fail(column: str) -> Column:
+    """The column, failing the job that reads it where a value is missing or not finite."""
+    c = F.col(column)
+    told = F.concat(F.lit(f"{column} is not finite: "), F.coalesce(c.cast("string"), F.lit("null")))
+    return F.when(finite(c), c).otherwise(F.raise_error(told).cast("double"))
+
+
+def next_period_or_fail(value: Column, previous: Column, expected: Column) -> Column:
+    """``value``, failing the job that reads it where a series repeats or skips a period.
+
+    ``previous`` is the period of the row before, ``expected`` the one that has to follow.
+    """
+    here = F.col("period")
+    told = F.concat_ws(" ", F.lit("the grid is not complete:"), F.col("entity"),
+                       previous.cast("string"), F.lit("is followed by"), here.cast("string"))
+    ok = previous.isNull() | (here == expected)
+    return F.when(ok, value).otherwise(F.raise_error(told).cast("double"))
+
+
 def require_finite(df: DataFrame, column: str) -> None:
     bad = df.agg(F.count_if(~finite(F.col(column)))).first()[0]
     if bad:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelcore.checks import require_finite, require_usable
+from panelcore.checks import finite_or_fail, require_finite, require_usable
 from panelcore.functions.scalars import inverse_target, shift_period, unfloored_rate
 from panelcore.operators import intervals
 from panelcore.operators.folds import assign_folds, fold_counts, fold_numbers
@@ -20,11 +20,17 @@ POINT_METRICS = ("mae_log", "rmse_log", "r2_log", "mae_rate", "rmse_rate", "r2_r
 
 def score_folds(samples: DataFrame, plan: DataFrame, p: FoldParams,
                 factory: Callable[[], Forecaster], guard: bool = True) -> DataFrame:
-    """Validation and test rows of every fold with ``prediction``; a fresh model per fold."""
+    """Validation and test rows of every fold with ``prediction``; a fresh model per fold.
+
+    ``guard`` counts the roles of every fold first. Without it, a prediction that is not
+    finite fails the job that reads it, at no extra pass.
+    """
     assigned = assign_folds(samples, plan)
     if guard:
         require_usable(fold_counts(assigned))
-    return factory().score(assigned, fold_numbers(p), factory)
+        return factory().score(assigned, fold_numbers(p), factory)
+    scored = factory().score(assigned, fold_numbers(p), factory)
+    return scored.withColumn("prediction", finite_or_fail("prediction"))
 
 
 def point_metrics(transform: str) -> list[Column]:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,13 +93,17 @@ def unpivot_periods(df: DataFrame, entity: str, variable: str) -> DataFrame:
 def read_dated_files(spark: SparkSession, path: str, variable: str) -> DataFrame:
     """Exports named after their period, with two preamble lines above the header.
 
-    Line numbers only exist inside a file, so each export (one row per entity) is
-    read whole and split by position; files spread over the tasks.
+    The period is the file's name, or that of its folder where a writer names folders
+    (``p=2001-07/part-0.csv``). Files are read by line and may be split: only the part
+    that starts at byte 0 holds the preamble, whose lines are counted off as they pass.
     """
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]*$", 1)
-    lines = spark.read.text(path, wholetext=True).select(
-        stem.alias("stem"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")
-    )
+    name = F.regexp_extract("_metadata.file_name", r"^(.*)\.[^.]*$", 1)
+    folder = F.regexp_extract("_metadata.file_path", r"=([^/=]+)/[^/]*$", 1)
+    lines = spark.read.text(path).select(
+        F.when(folder != "", folder).otherwise(name).alias("stem"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"))
+    body = lines.mapInArrow(_below_preamble, "stem string, line string")
     parsed = F.from_csv("line", "entity string, value string")
     iso = F.when(F.length("stem") == 7, F.concat("stem", F.lit("-01"))).otherwise(F.col("stem"))
     period = F.coalesce(
@@ -104,7 +111,7 @@ def read_dated_files(spark: SparkSession, path: str, variable: str) -> DataFrame
         F.raise_error(F.concat(F.lit("file name is not a period: "), F.col("stem"))),
     )
     return (
-        lines.where((F.col("pos") > PREAMBLE_LINES) & (F.trim("line") != ""))
+        body.where(F.trim("line") != "")
         .select(period.alias("period"), parsed.alias("r"))
         .select(
             F.col("r.entity").alias("entity"),
@@ -116,15 +123,35 @@ def read_dated_files(spark: SparkSession, path: str, variable: str) -> DataFrame
     )
 
 
+def _below_preamble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines below the header; a task reads the lines of a file part in order."""
+    held, seen = None, 0
+    for b in batches:
+        keep = np.ones(b.num_rows, bool)
+        at = list(zip(b.column("file").to_pylist(), b.column("start").to_pylist()))
+        for i, part in enumerate(at):
+            held, seen = (part, seen + 1) if part == held else (part, 0)
+            keep[i] = part[1] > 0 or seen > PREAMBLE_LINES
+        yield b.select(["stem", "line"]).filter(pa.array(keep))
+
+
 def broadcast_series(series: DataFrame, grid: DataFrame) -> DataFrame:
     """Give one national ``period, variable, value`` series to every entity.
 
     The grid already lists every (entity, period), so this is an equality join on
-    the period and never a product of two tables. One national series has one row per
-    period of the axis, which bounds what is broadcast; a shuffle on the period would
-    gather all entities of a period in one task.
+    the period and never a product of two tables. A series is reduced to one row per
+    period before it is broadcast, and fails where it has several: that row count, which
+    the period axis bounds, is what is sent; a shuffle on the period would gather all
+    entities of a period in one task.
     """
-    return grid.select("entity", "period").join(F.broadcast(series), "period").select(
+    row = F.first(F.struct("variable", "value"))
+    several = F.raise_error(F.concat(F.lit("several national values for "),
+                                     F.col("period").cast("string")))
+    once = series.groupBy("period").agg(
+        F.count(F.lit(1)).alias("_n"), row.alias("_r")).select(
+        "period", F.when(F.col("_n") == 1, F.col("_r.variable")).otherwise(
+            several.cast("string")).alias("variable"), F.col("_r.value").alias("value"))
+    return grid.select("entity", "period").join(F.broadcast(once), "period").select(
         "entity", "period", "variable", "value"
     )
 

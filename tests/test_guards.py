@@ -113,3 +113,61 @@ def test_reversed_spans_and_unknown_tiers_are_refused():
         Scenario("x", 1.0, start=date(2000, 2, 1), end=date(2000, 1, 1))
     with pytest.raises(ParamError, match="unknown tiers"):
         RiskParams(actions={"LOW": ("a",), "MEDIUM": ("b",), "HIGH": ("c",), "EXTREME": ("d",)})
+
+
+def test_a_hole_or_a_repeated_period_fails_the_job_that_trains(spark):
+    from conftest import TARGET, calendar, wave_panel
+
+    from panelcore.operators import features
+    from panelcore.params import FeatureParams
+
+    panel = wave_panel(spark, ("a", "b"), 36)
+    p = FeatureParams(level_variables=("rainfall",), include_lags=False, lags=(12,), sequence_length=1,
+                      entity_identity=False)
+    built = lambda df: features.build_samples(df, p, TARGET, calendar(36), 1)[0]
+    assert built(panel).count() > 0
+    hole = panel.where("not (entity = 'b' and period = date'2011-03-01')")
+    twice = panel.union(panel.where("entity = 'a' and period = date'2011-03-01'"))
+    for odd in (hole, twice):
+        with pytest.raises(Exception, match="the grid is not complete"):
+            built(odd).collect()
+
+
+def test_a_prediction_that_is_not_finite_fails_the_job_that_reads_it(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),)], "prediction double")
+    checked = df.withColumn("prediction", checks.finite_or_fail("prediction"))
+    assert checked.where("prediction is not null").limit(0).count() == 0
+    with pytest.raises(Exception, match="prediction is not finite"):
+        checked.collect()
+
+
+def test_two_national_values_in_one_period_fail(spark):
+    from panelcore.sources import readers
+
+    grid = spark.sql("select 'a' as entity, date'2020-01-01' as period")
+    one = spark.sql("select date'2020-01-01' as period, 'v' as variable, 1.0D as value")
+    assert readers.broadcast_series(one, grid).count() == 1
+    with pytest.raises(Exception, match="several national values"):
+        readers.broadcast_series(one.union(one), grid).collect()
+
+
+def test_dated_files_are_read_by_line_however_they_are_split(spark, tmp_path):
+    from panelcore.sources import readers
+
+    lines = "".join(f"name {i},{i}\n" for i in range(3000))
+    (tmp_path / "2020-01.csv").write_text("Category: All\n\nregion,interest\n" + lines)
+    folder = tmp_path / "p=2020-02"
+    folder.mkdir()
+    (folder / "part-0.csv").write_text("Category: All\n\nregion,interest\nname 1,<1\n\nname 2,5\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        big = readers.read_dated_files(spark, str(tmp_path / "2020-01.csv"), "v")
+        assert big.rdd.getNumPartitions() > 3
+        rows = {r.entity: (str(r.period), r.value) for r in big.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows == {f"name {i}": ("2020-01-01", float(i)) for i in range(3000)}
+    small = readers.read_dated_files(spark, str(folder / "*.csv"), "v").collect()
+    assert sorted((r.entity, str(r.period), r.value) for r in small) == [
+        ("name 1", "2020-02-01", None), ("name 2", "2020-02-01", 5.0)]

@@ -296,6 +296,13 @@ def test_registered_trees_have_all_their_rounds(monkeypatch):
     from panelcore.catalog import evaluation
 
     seen = []
-    monkeypatch.setattr(evaluation, "_metrics", lambda s, d, f: seen.append(f(None).args["maxIter"]))
-    evaluation.gradient_boosting_metrics(None, None)
+
+    def scored_by(spark, d, factory):
+        seen.append(factory(None).args["maxIter"])
+        raise InterruptedError
+
+    monkeypatch.setattr(evaluation, "scored_by", scored_by)
+    session = type("S", (), {"sparkContext": type("C", (), {"applicationId": "none"})})
+    with pytest.raises(InterruptedError):
+        evaluation.gradient_boosting_metrics(session, "nowhere")
     assert seen == [models.BoostedTrees(None).args["maxIter"]] == [400]
