@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
-from panelcore.catalog.base import monthly, pick, query
-from panelcore.catalog.evaluation import PERSISTENCE, scored_by
+from panelcore.catalog.base import MONTHS, TARGET, monthly, pick, query
+from panelcore.catalog.evaluation import (
+    CONFORMAL,
+    FOLDS,
+    METRICS,
+    PERSISTENCE,
+    cuts,
+    metrics_sql,
+    scored_by,
+)
+from panelcore.catalog.features import PLAIN, build
 from panelcore.operators import evaluate, intervals, models
+from panelcore.plans.production import Setting, store_evaluation
+from panelcore.session import cut_lineage, scratch_path
+from panelcore.sources import runs
 
 # ``{key}`` is the grouping column; level and half-width per group.
 WIDTHS = """,
@@ -115,3 +127,37 @@ c AS (SELECT fold, 2 * avg(greatest(level * e, (level - 1) * e)) AS crps FROM e
     + pick("#fold ~crps", "FROM c")))
 def quantile_crps(spark, d):
     return intervals.fold_crps(*_scored_and_levels(spark, d), ["fold"])
+
+
+#: Stored evaluations of this session, by application and table folder.
+_RUNS: dict[tuple[str, str], str] = {}
+
+
+def _evaluated(spark, d, table: str):
+    """One table of the stored evaluation of the persistence forecast."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _RUNS:
+        root = scratch_path(spark, "evaluations")
+        samples, spec = build(spark, d, PLAIN)
+        samples = cut_lineage(samples.drop("seq"))
+        setting = Setting(TARGET, MONTHS, FOLDS, CONFORMAL)
+        store_evaluation(samples, cuts(samples), lambda: models.persistence(spec), setting, root,
+                         "persistence", {"model": "persistence"})
+        _RUNS[key] = root
+    return runs.load_run(spark, _RUNS[key], "persistence", table)
+
+
+@query("stored_evaluation", monthly(PERSISTENCE + WIDTHS + metrics_sql() + """,
+c AS (SELECT fold, avg(CASE WHEN y BETWEEN lower AND upper THEN 1.0 ELSE 0.0 END) AS coverage,
+             avg(upper - lower) AS mean_width FROM bounded GROUP BY 1),
+r AS (SELECT * FROM metrics JOIN c USING (fold)) """ + pick(
+    f"#fold {METRICS} ~coverage ~mean_width", "FROM r")))
+def stored_evaluation(spark, d):
+    """Fold metrics of a whole guarded evaluation, read back from its run."""
+    return _evaluated(spark, d, "folds")
+
+
+@query("stored_evaluation_predictions", monthly(PERSISTENCE + WIDTHS + " " + pick(
+    "#fold role entity period ~y ~prediction ~lower ~upper", "FROM bounded")))
+def stored_evaluation_predictions(spark, d):
+    return _evaluated(spark, d, "predictions")

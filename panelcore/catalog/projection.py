@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from panelcore.catalog.base import (
@@ -19,10 +21,11 @@ from panelcore.catalog.base import (
     weekly,
 )
 from panelcore.catalog.features import FULL, nation_edges, nation_names
-from panelcore.catalog.forecasts import FORECASTS, naive_model
+from panelcore.catalog.forecasts import FORECASTS, NAIVE, naive_model
 from panelcore.operators import project, seasonal
 from panelcore.params import ClampParams, ProjectionParams, SeasonalParams
 from panelcore.plans.production import Setting, train_production
+from panelcore.session import cut_lineage
 
 ALL = [*VARIABLES, "exposure"]
 PROJECTION = ProjectionParams(max_recursive_steps=6)
@@ -173,6 +176,25 @@ def project_to_asked(spark, d):
     return project.project_to(panel, requests, ALL, model, TARGET, MONTHS, CLAMP, PROJECTION)
 
 
+# The same recursion on weeks: lags 51 and 52, and steps of seven days.
+_WEEKLY = (("lag(target_level, 12)", "lag(target_level, 52)"), ("lag(target_level, 11)", "lag(target_level, 51)"),
+           ("step - 11", "step - 51"), ("step - 12", "step - 52"), ("INTERVAL 1 MONTH", "INTERVAL 7 DAY"))
+
+
+def weekly_sql(text: str) -> str:
+    for a, b in _WEEKLY:
+        text = text.replace(a, b)
+    return text
+
+
+@query("project_recursive_weeks", weekly(weekly_sql(RECURSIVE) + " " + pick(CURVE_COLUMNS, "FROM curve")))
+def project_recursive_weeks(spark, d):
+    panel = cut_lineage(nation_panel(spark, d, WEEKS))
+    p = dataclasses.replace(NAIVE, lags=(52,))
+    model = train_production(panel, p, 1, Setting(TARGET, WEEKS), "persistence")
+    return project.project_recursive(panel, ALL, model, TARGET, WEEKS, CLAMP, PROJECTION)
+
+
 @query("project_recursive_ridge")
 def project_recursive_ridge(spark, d):
     panel = staged_panel(spark, d)

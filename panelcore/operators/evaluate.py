@@ -14,6 +14,7 @@ from panelcore.operators import intervals
 from panelcore.operators.folds import assign_folds, fold_counts, fold_numbers
 from panelcore.operators.models import Forecaster
 from panelcore.params import Calendar, ConformalParams, FoldParams
+from panelcore.session import cut_lineage
 
 POINT_METRICS = ("mae_log", "rmse_log", "r2_log", "mae_rate", "rmse_rate", "r2_rate", "crps_rate")
 
@@ -105,7 +106,7 @@ def run_experiment(samples: DataFrame, plan: DataFrame, p: FoldParams, factory,
 
     A prediction that is not finite is an error, not a metric.
     """
-    scored = score_folds(samples, plan, p, factory)
+    scored = cut_lineage(score_folds(samples, plan, p, factory).drop("seq"))  # read six times
     require_finite(scored, "prediction")
     val, test = scored.where("role = 'val'"), scored.where("role = 'test'")
     residuals = intervals.calibration_residuals(val, ["fold"])

@@ -157,6 +157,22 @@ def _cell(ready: Prepared, factory: Callable | None, setting: Setting) -> dict |
     return out
 
 
+def store_evaluation(samples: DataFrame, plan: DataFrame, factory: Callable, setting: Setting,
+                     root: str, run: str, meta: dict | None = None, overwrite: bool = False) -> None:
+    """Evaluate one configuration with all its guards, and store everything it yields.
+
+    Tables of the run: ``predictions`` (bucketed by entity, without the samples' arrays),
+    ``folds``, ``summary`` and ``widths``; the manifest carries the parameters.
+    """
+    found = evaluate.run_experiment(samples, plan, setting.folds, factory, setting.conformal,
+                                    setting.target.transform)
+    keep = ["fold", "role", "entity", "period", "y", "prediction", "lower", "upper"]
+    tables = {**found, "predictions": found["predictions"].select(*keep)}
+    about = {"folds": dataclasses.asdict(setting.folds),
+             "conformal": dataclasses.asdict(setting.conformal), **(meta or {})}
+    runs.save_run(root, run, tables, about, overwrite, {"predictions": 8})
+
+
 def evaluate_selection(panel: DataFrame, base: FeatureParams, chosen: list[str], horizon: int,
                        setting: Setting, model: str, edges=None, entities=None) -> DataFrame:
     """All columns against the chosen ones through the same folds."""
