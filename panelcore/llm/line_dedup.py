@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcore.llm.common import text_of
-from panelcore.session import cut_lineage, scratch_path
+from panelcore.session import scratch_path
 
 ENDS = re.compile(r"[.!?]+(?=\s)|\n")
 EDGE = ".,;:!?… "
@@ -117,18 +117,15 @@ def removed_units(docs: DataFrame, least: int = 8, by_line: bool = False) -> Dat
     """One row per removed line or unit: ``doc_id, h, start, stop, words, keep_id,
     keep_start, copies``; offsets are characters of the original text, and no two spans
     of a text overlap."""
-    spark = docs.sparkSession
-    path = scratch_path(spark, "units")
-    unit_rows(docs, least, by_line).write.parquet(path)
-    rows = spark.read.parquet(path)
-    out = _later(rows.where("whole"))
+    rows = _written(unit_rows(docs, least, by_line), "units")
+    out = _later(rows.where("whole").drop("whole"))
     if not by_line:
-        out = cut_lineage(out)
-        inside = rows.where("not whole")
+        out = _written(out, "lines")
+        inside = rows.where("not whole").drop("whole")
         twice = inside.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
         gone = out.select("doc_id", "h", "line").distinct()
         stay = inside.join(twice, "digest").join(gone, ["doc_id", "h", "line"], "left_anti")
-        out = out.unionByName(_later(cut_lineage(stay)))
+        out = out.unionByName(_later(_written(stay, "inside")))
     given = lambda c: F.when(c != NO_ID, c)
     return out.select(
         given(F.col("doc_id")).alias("doc_id"), "h", "start", "stop", "words",
@@ -137,6 +134,13 @@ def removed_units(docs: DataFrame, least: int = 8, by_line: bool = False) -> Dat
     ).distinct()
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder, whose columns are compressed."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _later(rows: DataFrame) -> DataFrame:
     """The rows whose digest stands earlier too, with that place ``k`` and ``copies``."""
     rank = F.struct("doc_id", "start", "h")
