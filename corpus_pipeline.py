@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept a
 returns what it keeps; all but the last return the columns of documents:
 
 1. toxicity: documents scored as toxic go
-2. near-dedup: of each group of near copies (five-word shingles, Jaccard similarity of
-   0.8 or more) one document stays
+2. near-dedup: of each group of near copies (SimHash groups, completed to five-word
+   shingles at a Jaccard similarity of 0.8 or more) one document stays
 3. benchmark decontamination: contaminated documents go
 4. mixing: every document comes as often as the mix of sources takes it
 5. sharding: documents get ``shard`` and ``slot``, equal texts together
@@ -50,7 +50,7 @@ STAGES = [
     ("sharding", sharded),
 ]
 
-#: A learned score, MinHash candidates and a heap are beyond SQL; tests use brute force.
+#: A learned score, verified similarity and a heap are beyond SQL; tests use brute force.
 ORACLE_SQL = None
 
 

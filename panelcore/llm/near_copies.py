@@ -1,23 +1,25 @@
-"""Near-dedup by the exact similarity of word shingles.
+"""Near-dedup by SimHash groups, completed to the exact similarity of word shingles.
 
 Two texts are near copies when the sets of their ``words``-word shingles have a Jaccard
-similarity of at least ``similarity``. At 0.8 two 64-bit SimHashes differ by about ten
-bits, too many for an equality key on 64; candidates therefore come from MinHash, whose
-``BANDS`` keys of ``ROWS`` minima each miss a pair at 0.8 with a chance of 0.00007.
-Every candidate is checked on the shingles of both whole texts.
-
-Scale: texts with equal shingle sets collapse to one node first. Keys of at most
-``bucket`` nodes are paired directly. A larger key is settled without pairing its nodes
-with each other: a few of them, the *pivots*, are compared with every node of the key
-that is not yet known to belong to their group, and then leave the key, because nothing
-about them is open any more. A key is settled once all its nodes belong to one group;
-pivots come from the smallest groups of a key and their number grows eightfold a round.
-After the first round the nodes of open keys change over to their rarest shingles as keys
-(prefix filter): texts that merely share a common passage part there. So a family of true
-copies costs a few stars, its outliers one comparison per member each, and no link
-between groups is ever passed over. Only nodes that share a key with another
-are turned into sets of shingle hashes, once, and only those sets move afterwards. Joins
-by key are salted, since one key may hold a third of all nodes.
+similarity of at least ``similarity``. The groups of op6's operator (64-bit SimHash,
+pigeonring chains, star contraction) come first; every member is checked against the head
+of its group on the shingles of both whole texts. At 0.8 two SimHashes differ by about ten
+bits, more than an equality key on 64 can bridge, so an exact search follows:
+
+1. MinHash (``BANDS`` keys of ``ROWS`` minima) tells which texts may have a partner at all;
+   each misses a pair at 0.8 with a chance of 0.00007.
+2. Stars: in its most crowded key a text is compared with the ``pivots`` texts that share
+   most keys with others. So a family of copies costs a few comparisons per member.
+3. Prefix filter: all pairs of these texts that no star has joined are looked up under
+   their rarest shingles. Of similar sets, the first common shingle in order of rarity
+   stands so early in both that the rest still holds the overlap needed; in the smaller
+   set that is within a ninth of it at 0.8. Nothing is lost, and texts that merely share a
+   common passage never meet, since the passage stands last in their order.
+
+Scale: texts with equal shingle sets collapse to one node first. Under a shingle only pairs
+of different groups are formed: the nodes of its largest group are set against the others,
+not against each other. A shingle of more than ``bucket`` rows is dealt over several tasks.
+Only nodes that may have a partner are turned into sets of shingle hashes, once.
 
 Nulls, ties and the rest: null, empty and blank texts are copies of each other; a text
 shorter than a shingle is one shingle; a null id takes part in linking but names a group
@@ -36,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelcore.llm import simhash
 from panelcore.llm.common import text_of
 from panelcore.llm.components import components
 from panelcore.session import cut_lineage
@@ -72,19 +75,23 @@ def signature(text: bytes, words: int = 5) -> tuple[bytes, list[int], int]:
 
 
 def signed(docs: DataFrame, words: int = 5) -> DataFrame:
-    """``doc_id, h, node, keys, size`` of every row; ``h`` is a digest of the text."""
+    """``doc_id, h, node, keys, size, fp`` of every row; ``h`` is a digest of the text and
+    ``fp`` its SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = [signature(x.as_buffer().to_pybytes(), words) for x in b.column("text").cast(pa.binary())]
+            texts = [x.as_buffer().to_pybytes() for x in b.column("text").cast(pa.binary())]
+            s = [signature(x, words) for x in texts]
+            fp = np.array([simhash.fingerprint(x, words) for x in texts], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("h"), pa.array([x[0] for x in s], pa.binary()),
                  pa.array([x[1] for x in s], pa.list_(pa.int64())),
-                 pa.array([x[2] for x in s], pa.int64())], ["doc_id", "h", "node", "keys", "size"])
+                 pa.array([x[2] for x in s], pa.int64()), pa.array(fp.view(np.int64))],
+                ["doc_id", "h", "node", "keys", "size", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("h"),
                        text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, h binary, node binary, keys array<long>, size long")
+    return rows.mapInArrow(run, "doc_id long, h binary, node binary, keys array<long>, size long, fp long")
 
 
 def text_digest():
@@ -110,19 +117,26 @@ def _shared(nodes: DataFrame) -> DataFrame:
     return cut_lineage(_on(keyed, count, ["key"]))
 
 
-def _fits(similarity: float):
-    """Sets whose sizes differ by more cannot be that similar."""
-    return F.least("size", "other") >= F.lit(similarity) * F.greatest("size", "other") - 1e-9
+def _simhash_heads(nodes: DataFrame) -> DataFrame:
+    """``a, b``: the first node of every SimHash group of op6's operator, and each other."""
+    comp = components(simhash.links(nodes.select("fp").distinct())).select(
+        F.col("node").alias("fp"), F.col("root").alias("_g"))
+    grouped = nodes.select("node", "fp").join(comp, "fp", "left").select(
+        "node", F.coalesce("_g", "fp").alias("_g"))
+    head = grouped.groupBy("_g").agg(F.min("node").alias("a"), F.max("node").alias("_z")).where("a < _z")
+    return grouped.join(head.drop("_z"), "_g").where("node != a").select("a", F.col("node").alias("b"))
 
 
-def _pairs(short: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of keys with a bounded number of nodes."""
-    lists = short.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "size"))).alias("m"))
-    rows = lists.select(F.posexplode("m").alias("i", "a"), "m").select(
-        "a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
-    return rows.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"),
-                       F.col("a.size").alias("size"), F.col("b.size").alias("other")).where(
-        _fits(similarity)).select("a", "b")
+def _stars(shared: DataFrame, pivots: int) -> DataFrame:
+    """``a, b``: each node and the ``pivots`` most central nodes of its most crowded key."""
+    own = shared.groupBy("node").agg(
+        F.max(F.struct("n", "key")).alias("_k"), F.sum("n").alias("_w")).select(
+        "node", F.col("_k.key").alias("key"), "_w")
+    weighed = shared.select("key", "node").join(own.select("node", "_w"), "node")
+    order = W.partitionBy("key").orderBy(F.desc("_w"), F.xxhash64("node"), "node")
+    central = weighed.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= pivots)
+    stars = _on(own, central.select("key", F.col("node").alias("a")), ["key"])
+    return stars.where("a != node").select("a", F.col("node").alias("b"))
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -161,35 +175,12 @@ def _alike(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
         "u", "v", "x", "y").mapInArrow(run, "u long, v long"))
 
 
-def _still_open(rows: DataFrame, linked: DataFrame) -> DataFrame:
-    """``key, node, size, root`` of the keys that still hold several groups, ``root`` brought
-    up to date by the groups that ``linked`` joins."""
-    merged = components(linked).select(F.col("node").alias("root"), F.col("root").alias("_new"))
-    now = _on(rows, merged, ["root"], "left").withColumn("root", F.coalesce("_new", "root")).drop("_new")
-    now = cut_lineage(now)
-    several = now.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_z")).where("_a < _z")
-    return cut_lineage(_on(now, several.select("key"), ["key"]))
-
-
-def _pivots(rows: DataFrame, count: int) -> DataFrame:
-    """``key, pivot, root_of, other``: of each key the first ``count`` nodes, the smallest
-    groups first; elsewhere in the same order, so that keys choose the same nodes."""
-    size = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("_g"))
-    order = W.partitionBy("key").orderBy("_g", F.xxhash64("node"), "node")
-    ranked = _on(rows, size, ["key", "root"]).withColumn("_n", F.row_number().over(order))
-    return ranked.where(F.col("_n") <= count).select(
-        "key", F.col("node").alias("pivot"), F.col("root").alias("root_of"), F.col("size").alias("other"))
-
-
-def _prefix_keys(sets: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """``key, node, size, root``: the open nodes under their rarest shingles.
+def _prefix_rows(sets: DataFrame, similarity: float) -> DataFrame:
+    """``key, node, size, at``: every node under its rarest shingles, ``at`` in this order.
 
     Of two sets that are similar enough, each holds ``similarity`` of the other's size, so
-    they share one of their ``size - ceil(similarity * size) + 1`` rarest shingles (prefix
-    filter; it loses nothing). Texts that share a common passage, and no more, part here.
+    they share one of their ``size - ceil(similarity * size) + 1`` rarest shingles.
     """
-    nodes = rows.select("node", "size", "root").distinct()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
@@ -197,77 +188,72 @@ def _prefix_keys(sets: DataFrame, rows: DataFrame, similarity: float) -> DataFra
                 for a in range(0, len(h), BLOCK):
                     part = pa.array(h[a:a + BLOCK])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.repeat(b.column("node")[i], len(part)), part], ["node", "key"])
+                        [pa.repeat(b.column("node")[i], len(part)),
+                         pa.repeat(pa.scalar(len(h), pa.int64()), len(part)), part], ["node", "size", "key"])
 
-    tokens = cut_lineage(sets.join(nodes, "node", "left_semi").mapInArrow(run, "node long, key long"))
+    tokens = sets.mapInArrow(run, "node long, size long, key long")
     count = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = _on(tokens, count, ["key"])
+    held = tokens.join(count, "key")
     order = W.partitionBy("node").orderBy("n", "key")  # a node's own shingles
-    ranked = shared.select("node", "key", F.row_number().over(order).alias("_i"),
-                           F.count(F.lit(1)).over(W.partitionBy("node")).alias("_shared"))
-    prefix = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1
-    kept = ranked.join(nodes, "node").where(F.col("_i") <= prefix - (F.col("size") - F.col("_shared")))
-    return cut_lineage(kept.select("key", "node", "size", "root"))
-
-
-def _between_groups(short: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of different groups inside keys with a bounded number of nodes."""
-    m = F.sort_array(F.collect_list(F.struct("node", "size", "root"))).alias("m")
-    rows = short.groupBy("key").agg(m).select(F.posexplode("m").alias("i", "x"), "m").select(
-        "x", F.explode(F.filter(F.slice("m", F.col("i") + 2, F.size("m")),
-                                lambda y: y["root"] != F.col("x.root"))).alias("y"))
-    return rows.select(
-        F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("size"),
-        F.col("y.size").alias("other"), F.least("x.root", "y.root").alias("u"),
-        F.greatest("x.root", "y.root").alias("v")).where(_fits(similarity))
-
-
-def _starred(sets: DataFrame, rows: DataFrame, count: int, similarity: float
-             ) -> tuple[DataFrame, DataFrame]:
-    """(links between groups, the settled ``key, node``) of one round of pivots."""
-    chosen = cut_lineage(_pivots(rows, count))
-    pairs = _on(rows, chosen, ["key"]).where(F.col("root") != F.col("root_of")).where(
-        _fits(similarity)).select(F.col("node").alias("a"), F.col("pivot").alias("b"),
-                                  F.least("root", "root_of").alias("u"),
-                                  F.greatest("root", "root_of").alias("v"))
-    return _alike(sets, pairs, similarity), chosen.select("key", F.col("pivot").alias("node"))
+    ranked = held.withColumn("_i", F.row_number().over(order)).withColumn(
+        "_held", F.count(F.lit(1)).over(W.partitionBy("node")))
+    at = F.col("size") - F.col("_held") + F.col("_i") - 1
+    kept = ranked.select("key", "node", "size", at.alias("at")).where(
+        F.col("at") <= F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9))
+    return cut_lineage(kept)
+
+
+def _between_groups(rows: DataFrame, similarity: float, bucket: int) -> DataFrame:
+    """``a, b, u, v``: nodes ``a, b`` of different groups ``u, v`` that may be similar.
+
+    ``a`` is the smaller set. Under each key only what can meet is set against each other:
+    nodes outside the largest group against all, its own against those outside.
+    """
+    share = similarity / (1 + similarity)
+    per_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("_c"))
+    per_key = per_root.groupBy("key").agg(
+        F.sum("_c").alias("_n"), F.max(F.struct("_c", "root")).alias("_m"),
+        F.count(F.lit(1)).alias("_roots")).where("_roots > 1").select(
+        "key", F.ceil(F.col("_n") / bucket).cast("int").alias("_parts"), F.col("_m.root").alias("_most"))
+    open_ = cut_lineage(rows.join(per_key, "key").withColumn(
+        "_side", F.when(F.col("root") == F.col("_most"), 0).otherwise(1)))
+    # The smaller set of a pair meets the other within this part of it.
+    first = open_.where(F.col("at") <= F.col("size") - F.ceil(F.lit(2 * share) * F.col("size") - 1e-9))
+    left = first.select(
+        "key", F.col("node").alias("a"), F.col("size").alias("_sa"), F.col("at").alias("_ia"),
+        F.col("root").alias("_ra"), "_parts",
+        F.explode(F.when(F.col("_side") == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("_side"))
+    left = left.select("*", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")).drop("_parts")
+    right = open_.select(
+        "key", F.col("node").alias("b"), F.col("size").alias("_sb"), F.col("at").alias("_ib"),
+        F.col("root").alias("_rb"), "_side",
+        F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int").alias("_part"))
+    least = F.ceil(F.lit(share) * (F.col("_sa") + F.col("_sb")) - 1e-9)
+    met = left.alias("x").join(right.alias("y"), (
+        (F.col("x.key") == F.col("y.key")) & (F.col("x._side") == F.col("y._side"))
+        & (F.col("x._part") == F.col("y._part")) & (F.col("_ra") != F.col("_rb"))
+        & ((F.col("_sa") < F.col("_sb")) | ((F.col("_sa") == F.col("_sb")) & (F.col("a") < F.col("b"))))
+        & (F.col("_sa") - F.col("_ia") >= least) & (F.col("_sb") - F.col("_ib") >= least)))
+    return met.select("a", "b", F.least("_ra", "_rb").alias("u"), F.greatest("_ra", "_rb").alias("v"))
 
 
 def links(docs: DataFrame, nodes: DataFrame, words: int = 5, similarity: float = 0.8,
-          bucket: int = 32, pivots: int = 4) -> DataFrame:
-    """``u, v``: edges whose closure is that of all similar pairs sharing a key."""
+          bucket: int = 1024, pivots: int = 8) -> DataFrame:
+    """``u, v``: edges whose closure is that of all similar pairs of nodes that share a
+    MinHash key with any node or belong to one SimHash group."""
+    heads = cut_lineage(_simhash_heads(nodes))
     shared = _shared(nodes)
-    sets = _sets(docs, nodes, shared.select("node").distinct(), words)
-    short = _pairs(shared.where(F.col("n") <= bucket), similarity)
-    found = _alike(sets, short.select("a", "b", F.col("a").alias("u"), F.col("b").alias("v")), similarity)
-    crowded = shared.where(F.col("n") > bucket).select("key", "node", "size", F.col("node").alias("root"))
-    if crowded.isEmpty():
-        return found
-    # Families of copies: a few stars make them one group.
-    stars, done = _starred(sets, crowded, pivots, similarity)
-    found = found.union(stars)
-    rows = _still_open(crowded.join(done, ["key", "node"], "left_anti"), found)
-    if rows.isEmpty():
-        return found
-    # What is open goes on under its rarest shingles; the pivots so far are settled.
-    keyed = _prefix_keys(sets, rows, similarity)
-    count = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    keyed = cut_lineage(_on(keyed, count, ["key"]))
-    new = _alike(sets, _between_groups(keyed.where(F.col("n") <= bucket), similarity), similarity)
-    found = found.union(new)
-    rows = keyed.where(F.col("n") > bucket).drop("n")
-    while not rows.isEmpty():
-        rows = _still_open(rows, new)
-        if rows.isEmpty():
-            break
-        new, done = _starred(sets, rows, pivots, similarity)
-        found = found.union(new)
-        rows = rows.join(done, ["key", "node"], "left_anti")
-        pivots *= 8
-    return found
-
-
-def one_per_group(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket: int = 32) -> DataFrame:
+    wanted = shared.select("node").union(heads.select("a")).union(heads.select("b")).distinct()
+    sets = _sets(docs, nodes, wanted, words)
+    pairs = heads.union(_stars(shared, pivots))
+    found = _alike(sets, pairs.select("a", "b", F.col("a").alias("u"), F.col("b").alias("v")), similarity)
+    group = components(found).select("node", F.col("root").alias("_r"))
+    rows = _prefix_rows(sets, similarity).join(group, "node", "left").withColumn(
+        "root", F.coalesce("_r", "node")).drop("_r")
+    return found.union(_alike(sets, _between_groups(cut_lineage(rows), similarity, bucket), similarity))
+
+
+def one_per_group(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket: int = 1024) -> DataFrame:
     """The documents with all columns, of each group of near copies the one with the
     smallest id; of rows that repeat this id, the one with the smallest text digest, and
     one of the rows that repeat both. Rows with a null id all stay: nothing names them."""
@@ -275,8 +261,8 @@ def one_per_group(docs: DataFrame, words: int = 5, similarity: float = 0.8, buck
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h")))
     nodes = cut_lineage(rows.groupBy("node").agg(
         first.alias("_f"), F.min("h").alias("_h"), F.first("keys").alias("keys"),
-        F.first("size").alias("size")).select(
-        F.monotonically_increasing_id().alias("node"), "keys", "size", F.col("_f.doc_id").alias("lowest"),
+        F.first("size").alias("size"), F.min("fp").alias("fp")).select(
+        F.monotonically_increasing_id().alias("node"), "keys", "size", "fp", F.col("_f.doc_id").alias("lowest"),
         F.coalesce("_f.h", "_h").alias("h")))
     comp = components(links(docs, nodes, words, similarity, bucket)).withColumnRenamed("node", "_n")
     member = nodes.join(comp, F.col("node") == F.col("_n"), "left").select(
