@@ -3,9 +3,10 @@
 Features are cut into at most ``BINS`` quantile bins, from a bounded sample, and packed
 once as one byte per cell. All folds then grow together: a level of a round is one job
 that sums residuals by (fold, node, feature, bin) over the packed blocks, whichever folds
-a row belongs to, and the best splits of all folds are read off those sums. So the number
-of jobs is rounds times depth, however many folds there are, and what travels per job is
-folds x nodes x features x bins. Squared loss, full weight for the first tree and the
+a row belongs to; the sums of a fold meet in one task, which reads its best splits off
+them. So the number of jobs is rounds times depth, however many folds there are, what
+travels between tasks is folds x nodes x features x bins from each of them, and the driver
+gets one split per fold and node, however many rows and features there are. Squared loss, full weight for the first tree and the
 learning rate for every other one.
 
 A row's residuals follow from its last written state and the few trees since; every
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -31,8 +33,8 @@ BINS = 32
 SAMPLE = 10_000
 ROWS = 4096
 WRITE = 25
-#: Beyond so many tasks, histograms are summed by Spark before they reach the driver.
-DIRECT = 16
+#: Histograms of blocks in more partitions than this one need an exchange to be summed.
+DIRECT = 1
 PACKED = "n int, segment binary, bins binary, y binary, state binary"
 
 
@@ -110,11 +112,10 @@ def _advanced(state: np.ndarray, bins: np.ndarray, trees: list[Trees], depth: in
     return out
 
 
-def _histograms(blocks: DataFrame, since: list[Trees], growing: Trees, level: int, depth: int,
-                folds: int, features: int) -> np.ndarray:
-    """(folds, nodes, features, bins, 2): residual sums and counts of one level."""
+def _level(blocks: DataFrame, since: list[Trees], growing: Trees, level: int, depth: int,
+           folds: int, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`_split` of one level of all folds, read off the histograms in the tasks."""
     nodes = 2**level
-    shape = (folds, nodes, features, BINS, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((folds, nodes * features * BINS, 2))
@@ -128,27 +129,31 @@ def _histograms(blocks: DataFrame, since: list[Trees], growing: Trees, level: in
                 r = np.repeat((y - now[:, k])[use], features)
                 out[k, :, 0] += np.bincount(at, r, minlength=out.shape[1])
                 out[k, :, 1] += np.bincount(at, minlength=out.shape[1])
+        task = TaskContext.get().partitionId()
         for k in range(folds):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k], pa.int32()), pa.array([out[k].tobytes()], pa.binary())], ["k", "h"])
+                [pa.array([k], pa.int32()), pa.array([task], pa.int32()),
+                 pa.array([out[k].tobytes()], pa.binary())], ["k", "task", "h"])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for b in batches:
             for k, h in zip(b.column("k").to_pylist(), b.column("h")):
                 part = np.frombuffer(h.as_buffer())
                 found[k] = found[k] + part if k in found else part
         for k, h in found.items():
+            split = np.concatenate(_split(h.reshape(1, nodes, features, BINS, 2))).astype(np.float64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k], pa.int32()), pa.array([h.tobytes()], pa.binary())], ["k", "h"])
+                [pa.array([k], pa.int32()), pa.array([split.tobytes()], pa.binary())], ["k", "s"])
 
-    parts = blocks.mapInArrow(run, "k int, h binary")
-    if blocks.rdd.getNumPartitions() > DIRECT:
-        parts = parts.repartition(folds, "k").mapInArrow(merge, "k int, h binary")
-    total = np.zeros((folds, nodes * features * BINS * 2))
-    for r in parts.collect():
-        total[r["k"]] += np.frombuffer(r["h"])
-    return total.reshape(shape)
+    parts = blocks.mapInArrow(run, "k int, task int, h binary")
+    if blocks.rdd.getNumPartitions() > DIRECT:  # summed in the order of tasks, so reruns agree
+        parts = parts.repartition(folds, "k").sortWithinPartitions("k", "task")
+    out = np.zeros((4, folds, nodes))
+    out[0] = -1
+    for r in parts.mapInArrow(best, "k int, s binary").collect():
+        out[:, r["k"]] = np.frombuffer(r["s"]).reshape(4, nodes)
+    return out[0].astype(np.int64), out[1].astype(np.int64), out[2], out[3]
 
 
 def _split(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -191,9 +196,9 @@ def boosted(rows: DataFrame, folds: int, rounds: int, depth: int, rate: float
             t = Trees(np.full((folds, inner), -1), np.zeros((folds, inner), np.int64),
                       np.zeros((folds, inner + 1)))
             for level in range(depth):
-                h = _histograms(blocks, since, t, level, depth, folds, features)
                 at = slice(2**level - 1, 2**(level + 1) - 1)
-                t.feature[:, at], t.cut[:, at], left, right = _split(h)
+                t.feature[:, at], t.cut[:, at], left, right = _level(
+                    blocks, since, t, level, depth, folds, features)
             t.value = np.stack([left, right], axis=2).reshape(folds, -1) * (rate if n else 1.0)
             trees.append(t)
             since.append(t)

@@ -122,3 +122,20 @@ def test_constant_labels_make_no_split(spark):
     assert (trees[0].feature == -1).all()  # every row goes left, down to the first leaf
     assert trees[0].value[0, 0] == pytest.approx(3.0)
     assert trees[1].value[0, 0] == pytest.approx(0.0)
+
+
+def test_driver_gets_splits_and_no_histograms(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i % 2, [*map(float, r)]) for i, r in enumerate(rng.normal(size=(300, 21)))]
+    df = spark.createDataFrame(rows, "segment int, v array<double>").repartition(6)
+    sent, collect = [], type(df).collect
+
+    def counted(self):
+        out = collect(self)
+        sent.append(sum(len(x) for r in out for x in r if isinstance(x, (bytes, bytearray))))
+        return out
+
+    monkeypatch.setattr(type(df), "collect", counted)
+    _, trees = boosting.boosted(df, 2, 2, 3, 0.5)
+    assert len(trees) == 2 and (trees[0].feature >= 0).any()
+    assert sum(sent) == 2 * 2 * (1 + 2 + 4) * 32  # rounds x folds x nodes, whatever the features and tasks
