@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from panelcore.session import cut_lineage
 
+#: Edges that one task reads of a round; few edges then cost few shuffle files.
+EDGES = 50_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link neighbours to the smallest member of each node's neighbourhood.
@@ -50,4 +53,4 @@ def components(edges: DataFrame) -> DataFrame:
                 e.select("v", "v").distinct()
             )
         state = now
-        e = cut_lineage(_star(_star(e, True), False))
+        e = cut_lineage(_star(_star(e.coalesce(now[0] // EDGES + 1), True), False))

@@ -110,9 +110,9 @@ def _on(rows: DataFrame, per_key: DataFrame, on: list[str], how: str = "inner")
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
-    """``node, size, key, n`` of the keys that several nodes share."""
-    keyed = nodes.select("node", "size", F.posexplode("keys").alias("band", "k")).select(
-        "node", "size", F.xxhash64("band", "k").alias("key"))
+    """``node, key, n`` of the keys that several nodes share."""
+    keyed = nodes.select("node", F.posexplode("keys").alias("band", "k")).select(
+        "node", F.xxhash64("band", "k").alias("key"))
     count = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return cut_lineage(_on(keyed, count, ["key"]))
 
@@ -238,7 +238,7 @@ def _between_groups(rows: DataFrame, similarity: float, bucket: int) -> DataFram
 
 
 def links(docs: DataFrame, nodes: DataFrame, words: int = 5, similarity: float = 0.8,
-          bucket: int = 1024, pivots: int = 8) -> DataFrame:
+          bucket: int = 1024, pivots: int = 4) -> DataFrame:
     """``u, v``: edges whose closure is that of all similar pairs of nodes that share a
     MinHash key with any node or belong to one SimHash group."""
     heads = cut_lineage(_simhash_heads(nodes))

@@ -139,16 +139,15 @@ def links(distinct: DataFrame, budget: int = 2, segments: int = 8, bucket: int =
 
     # Crowded keys: meet at the points within half the budget, keeping the key's bits.
     crowded = keyed.where(F.col("n") > bucket)
-    star = None
+    near = None
     for s, (exact, _, _) in enumerate(shapes):
         free = [b for b in range(BITS) if b not in set(exact)]
-        flips = [sum(1 << b for b in c)
-                 for k in range(budget // 2 + 1) for c in combinations(free, k)]
-        near = crowded.where(F.col("start") == s).select(
-            F.col("fp").alias("u"),
-            F.explode(F.array(*[_signed(x) for x in flips])).alias("x"),
-        ).select("u", F.col("u").bitwiseXOR(F.col("x")).alias("v"))
-        star = near if star is None else star.union(near)
+        flips = F.array(*[_signed(sum(1 << b for b in c))
+                          for k in range(budget // 2 + 1) for c in combinations(free, k)])
+        here = F.col("start") == s
+        near = F.when(here, flips) if near is None else near.when(here, flips)
+    star = crowded.select(F.col("fp").alias("u"), F.explode(near).alias("x")).select(
+        "u", F.col("u").bitwiseXOR(F.col("x")).alias("v"))
     # A point that a single member names links nothing.
     named = star.distinct()
     shared = named.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("v")
